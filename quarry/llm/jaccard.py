@@ -17,7 +17,9 @@ The steps, each a distributed pass:
    Equal sets are one class, represented by its smallest id.
 3. Prefix rows are dealt by shingle. Lists of at most ``PAIRS`` classes give
    pairs; shared shingles per pair are counted and compared with ``min(l1,
-   l2)``, and survivors are verified by the exact overlap of the whole sets.
+   l2)``. What can still be shared after the last shared prefix shingle is
+   bounded by what follows it in either set; pairs that could still reach the
+   similarity are verified by the exact overlap of the whole sets.
 4. Longer lists never become pairs. Their classes are dealt into blocks of
    bounded size, every two blocks of a list meet in one task with whole sets,
    overlaps are counted by matrix products, and only a spanning forest of the
@@ -47,8 +49,8 @@ PAIRS = 32
 FREQUENT = 1 << 17
 #: A task reports a shingle that occurs in at least this many of its documents.
 REPORT = 4
-#: Matches that a document may ask for.
-MATCHES = 6
+#: Matches that a document may ask for, 15 at most.
+MATCHES = 12
 #: Ids that may be sent to all executors instead of shuffling the texts.
 BROADCAST_IDS = 500_000
 #: Documents and shingles of one block of a long list.
@@ -188,13 +190,15 @@ def _edges(token: np.ndarray) -> np.ndarray:
 def _lists(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of short lists and rows of long ones, from one pass over rows dealt and sorted by shingle.
 
-    A pair: x < y, need (the matches it must have), no token; lists longer
-    than PAIRS: token, x (the class), y (its size). Pairs whose sizes rule a
-    link out are left away.
+    A pair: x < y, need (the matches it must have), rest (shingles after this
+    one in the set with fewer), least (the overlap a link needs), no token;
+    lists longer than PAIRS: token, x (the class), y (its size). Pairs whose
+    sizes rule a link out are left away.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, doc, n, ask), edge, length in _runs(batches):
+        for (token, doc, n, at), edge, length in _runs(batches):
+            ask, rest = at % 16, n - 1 - at // 16
             xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for m in np.unique(length[(length > 1) & (length <= PAIRS)]).tolist():
                 i, j = np.triu_indices(m, 1)
@@ -205,11 +209,13 @@ def _lists(rows: DataFrame, num: int, den: int) -> DataFrame:
             fits = (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])) & (doc[x] != doc[y])
             x, y = x[fits], y[fits]
             long = np.repeat(length > PAIRS, np.diff(edge))
-            none = pa.nulls(len(x), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y])), pa.array(np.minimum(ask[x], ask[y]).astype(np.int32))], names=["token", "x", "y", "need"])
-            yield pa.RecordBatch.from_arrays([pa.array(token[long]), pa.array(doc[long]), pa.array(n[long]), pa.array(np.zeros(int(long.sum()), np.int32))], names=["token", "x", "y", "need"])
+            least = -(-num * (n[x] + n[y]) // (num + den))
+            pairs = [pa.nulls(len(x), pa.int64()), *map(pa.array, (np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), np.minimum(ask[x], ask[y]), np.minimum(rest[x], rest[y]), least))]
+            lists = [*map(pa.array, (token[long], doc[long], n[long])), *[pa.nulls(int(long.sum()), pa.int64())] * 3]
+            for columns in (pairs, lists):
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "x", "y", "need", "rest", "least"])
 
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(emit, "token bigint, x bigint, y bigint, need int")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(emit, "token bigint, x bigint, y bigint, need bigint, rest bigint, least bigint")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -292,7 +298,8 @@ def _long_links(docs: DataFrame, long: DataFrame, size: int, num: int, den: int)
 def _short_links(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Pairs verified on their whole sets."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
-    sets = cut(_sets(docs, ids, size), "sets")
+    # Two passes over the texts cost less than keeping the whole sets.
+    sets = _sets(docs, ids, size)
     a = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
     b = sets.select(F.col("rep").alias("y"), F.col("shingles").alias("sy"))
     inter = F.size(F.array_intersect("sx", "sy"))
@@ -345,9 +352,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     described = cut(_described(docs, size, num, den, order), "described")
     sets = described.where("n > 0 and doc_id is not null")
     classes = cut(sets.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n", "ask", "prefix"), "doc_id").alias("r"), F.count(F.lit(1)).alias("rows")).select("d1", "d2", "r.*", "rows").withColumnRenamed("doc_id", "rep"), "classes")
-    rows = classes.select(F.explode("prefix").alias("token"), "rep", "n", "ask")
+    rows = classes.select(F.posexplode("prefix").alias("at", "token"), "rep", "n", "ask").select("token", "rep", "n", (F.col("at").cast("bigint") * 16 + F.col("ask")).alias("at"))
     lists = cut(_lists(rows, num, den), "lists")
-    found = cut(lists.where("token is null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need").select("x", "y"), "pairs")
+    found = cut(lists.where("token is null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"), F.min("rest").alias("rest"), F.min("least").alias("least")).where("shared >= need and shared + rest >= least").select("x", "y"), "pairs")
     long = lists.where("token is not null").select("token", F.col("x").alias("rep"), F.col("y").alias("n"))
     links = _short_links(docs, found, size, num, den).unionByName(_long_links(docs, long, size, num, den))
     # Copies of a class, and documents whose rows fall in several classes.
