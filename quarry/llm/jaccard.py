@@ -23,7 +23,8 @@ The steps, each a distributed pass:
 4. Longer lists never become pairs. Their classes are dealt into blocks of
    bounded size, every two blocks of a list meet in one task with whole sets,
    overlaps are counted by matrix products, and only a spanning forest of the
-   links leaves the task.
+   links leaves the task. This comes first: pairs of short lists that are
+   connected by then are not looked at again.
 5. Components of the links by alternating star contractions.
 
 No list, class or component is ever collected; there is no cap on candidates.
@@ -32,13 +33,13 @@ No list, class or component is ever collected; there is no cap on candidates.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quarry.llm import kernels as K
 from quarry.llm.common import cut, few
@@ -218,21 +219,14 @@ def _lists(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(emit, "token bigint, x bigint, y bigint, need bigint, rest bigint, least bigint")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """The whole shingle sets of the documents named in ``ids`` (column rep)."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, reps = _values(batch), batch.column("rep")
-            for a, b in K.text_slices(values):
-                sets = K.shingle_sets(values[a:b], size)
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([reps.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rep", "shingles"])
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the documents named in ``ids`` (column rep).
 
+    Texts travel instead of shingle sets: they take a third of the room after
+    compression, and sets are built again where two texts meet.
+    """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").where("rep is not null")
-    ids = F.broadcast(ids) if few(ids, BROADCAST_IDS) else ids
-    return texts.join(ids, "rep", "left_semi").mapInArrow(build, "rep bigint, shingles array<bigint>")
+    return texts.join(F.broadcast(ids) if few(ids, BROADCAST_IDS) else ids, "rep", "left_semi")
 
 
 def _forest(link: np.ndarray) -> np.ndarray:
@@ -248,14 +242,13 @@ def _forest(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _block_links(group: pa.Table, num: int, den: int) -> pa.Table:
+def _block_links(group: pa.Table, size: int, num: int, den: int) -> pa.Table:
     """Links among the classes of one task: a spanning forest of them."""
     reps = group.column("rep").to_numpy()
-    lists = group.column("shingles").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    ends = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy()[ends[0] : ends[-1]]
-    n = np.diff(ends).astype(np.int64)
+    texts = [t or b"" for t in group.column("text").cast(pa.binary()).to_pylist()]
+    sets = [s for a, b in K.text_slices(texts) for s in K.shingle_sets(texts[a:b], size)]
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(n)), n)
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count[column] > 1
@@ -287,24 +280,32 @@ def _long_links(docs: DataFrame, long: DataFrame, size: int, num: int, den: int)
     met = rows.select("token", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("token", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     ids = long.select("rep").distinct()
-    with_sets = met.join(_sets(docs, ids, size), "rep")
+    with_texts = met.join(_texts(docs, ids), "rep")
 
     def verify(group: pa.Table) -> pa.Table:
-        return _block_links(group, num, den)
+        return _block_links(group, size, num, den)
 
-    return with_sets.groupBy("token", "i", "j").applyInArrow(verify, "x bigint, y bigint").where("x <> y")
+    return with_texts.groupBy("token", "i", "j").applyInArrow(verify, "x bigint, y bigint").where("x <> y")
 
 
 def _short_links(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Pairs verified on their whole sets."""
+
+    @arrow_udf("boolean")
+    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        a, b = ([t or b"" for t in side.cast(pa.binary()).to_pylist()] for side in (x, y))
+        for i in range(0, len(a), 256):
+            for s, t in zip(K.shingle_sets(a[i : i + 256], size), K.shingle_sets(b[i : i + 256], size), strict=True):
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                out.append(den * both >= num * (len(s) + len(t) - both))
+        return pa.array(out, pa.bool_())
+
     ids = pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
-    # Two passes over the texts cost less than keeping the whole sets.
-    sets = _sets(docs, ids, size)
-    a = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
-    b = sets.select(F.col("rep").alias("y"), F.col("shingles").alias("sy"))
-    inter = F.size(F.array_intersect("sx", "sy"))
-    both = pairs.select("x", "y").join(a, "x").join(b, "y").withColumn("both", inter)
-    return both.where(den * F.col("both") >= num * (F.size("sx") + F.size("sy") - F.col("both"))).select("x", "y")
+    texts = _texts(docs, ids)
+    a = texts.select(F.col("rep").alias("x"), F.col("text").alias("tx"))
+    b = texts.select(F.col("rep").alias("y"), F.col("text").alias("ty"))
+    return pairs.select("x", "y").join(a, "x").join(b, "y").where(linked("tx", "ty")).select("x", "y")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -356,7 +357,12 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     lists = cut(_lists(rows, num, den), "lists")
     found = cut(lists.where("token is null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"), F.min("rest").alias("rest"), F.min("least").alias("least")).where("shared >= need and shared + rest >= least").select("x", "y"), "pairs")
     long = lists.where("token is not null").select("token", F.col("x").alias("rep"), F.col("y").alias("n"))
-    links = _short_links(docs, found, size, num, den).unionByName(_long_links(docs, long, size, num, den))
+    blocks = cut(_long_links(docs, long, size, num, den), "links")
+    # Pairs that long lists have connected already need no look at their texts.
+    known = components(blocks)
+    x, y = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
+    open_ = found.join(x, "x", "left").join(y, "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+    links = _short_links(docs, cut(open_, "pairs"), size, num, den).unionByName(blocks)
     # Copies of a class, and documents whose rows fall in several classes.
     copies = classes.where("rows > 1").select("d1", "d2", "rep")
     placed = described.join(copies, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
