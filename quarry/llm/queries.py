@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table
 from quarry.llm.decontaminate import n_hit, with_matches
 from quarry.llm.jaccard import ngram_jaccard_join
+from quarry.llm.packing import pack, pieces
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    cutting = pieces(table(spark, sf_dir, "documents"))
+    return pack(cutting.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +41,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack": op1_pack,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op9_decontaminate": op9_decontaminate,
 }
