@@ -64,7 +64,7 @@ class Words:
     ``hashes[bounds[i]:bounds[i + 1]]`` are the words of text ``i``.
     """
 
-    def __init__(self, texts: list[bytes], rule: WordRule):
+    def __init__(self, texts: list[bytes], rule: WordRule, prefixes: tuple[int, ...] = ()):
         joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
         inside = rule.mask[joined]
@@ -77,6 +77,9 @@ class Words:
         np.cumsum(rule.value[joined] * power[: len(joined)], out=total[1:])
         raw = (total[stop] - total[start]) * inverse[start]
         self.hashes = mix64(raw + (stop - start).astype(np.uint64) * _U(0xA0761D6478BD642F))
+        # The first bytes of each word, hashed apart from whole words.
+        cuts = [np.minimum(start + p, stop) for p in prefixes]
+        self.prefixes = [mix64((total[c] - total[start]) * inverse[start] + _U((0x8EBC6AF09C88C6E3 * p) % (1 << 64))) for p, c in zip(prefixes, cuts, strict=True)]
         self.bounds = np.concatenate(([0], np.searchsorted(start, ends))).astype(np.int64)
 
     def counts(self) -> np.ndarray:

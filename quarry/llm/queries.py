@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import held_out, table
 from quarry.llm.decontaminate import n_hit, with_matches
 from quarry.llm.jaccard import ngram_jaccard_join
 from quarry.llm.packing import pack, pieces
+from quarry.llm.quality import GOOD, train_quality
+from quarry.llm.toxicity import TOXIC, train_toxicity
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,14 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cutting.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
@@ -40,10 +50,20 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, 0 to 3, and whether it counts as toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column("text").alias("t"))
+    return found.select("doc_id", "held_out", F.col("t.severity").alias("severity"), F.col("t.p_toxic").alias("p_toxic"), F.col("t.grade").alias("grade"), (F.col("t.p_toxic") >= TOXIC).alias("toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_quality": op2_quality,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op9_decontaminate": op9_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
