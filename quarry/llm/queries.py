@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import held_out, table
 from quarry.llm.decontaminate import n_hit, with_matches
 from quarry.llm.jaccard import ngram_jaccard_join
+from quarry.llm.language import train_languages
 from quarry.llm.packing import pack, pieces
 from quarry.llm.quality import GOOD, train_quality
 from quarry.llm.toxicity import TOXIC, train_toxicity
@@ -34,6 +35,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train_languages(docs)
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column("text").alias("l"))
+    return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 10-word windows of the benchmark, and the items they belong to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_language": op4_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
