@@ -11,6 +11,7 @@ from quarry.llm.common import held_out, table
 from quarry.llm.decontaminate import n_hit, with_matches
 from quarry.llm.jaccard import ngram_jaccard_join
 from quarry.llm.language import train_languages
+from quarry.llm.media import FRAME, film_column, read_column
 from quarry.llm.packing import pack, pieces
 from quarry.llm.quality import GOOD, train_quality
 from quarry.llm.toxicity import TOXIC, train_toxicity
@@ -43,6 +44,25 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a film, read back, with its shots."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), film_column("text").alias("media"))
+    back = docs.withColumn("back", read_column("media"))
+    payload, media = F.col("back.payload"), F.col("media")
+    size = F.octet_length(payload)
+    shots = F.transform("back.clips", lambda c: F.concat_ws("-", c["start_ms"].cast("string"), c["end_ms"].cast("string")))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("bigint").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"),
+        F.octet_length(media).cast("bigint").alias("media_bytes"),
+        F.sha2(media, 256).alias("media_sha256"),
+        F.concat(F.lit("frames="), (size / FRAME).cast("int").cast("string"), F.lit(";shots="), F.size("back.clips").cast("string"), F.lit(";clips_ms="), F.array_join(shots, ",")).alias("feature"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 10-word windows of the benchmark, and the items they belong to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_language": op4_language,
+    "op6_media": op6_media,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
