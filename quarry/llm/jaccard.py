@@ -21,10 +21,13 @@ The steps, each a distributed pass:
    bounded by what follows it in either set; pairs that could still reach the
    similarity are verified by the exact overlap of the whole sets.
 4. Longer lists never become pairs. Their classes are dealt into blocks of
-   bounded size, every two blocks of a list meet in one task with whole sets,
-   overlaps are counted by matrix products, and only a spanning forest of the
-   links leaves the task. This comes first: pairs of short lists that are
-   connected by then are not looked at again.
+   bounded size and every two blocks of a list meet in one task, twice. First
+   with prefixes only: shared prefix shingles, counted by matrix products, plus
+   what lies behind the prefixes bound the overlap, and classes without any
+   partner left drop out. Then with whole texts: exact overlaps are counted the
+   same way, and only a spanning forest of the links leaves the task. This
+   comes first: pairs of short lists that are connected by then are not looked
+   at again; the others are verified in blocks too, by candidate component.
 5. Components of the links by alternating star contractions.
 
 No list, class or component is ever collected; there is no cap on candidates.
@@ -39,15 +42,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from quarry.llm import kernels as K
 from quarry.llm.common import cut, few
 
 #: Longest list of classes that is expanded into pairs.
 PAIRS = 32
-#: Shingles whose frequency shapes the order: 8 bytes each go to the executors.
-FREQUENT = 1 << 17
+#: Shingles whose frequency shapes the order: 24 bytes each go to the executors.
+FREQUENT = 1 << 20
 #: A task reports a shingle that occurs in at least this many of its documents.
 REPORT = 4
 #: Matches that a document may ask for, 15 at most.
@@ -242,74 +244,110 @@ def _forest(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _block_links(group: pa.Table, size: int, num: int, den: int) -> pa.Table:
-    """Links among the classes of one task: a spanning forest of them."""
-    reps = group.column("rep").to_numpy()
-    texts = [t or b"" for t in group.column("text").cast(pa.binary()).to_pylist()]
-    sets = [s for a, b in K.text_slices(texts) for s in K.shingle_sets(texts[a:b], size)]
-    n = np.array([len(s) for s in sets], dtype=np.int64)
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by matrix products over slices of the shingles."""
+    m = len(sets)
     flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(n)), n)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     row, column = row[shared], column[shared]
-    rename = np.zeros(len(count), dtype=np.int64)
-    rename[count > 1] = np.arange(int((count > 1).sum()))
+    rename = np.cumsum(count > 1) - 1
     column = rename[column]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     width = 4096
-    overlap = np.zeros((len(n), len(n)), dtype=np.float32)
+    overlap = np.zeros((m, m), dtype=np.float32)
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [first, first + width])
-        part = np.zeros((len(n), width), dtype=np.float32)
+        part = np.zeros((m, min(width, int(column[-1]) + 1 - first)), dtype=np.float32)
         part[row[a:b], column[a:b] - first] = 1
         overlap += part @ part.T
-    inter = overlap.astype(np.int64)
-    link = den * inter >= num * (n[:, None] + n[None, :] - inter)
-    label = _forest(link)
+    overlap = overlap.astype(np.int64)
+    np.fill_diagonal(overlap, [len(s) for s in sets])
+    return overlap
+
+
+def _partnered(group: pa.Table, num: int, den: int) -> pa.Table:
+    """Rows of one task whose prefix leaves some partner possible."""
+    n, ask = group.column("n").to_numpy()[:, None], group.column("ask").to_numpy()[:, None]
+    lists = group.column("prefix").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy()
+    sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    # Beyond both prefixes the set whose prefix ends first has so many shingles left at most.
+    behind = n - np.diff(ends)[:, None]
+    least = -(-num * (n + n.T) // (num + den))
+    fits = (den * np.minimum(n, n.T) >= num * np.maximum(n, n.T)) & (_overlaps(sets) >= np.maximum(np.minimum(ask, ask.T), least - np.maximum(behind, behind.T)))
+    np.fill_diagonal(fits, False)
+    return group.select(["key", "i", "j", "rep"]).filter(pa.array(fits.any(axis=1)))
+
+
+def _block_links(group: pa.Table, size: int, num: int, den: int) -> pa.Table:
+    """Links among the classes of one task: a spanning forest of them."""
+    reps = group.column("rep").to_numpy()
+    texts = [t or b"" for t in group.column("text").cast(pa.binary()).to_pylist()]
+    sets = [s for a, b in K.text_slices(texts) for s in K.shingle_sets(texts[a:b], size)]
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    inter = _overlaps(sets)
+    label = _forest(den * inter >= num * (n[:, None] + n[None, :] - inter))
     moved = np.flatnonzero(label != np.arange(len(n)))
     return pa.table({"x": pa.array(reps[label[moved]], pa.int64()), "y": pa.array(reps[moved], pa.int64())})
 
 
-def _long_links(docs: DataFrame, long: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links within lists of more than PAIRS classes, block against block."""
-    sizes = long.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all"))
-    blocks = sizes.select("token", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = long.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = rows.select("token", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("token", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    ids = long.select("rep").distinct()
-    with_texts = met.join(_texts(docs, ids), "rep")
+def _verified(docs: DataFrame, members: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links among the classes (rep) that meet in a task (key, i, j)."""
 
     def verify(group: pa.Table) -> pa.Table:
         return _block_links(group, size, num, den)
 
-    return with_texts.groupBy("token", "i", "j").applyInArrow(verify, "x bigint, y bigint").where("x <> y")
+    with_texts = members.join(_texts(docs, members.select("rep").distinct()), "rep")
+    return with_texts.groupBy("key", "i", "j").applyInArrow(verify, "x bigint, y bigint").where("x <> y")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of each key's classes (key, rep, n), so that no block has many classes or long texts."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all"))
+    return sizes.select("key", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
 
+_OWN = "cast(pmod(xxhash64(rep), blocks) as int)"
 
-def _short_links(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Pairs verified on their whole sets."""
 
-    @arrow_udf("boolean")
-    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        a, b = ([t or b"" for t in side.cast(pa.binary()).to_pylist()] for side in (x, y))
-        for i in range(0, len(a), 256):
-            for s, t in zip(K.shingle_sets(a[i : i + 256], size), K.shingle_sets(b[i : i + 256], size), strict=True):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                out.append(den * both >= num * (len(s) + len(t) - both))
-        return pa.array(out, pa.bool_())
+def _long_links(docs: DataFrame, classes: DataFrame, long: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links within lists of more than PAIRS classes, block against block."""
+    rows = long.join(_blocks(long), "key").withColumn("own", F.expr(_OWN))
+    met = rows.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("key", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def filter_(group: pa.Table) -> pa.Table:
+        return _partnered(group, num, den)
+
+    prefixes = met.join(classes.select("rep", "n", "ask", "prefix"), "rep")
+    some = cut(prefixes.groupBy("key", "i", "j").applyInArrow(filter_, "key bigint, i int, j int, rep bigint"), "partnered")
+    return _verified(docs, some, size, num, den)
 
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
-    texts = _texts(docs, ids)
-    a = texts.select(F.col("rep").alias("x"), F.col("text").alias("tx"))
-    b = texts.select(F.col("rep").alias("y"), F.col("text").alias("ty"))
-    return pairs.select("x", "y").join(a, "x").join(b, "y").where(linked("tx", "ty")).select("x", "y")
+
+def _short_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links among the pairs of short lists.
+
+    Pairs are gathered by the component they form as candidates: each text
+    goes once to the task of its component, or, where that takes several
+    blocks, to those pairs of blocks in which it has a candidate.
+    """
+    found = components(pairs)
+    roots = found.select("component", "component").distinct().toDF("rep", "key")
+    place = found.toDF("rep", "key").unionByName(roots)
+    sized = place.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep")
+    own = cut(sized.join(_blocks(sized), "key").select("rep", "key", F.expr(_OWN).alias("own")), "places")
+    x, y = (own.select(F.col("rep").alias(c), F.col("own").alias(f"o{c}"), F.col("key").alias(f"k{c}")) for c in "xy")
+    both = pairs.join(x, "x").join(y, "y").select(F.col("kx").alias("key"), F.least("ox", "oy").alias("i"), F.greatest("ox", "oy").alias("j"), F.explode(F.array("x", "y")).alias("rep"))
+    return _verified(docs, cut(both.distinct(), "partnered"), size, num, den)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the smallest node each node of ``edges`` (x, y) is connected with.
+    """node, component: the smallest node each node of ``edges`` (x, y) is connected with, if that is another one.
 
     Alternating large-star and small-star steps until nothing changes; every
     step is two shuffles of the remaining edges, whose number never grows.
@@ -356,13 +394,13 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     rows = classes.select(F.posexplode("prefix").alias("at", "token"), "rep", "n", "ask").select("token", "rep", "n", (F.col("at").cast("bigint") * 16 + F.col("ask")).alias("at"))
     lists = cut(_lists(rows, num, den), "lists")
     found = cut(lists.where("token is null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"), F.min("rest").alias("rest"), F.min("least").alias("least")).where("shared >= need and shared + rest >= least").select("x", "y"), "pairs")
-    long = lists.where("token is not null").select("token", F.col("x").alias("rep"), F.col("y").alias("n"))
-    blocks = cut(_long_links(docs, long, size, num, den), "links")
+    long = lists.where("token is not null").select(F.col("token").alias("key"), F.col("x").alias("rep"), F.col("y").alias("n"))
+    blocks = cut(_long_links(docs, classes, long, size, num, den), "links")
     # Pairs that long lists have connected already need no look at their texts.
     known = components(blocks)
     x, y = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
     open_ = found.join(x, "x", "left").join(y, "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
-    links = _short_links(docs, cut(open_, "pairs"), size, num, den).unionByName(blocks)
+    links = _short_links(docs, classes, cut(open_, "pairs"), size, num, den).unionByName(blocks)
     # Copies of a class, and documents whose rows fall in several classes.
     copies = classes.where("rows > 1").select("d1", "d2", "rep")
     placed = described.join(copies, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
