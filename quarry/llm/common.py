@@ -9,7 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch: what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to what the operators' memory bounds assume."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= bound:
+            spark.conf.set(key, str(bound))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +44,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 
     A lost executor costs a re-read, never a recomputation of what came before.
     """
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

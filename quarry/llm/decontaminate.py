@@ -177,6 +177,7 @@ def _merged(a: tuple, b: dict | None) -> tuple:
 def _column(index: TestTexts):
     @arrow_udf(RESULT)
     def scan(text: pa.Array, before: pa.Array) -> pa.Array:
+        K.trim()
         values = [v or b"" for v in text.cast(pa.binary()).to_pylist()]
         rows: list[tuple] = []
         for a, b in K.text_slices(values):

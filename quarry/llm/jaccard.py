@@ -75,6 +75,7 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             nonlocal held, n
             token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             held, n = [], 0
+            K.trim()
             keep = count >= REPORT
             return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], names=["token", "n"])
 
@@ -84,7 +85,7 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 for s in K.shingle_sets(values[a:b], size):
                     held.append(s)
                     n += len(s)
-                if n > 4_000_000:
+                if n > 3_000_000:
                     yield flush()
         yield flush()
 
@@ -135,6 +136,7 @@ def _described(docs: DataFrame, size: int, num: int, den: int, order: Order) ->
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            K.trim()
             values = _values(batch)
             ids = batch.column("doc_id")
             for a, b in K.text_slices(values):
@@ -292,6 +294,7 @@ def _block_links(group: pa.Table, size: int, num: int, den: int) -> pa.Table:
     n = np.array([len(s) for s in sets], dtype=np.int64)
     inter = _overlaps(sets)
     label = _forest(den * inter >= num * (n[:, None] + n[None, :] - inter))
+    K.trim()
     moved = np.flatnonzero(label != np.arange(len(n)))
     return pa.table({"x": pa.array(reps[label[moved]], pa.int64()), "y": pa.array(reps[moved], pa.int64())})
 

@@ -7,6 +7,8 @@ character is >= 0x80, so byte classes and character classes agree.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -122,7 +124,13 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def text_slices(values: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_slices(values: list[bytes], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose bytes stay near ``limit``; a longer text is a range of its own."""
     begin, size = 0, 0
     for i, v in enumerate(values):

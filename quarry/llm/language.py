@@ -33,7 +33,7 @@ LONGEST, WORD = 12, 24
 #: Probability of a letter that no piece covers, and count added to every piece.
 UNKNOWN, SMOOTH = 1e-7, 0.02
 #: Words a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 UNDETERMINED = "und"
 
 _LETTERS = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
@@ -89,8 +89,8 @@ class Lattice:
                 yield i, j + 1, number
 
 
-def _forward(lattice: Lattice, words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, list]:
-    """Probability of every prefix, [letters + 1, n, languages], and the lattice's edges that exist."""
+def _forward(lattice: Lattice, words: np.ndarray, table: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    """Probability of every prefix, [letters + 1, n, languages], and with ``keep`` the lattice's edges that exist."""
     n, length = words.shape
     alpha = np.zeros((length + 1, n, table.shape[1]))
     alpha[0] = 1
@@ -98,7 +98,8 @@ def _forward(lattice: Lattice, words: np.ndarray, table: np.ndarray) -> tuple[np
     for i, j, number in lattice.numbers(words):
         some = np.flatnonzero(number)
         if len(some):
-            edges.append((i, j, some, number[some]))
+            if keep:
+                edges.append((i, j, some, number[some]))
             alpha[j, some] += alpha[i, some] * table[number[some]]
     return alpha, edges
 
@@ -137,8 +138,8 @@ class Words:
             w = which[at]
             matrix = self.code[np.minimum(self.begin[w][:, None] - self.first[w][:, None] + np.arange(size), len(self.code) - 1)]
             matrix = np.where(self.first[w][:, None] & (np.arange(size) == 0), np.uint32(_MARK), matrix)
-            for a in range(0, len(at), 20_000):
-                yield at[a : a + 20_000], matrix[a : a + 20_000]
+            for a in range(0, len(at), 8000):
+                yield at[a : a + 8000], matrix[a : a + 8000]
 
 
 class LanguageModel:
@@ -154,6 +155,7 @@ class LanguageModel:
         @arrow_udf("struct<lang:string,score:double>")
         def run(values: pa.Array) -> pa.Array:
             lang, score = _scorer(model).predict(["" if t is None else t for t in values.to_pylist()])
+            K.trim()
             return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
 
         return run(text)
@@ -199,7 +201,7 @@ class _Scorer:
         begin = 0
         while begin < len(texts):
             end, size = begin, 0
-            while end < len(texts) and (end == begin or size + len(texts[end]) <= 1_000_000):
+            while end < len(texts) and (end == begin or size + len(texts[end]) <= 500_000):
                 size += len(texts[end])
                 end += 1
             total, counts = self.totals(texts[begin:end])
@@ -251,7 +253,7 @@ def train_languages(docs: DataFrame, path: str | None = None, per_language: int
         for _ in range(ROUNDS):
             expected = np.full(lattice.size, SMOOTH)
             for weight, matrix in groups:
-                alpha, edges = _forward(lattice, matrix, p)
+                alpha, edges = _forward(lattice, matrix, p, keep=True)
                 beta = np.zeros(alpha.shape[:2])
                 beta[-1] = 1
                 whole = np.maximum(alpha[-1, :, 0], 1e-300)

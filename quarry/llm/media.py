@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
+from quarry.llm import kernels as K
+
 SIDE = 24
 FRAME = SIDE * SIDE
 #: Frames a second.
@@ -29,7 +31,7 @@ RATE = 25
 RECENT, LEAST_CUT = 12, 35
 BINS = 16
 #: Payload bytes handled at once.
-SLICE = 1_500_000
+SLICE = 500_000
 
 #: Code lengths of difference categories 0 to 8; canonical codes follow from them.
 _LENGTH = np.array([4, 4, 3, 3, 3, 3, 3, 3, 4])
@@ -310,6 +312,7 @@ def film_column(text: str | Column) -> Column:
 
     @arrow_udf("binary")
     def run(values: pa.Array) -> pa.Array:
+        K.trim()
         payloads = [padded(t or b"") for t in values.cast(pa.binary()).to_pylist()]
         return pa.array([f for a, b in _sliced(payloads) for f in film(payloads[a:b])], pa.binary())
 
@@ -321,6 +324,7 @@ def read_column(media: str | Column) -> Column:
 
     @arrow_udf("struct<payload:binary,clips:array<struct<first:int,last:int,start_ms:bigint,end_ms:bigint>>>")
     def run(values: pa.Array) -> pa.Array:
+        K.trim()
         films = values.to_pylist()
         there = [f for f in films if f is not None]
         payloads, clips = [], []

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from quarry.llm import kernels as K
 from quarry.llm.common import fresh, learnable
 
 #: Labelled documents of each class that training looks at, half for the dictionaries, half for the curve.
@@ -54,6 +55,7 @@ class QualityModel:
 
         @arrow_udf("double")
         def run(values: pa.Array) -> pa.Array:
+            K.trim()
             texts = [t or b"" for t in values.cast(pa.binary()).to_pylist()]
             return pa.array(model.differences(texts) if difference else model.scores(texts), pa.float64())
 

@@ -87,6 +87,7 @@ class ToxicityModel:
 
         @arrow_udf(RESULT)
         def run(values: pa.Array) -> pa.Array:
+            K.trim()
             p = model.exceedance([t or b"" for t in values.cast(pa.binary()).to_pylist()])
             each = -np.diff(np.concatenate((np.ones((len(p), 1)), p, np.zeros((len(p), 1))), axis=1), axis=1)
             return pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(each.argmax(axis=1).astype(np.int32))], names=["severity", "p_toxic", "grade"])
