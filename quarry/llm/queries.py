@@ -15,6 +15,7 @@ from quarry.llm.media import FRAME, film_column, read_column
 from quarry.llm.packing import pack, pieces
 from quarry.llm.quality import GOOD, train_quality
 from quarry.llm.toxicity import TOXIC, train_toxicity
+from quarry.llm.warc import page_records
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,24 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back."""
+    return page_records(table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+with d as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select *, min(page_id) over (partition by h) as first from d)
+select page_id, cast(strlen(html) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast(1 + ((cast('0x' || substr(h, 1 + 10 * (i // 8), 10) as bigint) >> cast(35 - 5 * (i % 8) as bigint)) & 31) as bigint), 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from f
+"""
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 10-word windows of the benchmark, and the items they belong to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -93,8 +112,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_language": op4_language,
     "op6_media": op6_media,
+    "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": OP8_SQL,
+}
