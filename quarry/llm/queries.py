@@ -11,6 +11,7 @@ from quarry.llm.common import held_out, table
 from quarry.llm.decontaminate import n_hit, with_matches
 from quarry.llm.jaccard import ngram_jaccard_join
 from quarry.llm.language import train_languages
+from quarry.llm.licenses import scan, scan_sql
 from quarry.llm.media import FRAME, film_column, read_column
 from quarry.llm.packing import pack, pieces
 from quarry.llm.quality import GOOD, train_quality
@@ -64,6 +65,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases in every document."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, read back."""
     return page_records(table(spark, sf_dir, "pages"))
@@ -112,11 +118,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_language": op4_language,
     "op6_media": op6_media,
+    "op7_licenses": op7_licenses,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_licenses": scan_sql(),
     "op8_warc": OP8_SQL,
 }
