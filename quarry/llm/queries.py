@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import held_out, table
@@ -16,6 +16,7 @@ from quarry.llm.media import FRAME, film_column, read_column
 from quarry.llm.packing import pack, pieces
 from quarry.llm.quality import GOOD, train_quality
 from quarry.llm.toxicity import TOXIC, train_toxicity
+from quarry.llm.urlfilter import filter_captures, host_of
 from quarry.llm.warc import page_records
 
 
@@ -46,6 +47,51 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"))
 
 
+def _number(column: str, first: int) -> Column:
+    """28 bits of a text's MD5 as a number: dates of the example list and fetch times hang on it."""
+    return F.conv(F.substring(F.md5(column), first, 7), 16, 10).cast("bigint")
+
+
+def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against a dated list, at its fetch time.
+
+    The tables have neither, so both are derived from the pages: a fetch time
+    in 2024 by URL, and entries by host: blocks of sites (three labels), some
+    lifted later, and exceptions for hosts below them.
+    """
+    year, day = 366 * 86400, 86400
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.lit(1704067200) + _number("url", 1) % year)
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    sites = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("pattern")).where("pattern <> ''").distinct()
+    at = F.lit(1704067200) + _number("pattern", 1) % 300 * day
+    entries = (
+        sites.where(_number("pattern", 8) % 3 == 0).select("pattern", F.lit("block").alias("action"), at.alias("since"))
+        .unionByName(sites.where(_number("pattern", 8) % 6 == 0).select("pattern", F.lit("remove").alias("action"), (at + (_number("pattern", 15) % 60 + 1) * day).alias("since")))
+        .unionByName(hosts.withColumnRenamed("host", "pattern").where(_number("pattern", 8) % 5 == 0).select("pattern", F.lit("allow").alias("action"), (at + 30 * day).alias("since")))
+    )
+    return filter_captures(captures, entries)
+
+
+OP5_SQL = r"""
+with n as (select page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '\.+$', ''), '') as host,
+  1704067200 + cast('0x' || substr(md5(url), 1, 7) as bigint) % (366 * 86400) as fetched_at from pages),
+h as (select distinct host as pattern from n where host is not null),
+t as (select distinct regexp_extract(pattern, '([^.]+\.[^.]+\.[^.]+)$', 1) as pattern from h where regexp_matches(pattern, '[^.]+\.[^.]+\.[^.]+$')),
+k as (select pattern, 't' as kind from t union all select pattern, 'h' as kind from h),
+x as (select pattern, kind, 1704067200 + cast('0x' || substr(md5(pattern), 1, 7) as bigint) % 300 * 86400 as day0,
+  cast('0x' || substr(md5(pattern), 8, 7) as bigint) as b, cast('0x' || substr(md5(pattern), 15, 7) as bigint) as c from k),
+e as (select pattern, 'block' as action, day0 as since from x where kind = 't' and b % 3 = 0
+  union all select pattern, 'remove', day0 + (c % 60 + 1) * 86400 from x where kind = 't' and b % 6 = 0
+  union all select pattern, 'allow', day0 + 30 * 86400 from x where kind = 'h' and b % 5 = 0),
+i as (select *, lead(since) over (partition by pattern order by since, action) as until from (select distinct * from e)),
+v as (select * from i where (until is null or since < until) and action in ('block', 'allow')),
+m as (select n.page_id, n.url, n.fetched_at, n.host, v.*, row_number() over (partition by n.page_id order by length(v.pattern) desc nulls last) as r
+  from n left join v on (n.host = v.pattern or n.host like '%.' || v.pattern) and v.since <= n.fetched_at and (v.until is null or n.fetched_at < v.until))
+select page_id, url, fetched_at, host, coalesce(action = 'block', false) as blocked, pattern as rule, since as valid_from, until as valid_to from m where r = 1
+"""
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a film, read back, with its shots."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), film_column("text").alias("media"))
@@ -117,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_language": op4_language,
+    "op5_urlfilter": op5_urlfilter,
     "op6_media": op6_media,
     "op7_licenses": op7_licenses,
     "op8_warc": op8_warc,
@@ -125,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_urlfilter": OP5_SQL,
     "op7_licenses": scan_sql(),
     "op8_warc": OP8_SQL,
 }
