@@ -158,6 +158,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("t.severity").alias("severity"), F.col("t.p_toxic").alias("p_toxic"), F.col("t.grade").alias("grade"), (F.col("t.p_toxic") >= TOXIC).alias("toxic"))
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda a: a <> '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as x, b.doc_id as y from e a join e b using (g) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r as (select doc_id as x, doc_id as y from s union select r.x, p.y from r join p on r.y = p.x)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.y) as component_id from s join r on r.x = s.doc_id group by s.doc_id, len(s.s)
+"""
+
+OP9_SQL = rf"""
+with w as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda a: a <> '') as w from documents),
+b as (select item_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda a: a <> '') as w from benchmark),
+g as (select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as g
+  from (select *, least(10, len(w)) as k from b) where k > 0),
+d as (select doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {{'i': i, 'g': array_to_string(w[i : i + k - 1], ' ')}})) as p
+  from w, (select distinct k from g) where len(w) >= k),
+h as (select d.doc_id, d.k, d.p.i as i, g.item_id from d join g on g.g = d.p.g and g.k = d.k),
+c as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + k)) as j from h) group by doc_id),
+t as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list_distinct(list(cast(item_id as varchar)))), ',') as items from h group by doc_id)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from w left join c using (doc_id) left join t using (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
@@ -172,7 +200,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard": OP3_SQL,
     "op5_urlfilter": OP5_SQL,
     "op7_licenses": scan_sql(),
     "op8_warc": OP8_SQL,
+    "op9_decontaminate": OP9_SQL,
 }
