@@ -27,7 +27,7 @@ The steps, each a distributed pass:
    partner left drop out. Then with whole texts: exact overlaps are counted the
    same way, and only a spanning forest of the links leaves the task. This
    comes first: pairs of short lists that are connected by then are not looked
-   at again; the others are verified in blocks too, by candidate component.
+   at again; the others are verified in blocks too, by smallest candidate.
 5. Components of the links by alternating star contractions.
 
 No list, class or component is ever collected; there is no cap on candidates.
@@ -333,20 +333,23 @@ def _long_links(docs: DataFrame, classes: DataFrame, long: DataFrame, size: int,
 
 
 def _short_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links among the pairs of short lists.
+    """Links among the pairs (x < y) of short lists.
 
-    Pairs are gathered by the component they form as candidates: each text
-    goes once to the task of its component, or, where that takes several
-    blocks, to those pairs of blocks in which it has a candidate.
+    Pairs are gathered by the smallest candidate of x, which members of a
+    group of copies mostly have in common, so that a text goes to few tasks.
+    Where a gathering takes several blocks, texts go to those pairs of blocks
+    in which they have a candidate.
     """
-    found = components(pairs)
-    roots = found.select("component", "component").distinct().toDF("rep", "key")
-    place = found.toDF("rep", "key").unionByName(roots)
-    sized = place.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep")
-    own = cut(sized.join(_blocks(sized), "key").select("rep", "key", F.expr(_OWN).alias("own")), "places")
-    x, y = (own.select(F.col("rep").alias(c), F.col("own").alias(f"o{c}"), F.col("key").alias(f"k{c}")) for c in "xy")
-    both = pairs.join(x, "x").join(y, "y").select(F.col("kx").alias("key"), F.least("ox", "oy").alias("i"), F.greatest("ox", "oy").alias("j"), F.explode(F.array("x", "y")).alias("rep"))
-    return _verified(docs, cut(both.distinct(), "partnered"), size, num, den)
+    both = pairs.select("x", "y").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    least = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("key"))
+    keyed = cut(pairs.join(least, "x").select("key", "x", "y"), "keyed")
+    members = keyed.select("key", F.explode(F.array("x", "y")).alias("rep")).distinct()
+    sized = members.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep")
+    blocks = cut(_blocks(sized), "blocks")
+    placed = keyed.join(blocks, "key")
+    own = [F.pmod(F.xxhash64(c), F.col("blocks")).cast("int") for c in "xy"]
+    met = placed.select("key", F.least(*own).alias("i"), F.greatest(*own).alias("j"), F.explode(F.array("x", "y")).alias("rep"))
+    return _verified(docs, cut(met.distinct(), "partnered"), size, num, den)
 
 
 def components(edges: DataFrame) -> DataFrame:
