@@ -182,7 +182,7 @@ class _Scorer:
         words = Words(texts)
         k = len(self.model.languages)
         counts = np.diff(words.bounds)
-        if not len(words.hashes):
+        if not len(words.hashes) or not k:
             return np.zeros((len(texts), k)), counts
         distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.hash) > REMEMBERED:
@@ -236,9 +236,12 @@ def train_languages(docs: DataFrame, path: str | None = None, per_language: int
     used, chosen by hash. Ties of languages go to the smaller name.
     """
     known = docs.where(learnable(F.col("doc_id"))).where("lang is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id")
-    some = known.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    some = some.orderBy("r", "lang").limit(per_language * LANGUAGES).drop("r")
+    # Rows far from the sample by hash are left out before they are dealt by language.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    hashed = known.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(5))).join(F.broadcast(counts), "lang")
+    near = hashed.where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) * F.col("rows") <= 4 * per_language)
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id")
+    some = near.select("lang", "doc_id", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("h", "r")
     texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").join(F.broadcast(some), ["doc_id", "lang"])
     parts = texts.where("text <> ''").select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / PART_CHARS).cast("int"))).alias("k"))
     chosen = parts.select("lang", F.expr(f"substring(text, k * {PART_CHARS} + 1, {PART_CHARS})").alias("part"), F.xxhash64("doc_id", "k").alias("h")).orderBy("h", "lang", "part").limit(SAMPLE_PARTS).select("lang", "part").collect()
