@@ -47,7 +47,7 @@ from quarry.llm import kernels as K
 from quarry.llm.common import cut, few
 
 #: Longest list of classes that is expanded into pairs.
-PAIRS = 32
+PAIRS = 64
 #: Shingles whose frequency shapes the order: 24 bytes each go to the executors.
 FREQUENT = 1 << 20
 #: A task reports a shingle that occurs in at least this many of its documents.
