@@ -266,6 +266,12 @@ def parent_lookup(t: Tables) -> DataFrame:
     return rows.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "n")
 
 
+@query("select l_orderkey, l_linenumber, l_partkey, p_name, count(*) as n from lineitem join part on p_partkey = l_partkey group by all")
+def parent_lookup_all(t: Tables) -> DataFrame:
+    rows = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "n")
+
+
 @query("select cast(l_suppkey as varchar) as code, arg_min(l_returnflag, {'a': l_partkey, 'b': l_returnflag}) as name, count(distinct l_partkey) as parents from lineitem group by 1")
 def substance_rollup(t: Tables) -> DataFrame:
     rows = t.lineitem.select(F.col("l_suppkey").cast("string").alias("code"), "l_partkey", F.col("l_returnflag").alias("name"))
