@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quarry.llm import kernels as K
-from quarry.llm.common import learnable
+from quarry.llm.common import cut, learnable
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Training: documents a language, parts of them in all, characters a part, rounds of EM.
+#: Training: documents a language, parts of them a language, characters a part, rounds of EM.
 SAMPLE_DOCS, SAMPLE_PARTS, PART_CHARS, ROUNDS = 400, 20_000, 2048, 3
-#: Languages that can be learnt.
-LANGUAGES = 500
+#: Parts of a language whose words are counted at once.
+COUNTED = 500
 #: Longest piece, and letters of a word scored at once; longer words are scored in parts.
 LONGEST, WORD = 12, 24
 #: Probability of a letter that no piece covers, and count added to every piece.
@@ -229,29 +229,50 @@ def _scorer(model: LanguageModel) -> _Scorer:
     return _scorers[key]
 
 
+def _counted(parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct words of all parts as (counts, code matrix), equal lengths together."""
+    total: dict[int, int] = {}
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for a in range(0, len(parts), COUNTED):
+        words = Words(parts[a : a + COUNTED])
+        distinct, first, count = np.unique(words.hashes, return_index=True, return_counts=True)
+        new = np.array([h not in total for h in distinct.tolist()], dtype=bool)
+        for h, n in zip(distinct.tolist(), count.tolist(), strict=True):
+            total[h] = total.get(h, 0) + n
+        for at, matrix in words.groups(first[new]):
+            found.setdefault(matrix.shape[1], []).append((distinct[new][at], matrix))
+    out = []
+    for own in found.values():
+        hashes, matrix = np.concatenate([h for h, _ in own]), np.concatenate([m for _, m in own])
+        weight = np.array([total[h] for h in hashes.tolist()], dtype=float)
+        out += [(weight[a : a + 8000], matrix[a : a + 8000]) for a in range(0, len(weight), 8000)]
+    return out
+
+
 def train_languages(docs: DataFrame, path: str | None = None, per_language: int = SAMPLE_DOCS) -> LanguageModel:
-    """Learns the values of ``lang`` outside the held-out fold from at most ``per_language`` documents each.
+    """Learns all values of ``lang`` outside the held-out fold from at most ``per_language`` documents each.
 
-    Of those documents at most SAMPLE_PARTS parts of PART_CHARS characters are
-    used, chosen by hash. Ties of languages go to the smaller name.
+    Of a language's documents at most SAMPLE_PARTS parts of PART_CHARS
+    characters are used, chosen by hash; one language is with the driver at a
+    time. Repeated rows count once. Ties of languages go to the smaller name.
     """
     known = docs.where(learnable(F.col("doc_id"))).where("lang is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    # Rows far from the sample by hash are left out before they are dealt by language.
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    # Ids far from the sample by hash are left out before they are dealt by language; the count is within a few hundredths.
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
     hashed = known.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(5))).join(F.broadcast(counts), "lang")
-    near = hashed.where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) * F.col("rows") <= 4 * per_language)
+    near = hashed.where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) * F.col("ids") <= 4 * per_language + 100)
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id")
     some = near.select("lang", "doc_id", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("h", "r")
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").join(F.broadcast(some), ["doc_id", "lang"])
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(some), ["doc_id", "lang"])
     parts = texts.where("text <> ''").select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / PART_CHARS).cast("int"))).alias("k"))
-    chosen = parts.select("lang", F.expr(f"substring(text, k * {PART_CHARS} + 1, {PART_CHARS})").alias("part"), F.xxhash64("doc_id", "k").alias("h")).orderBy("h", "lang", "part").limit(SAMPLE_PARTS).select("lang", "part").collect()
-    languages = sorted({r["lang"] for r in chosen})
+    parts = parts.select("lang", F.expr(f"substring(text, k * {PART_CHARS} + 1, {PART_CHARS})").alias("part"), F.xxhash64("doc_id", "k").alias("h")).distinct()
+    first = Window.partitionBy("lang").orderBy("h", "part")
+    chosen = cut(parts.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_PARTS).select("lang", "part", "r"), "languages")
+    languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
     lattice = Lattice(path)
     table = np.zeros((lattice.size, len(languages)))
     for l, lang in enumerate(languages):
-        words = Words([r["part"] for r in chosen if r["lang"] == lang])
-        distinct, first, count = np.unique(words.hashes, return_index=True, return_counts=True)
-        groups = [(count[at].astype(float), matrix) for at, matrix in words.groups(first)]
+        groups = _counted([r["part"] for r in chosen.where(F.col("lang") == lang).orderBy("r").select("part").collect()])
         p = np.full((lattice.size, 1), 1.0 / lattice.size)
         for _ in range(ROUNDS):
             expected = np.full(lattice.size, SMOOTH)
