@@ -335,6 +335,19 @@ def sort_stable(t: Tables) -> DataFrame:
     return t.orders.orderBy(F.col("o_orderdate").desc_nulls_last(), "o_orderkey").limit(50).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
 
 
+@query("select o_orderkey, cast(o_orderdate as date) as day, row_number() over (order by o_orderdate desc nulls last, o_orderkey) as position from orders")
+def sort_all(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", "o_orderdate")
+    sorted_rows = paging.positions(rows, F.col("o_orderdate").cast("date"), [F.col("o_orderdate").desc_nulls_last(), "o_orderkey"], descending=True)
+    return sorted_rows.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "position")
+
+
+@query(f"select p_partkey, norm, row_number() over (order by norm nulls last, p_partkey) as position from (select p_partkey, {NORM.format('p_name')} as norm from part)")
+def sort_names(t: Tables) -> DataFrame:
+    rows = t.part.select("p_partkey", normalize(F.col("p_name")).alias("norm"))
+    return paging.positions(rows, F.left("norm", F.lit(8)), [F.col("norm").asc_nulls_last(), "p_partkey"])
+
+
 @query("select p_partkey, p_size from part order by p_size desc, p_partkey limit 25")
 def topk(t: Tables) -> DataFrame:
     return paging.page(t.part.select("p_partkey", "p_size"), [F.desc("p_size"), "p_partkey"], 0, 25)

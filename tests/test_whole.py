@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import paging
 from quarry.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,3 +20,17 @@ def test_every_line_is_looked_up(spark):
     lines = rows_of(spark, "lineitem")
     found = QUERIES["parent_lookup_all"](spark, FOLDER).agg(F.sum("n"), F.max("l_orderkey")).first()
     assert tuple(found) == (lines.count(), lines.agg(F.max("l_orderkey")).first()[0])
+
+
+@pytest.mark.parametrize(("name", "table"), [("sort_all", "orders"), ("sort_names", "part")])
+def test_every_row_has_a_position(spark, name, table):
+    found = sorted(r["position"] for r in QUERIES[name](spark, FOLDER).select("position").collect())
+    assert found == list(range(1, rows_of(spark, table).count() + 1))
+
+
+def test_positions(spark):
+    rows = spark.createDataFrame([(1, "éa"), (2, None), (3, "b"), (4, "b"), (5, "ba"), (6, "")], "k int, v string")
+    for descending, expected in ((False, [6, 3, 4, 5, 1, 2]), (True, [1, 5, 3, 4, 6, 2])):
+        order = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_last()
+        got = paging.positions(rows, F.left("v", F.lit(1)), [order, "k"], descending).orderBy("position").collect()
+        assert [r["k"] for r in got] == expected
