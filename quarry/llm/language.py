@@ -28,15 +28,16 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS, SAMPLE_PARTS, PART_CHARS, ROUNDS = 400, 20_000, 2048, 3
 #: Parts of a language whose words are counted at once.
 COUNTED = 500
-#: Longest piece, and letters of a word scored at once; longer words are scored in parts.
-LONGEST, WORD = 12, 24
+#: Letters of a word scored in probabilities; longer runs are scored in logarithms, which don't underflow.
+WORD = 24
 #: Probability of a letter that no piece covers, and count added to every piece.
 UNKNOWN, SMOOTH = 1e-7, 0.02
 #: Words a worker remembers.
 REMEMBERED = 300_000
 UNDETERMINED = "und"
 
-_LETTERS = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+#: Letters and the marks that combine with them.
+_LETTERS = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
 _MARK = 0x2581
 _ODD = np.uint64(K._BASE)
 
@@ -51,7 +52,7 @@ class Lattice:
     def __init__(self, path: str | None = None):
         model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
         pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-        lowered = sorted({p.lower() for p in pieces if len(p) <= LONGEST and all(c == "▁" or unicodedata.category(c)[0] == "L" for c in p)})
+        lowered = sorted({p.lower() for p in pieces if all(c == "▁" or _LETTERS[ord(c)] for c in p)})
         hashes = np.array([self._hash(p) for p in lowered], dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
@@ -104,8 +105,66 @@ def _forward(lattice: Lattice, words: np.ndarray, table: np.ndarray, keep: bool
     return alpha, edges
 
 
+def _log_forward(lattice: Lattice, words: np.ndarray, length: np.ndarray, log_table: np.ndarray) -> np.ndarray:
+    """Log probability of words of any ``length``, padded to one matrix: [n, languages]. Only as many prefixes as the longest piece are held."""
+    n, width = words.shape
+    held = lattice.longest + 1
+    alpha = np.full((held, n, log_table.shape[1]), -np.inf)
+    alpha[0] = 0
+    out = np.zeros(alpha.shape[1:])
+    last = 0
+    for i, j, number in lattice.numbers(words):
+        if i != last:
+            alpha[last % held] = -np.inf
+            out[length == i] = alpha[i % held, length == i]
+            last = i
+        some = np.flatnonzero(number)
+        if len(some):
+            alpha[j % held, some] = np.logaddexp(alpha[j % held, some], alpha[i % held, some] + log_table[number[some]])
+    out[length == width] = alpha[width % held, length == width]
+    return out
+
+
+def _log_expected(lattice: Lattice, words: np.ndarray, length: np.ndarray, log_p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected piece counts of weighted words of any ``length`` under one language."""
+    n, width = words.shape
+    alpha, beta = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+    alpha[0] = 0
+    edges = []
+    for i, j, number in lattice.numbers(words):
+        some = np.flatnonzero((number > 0) & (j <= length))
+        if len(some):
+            edges.append((i, j, some, number[some]))
+            alpha[j, some] = np.logaddexp(alpha[j, some], alpha[i, some] + log_p[number[some]])
+    beta[length, np.arange(n)] = 0
+    whole = alpha[length, np.arange(n)]
+    expected = np.zeros(lattice.size)
+    for i, j, some, number in sorted(edges, key=lambda e: -e[0]):
+        share = log_p[number] + beta[j, some]
+        beta[i, some] = np.logaddexp(beta[i, some], share)
+        expected += np.bincount(number, weights=weight[some] * np.exp(alpha[i, some] + share - whole[some]), minlength=lattice.size)
+    return expected
+
+
+def _padded(rows: list[np.ndarray]):
+    """Yields (positions in ``rows``, matrix, lengths) of code rows of similar length."""
+    size = np.array([len(r) for r in rows])
+    order = np.argsort(size, kind="stable")
+    begin = 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and size[order[end]] <= 1.25 * size[order[begin]] and (end - begin) * size[order[end]] < 100_000:
+            end += 1
+        at = order[begin:end]
+        matrix = np.zeros((len(at), size[at].max()), dtype=np.uint32)
+        for k, r in enumerate(at.tolist()):
+            matrix[k, : size[r]] = rows[r]
+        yield at, matrix, size[at]
+        begin = end
+
+
 class Words:
-    """Letter runs of texts, lower-cased, in parts of at most WORD letters."""
+    """Letter runs of texts, lower-cased."""
 
     def __init__(self, texts: list[str]):
         lowered = [t.lower() for t in texts]
@@ -116,31 +175,29 @@ class Words:
         if len(letter) and letter[0]:
             edge = np.concatenate(([0], edge))
         begin, end = edge[0::2], edge[1::2]
-        first = np.ones(len(begin), dtype=bool)
-        if len(begin) and (end - begin).max() > WORD:
-            parts = -(-(end - begin) // WORD)
-            step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-            begin, stop = np.repeat(begin, parts) + step * WORD, np.repeat(end, parts)
-            end, first = np.minimum(begin + WORD, stop), step == 0
-        self.begin, self.end, self.first = begin, end, first
+        self.begin, self.end = begin, end
         lines = np.cumsum([len(t) + 1 for t in lowered])
         self.bounds = np.concatenate(([0], np.searchsorted(begin, lines)))
         power, inverse = K._power(len(self.code) + 1)
         total = np.zeros(len(self.code) + 1, dtype=np.uint64)
         np.cumsum(_code_value(self.code) * power[: len(self.code)], out=total[1:])
-        self.hashes = K.mix64((total[end] - total[begin]) * inverse[begin] + (end - begin + 64 * first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        self.hashes = K.mix64((total[end] - total[begin]) * inverse[begin] + (end - begin + 64).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     def groups(self, which: np.ndarray):
-        """The words numbered ``which`` as code matrices: (positions in ``which``, matrix), equal lengths together; a word's start is marked."""
-        length = (self.end - self.begin + self.first)[which]
-        for size in np.unique(length).tolist():
+        """The words numbered ``which`` of up to WORD letters as code matrices: (positions in ``which``, matrix), equal lengths together; a word's start is marked."""
+        length = (self.end - self.begin)[which]
+        for size in np.unique(length[length <= WORD]).tolist():
             at = np.flatnonzero(length == size)
-            w = which[at]
-            matrix = self.code[np.minimum(self.begin[w][:, None] - self.first[w][:, None] + np.arange(size), len(self.code) - 1)]
-            matrix = np.where(self.first[w][:, None] & (np.arange(size) == 0), np.uint32(_MARK), matrix)
+            matrix = np.full((len(at), size + 1), _MARK, dtype=np.uint32)
+            matrix[:, 1:] = self.code[self.begin[which[at]][:, None] + np.arange(size)]
             for a in range(0, len(at), 8000):
                 yield at[a : a + 8000], matrix[a : a + 8000]
 
+    def runs(self, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Positions in ``which`` of longer words, and their codes with a marked start."""
+        at = np.flatnonzero((self.end - self.begin)[which] > WORD)
+        return at, [np.concatenate(([np.uint32(_MARK)], self.code[self.begin[w] : self.end[w]])) for w in which[at].tolist()]
+
 
 class LanguageModel:
     """Languages, and piece probabilities [pieces, languages]."""
@@ -164,6 +221,7 @@ class LanguageModel:
 class _Scorer:
     def __init__(self, model: LanguageModel):
         self.model, self.lattice = model, Lattice(model.path)
+        self.log_table = np.log(np.maximum(model.table, 1e-300))
         self._forget()
 
     def _forget(self) -> None:
@@ -174,6 +232,9 @@ class _Scorer:
         for at, matrix in words.groups(which):
             alpha, _ = _forward(self.lattice, matrix, self.model.table)
             value[at] = np.log(np.maximum(alpha[-1], 1e-300))
+        long, rows = words.runs(which)
+        for at, matrix, length in _padded(rows):
+            value[long[at]] = _log_forward(self.lattice, matrix, length, self.log_table)
         place = np.searchsorted(self.hash, hashes)
         self.hash, self.value = np.insert(self.hash, place, hashes), np.insert(self.value, place, value, axis=0)
 
@@ -229,10 +290,11 @@ def _scorer(model: LanguageModel) -> _Scorer:
     return _scorers[key]
 
 
-def _counted(parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct words of all parts as (counts, code matrix), equal lengths together."""
+def _counted(parts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distinct words of all parts as (counts, code matrix), equal lengths together, and longer ones as (counts, code matrix, lengths)."""
     total: dict[int, int] = {}
     found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    long: dict[int, np.ndarray] = {}
     for a in range(0, len(parts), COUNTED):
         words = Words(parts[a : a + COUNTED])
         distinct, first, count = np.unique(words.hashes, return_index=True, return_counts=True)
@@ -241,12 +303,15 @@ def _counted(parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             total[h] = total.get(h, 0) + n
         for at, matrix in words.groups(first[new]):
             found.setdefault(matrix.shape[1], []).append((distinct[new][at], matrix))
+        at, rows = words.runs(first[new])
+        long.update(zip(distinct[new][at].tolist(), rows, strict=True))
     out = []
     for own in found.values():
         hashes, matrix = np.concatenate([h for h, _ in own]), np.concatenate([m for _, m in own])
         weight = np.array([total[h] for h in hashes.tolist()], dtype=float)
         out += [(weight[a : a + 8000], matrix[a : a + 8000]) for a in range(0, len(weight), 8000)]
-    return out
+    count = np.array([total[h] for h in long], dtype=float)
+    return out, [(count[at], matrix, length) for at, matrix, length in _padded(list(long.values()))]
 
 
 def train_languages(docs: DataFrame, path: str | None = None, per_language: int = SAMPLE_DOCS) -> LanguageModel:
@@ -272,7 +337,7 @@ def train_languages(docs: DataFrame, path: str | None = None, per_language: int
     lattice = Lattice(path)
     table = np.zeros((lattice.size, len(languages)))
     for l, lang in enumerate(languages):
-        groups = _counted([r["part"] for r in chosen.where(F.col("lang") == lang).orderBy("r").select("part").collect()])
+        groups, runs = _counted([r["part"] for r in chosen.where(F.col("lang") == lang).orderBy("r").select("part").collect()])
         p = np.full((lattice.size, 1), 1.0 / lattice.size)
         for _ in range(ROUNDS):
             expected = np.full(lattice.size, SMOOTH)
@@ -285,6 +350,9 @@ def train_languages(docs: DataFrame, path: str | None = None, per_language: int
                     share = p[number, 0] * beta[j, which]
                     beta[i, which] += share
                     expected += np.bincount(number, weights=weight[which] * alpha[i, which, 0] * share / whole[which], minlength=lattice.size)
+            log_p = np.log(np.maximum(p[:, 0], 1e-300))
+            for weight, matrix, length in runs:
+                expected += _log_expected(lattice, matrix, length, log_p, weight)
             expected[0] = 0
             expected[-1] = 0
             p = (expected / expected.sum())[:, None]

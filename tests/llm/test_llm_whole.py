@@ -1,5 +1,6 @@
 """Training-data operators on inputs where a bound could lose a part of the job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.llm import language
@@ -19,3 +20,38 @@ def test_no_language_is_crowded_out(spark, monkeypatch):
     names = [f"l{i}" for i in range(8)]
     docs = spark.range(320).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 8).cast("string")).alias("lang"))
     assert language.train_languages(docs).languages == names
+
+
+def test_long_runs_are_scored_whole():
+    lattice = language.Lattice()
+    table = np.random.default_rng(1).random((lattice.size, 2)) / 100
+    table[0] = 0
+    runs = ["international" * 4, "straßenbahn" * 3, "ab" * 40, "thereisnoblankinthisverylongrunofletters"]
+    codes = [np.array([ord(c) for c in "▁" + r], dtype=np.uint32) for r in runs]
+    total, _ = language._Scorer(language.LanguageModel(["a", "b"], table)).totals(runs)
+    for code, own in zip(codes, total, strict=True):
+        alpha = [np.ones(2)] + [np.zeros(2) for _ in code]
+        for i, j, number in lattice.numbers(code[None]):
+            alpha[j] = alpha[j] + alpha[i] * table[number[0]]
+        assert np.allclose(own, np.log(alpha[-1]))
+
+
+def test_long_runs_are_learnt_whole():
+    lattice = language.Lattice()
+    p = np.random.default_rng(2).random(lattice.size) / 100
+    p[0] = 1e-300
+    for run in ("▁thereisnoblank", "▁ab"):
+        code = np.array([[ord(c) for c in run]], dtype=np.uint32)
+        found = language._log_expected(lattice, np.pad(code, ((0, 0), (0, 3))), np.array([len(run)]), np.log(p), np.array([2.0]))
+        alpha, edges = language._forward(lattice, code, p[:, None], keep=True)
+        beta = [0.0] * len(run) + [1.0]
+        expected = np.zeros(lattice.size)
+        for i, j, _, number in sorted(edges, key=lambda e: -e[0]):
+            beta[i] += p[number[0]] * beta[j]
+            expected[number[0]] += 2 * alpha[i, 0, 0] * p[number[0]] * beta[j] / alpha[-1, 0, 0]
+        assert np.allclose(found, expected)
+
+
+def test_every_letter_piece_is_used():
+    assert language.Lattice().longest == 16
+    assert len(language.Words(["कि"]).hashes) == 1
