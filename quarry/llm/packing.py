@@ -6,7 +6,8 @@ own: best fit decreasing gives a start, then swap-based local search works on
 the bins that are not full. It moves documents, exchanges one for one and two
 for one between them, always increasing the sum of squared fills, so that the
 emptiest bins drain until they are gone. Bins that stay underfull in their
-group meet those of other groups in a next round, until one group holds them.
+group meet those of other groups in a next round, until one group holds them
+or a round that fills few of them saves no sequence.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ CAPACITY = 2048
 GROUP = 20_000
 #: A bin with more free places goes to the next round.
 SLACK = 0.03
-#: Emptiest bins that local search tries to drain in one group.
-DRAINED = 256
+#: Bins that local search exchanges among at once; windows of them pass over all underfull bins.
+WINDOW = 256
 #: End of a document.
 END = 0
 
@@ -130,45 +131,63 @@ def _search(size: list[int], bins: list[list[int]], fill: list[int], place: list
         """Underfull bins fuller than x, fullest first: gains are largest there."""
         return sorted((b for b in under if b != x and fill[b] < capacity and fill[b] >= fill[x] and bins[b]), key=lambda b: -fill[b])
 
-    under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])[:DRAINED]
-    for x in list(under):
-        moved = True
-        while bins[x] and moved:
-            moved = False
-            for i in sorted(bins[x], key=lambda i: -size[i]):
-                # Move into the tightest place elsewhere.
-                room.remove(x, capacity - fill[x])
-                free = room.tightest(size[i])
-                room.add(x, capacity - fill[x])
-                if free >= 0 and (capacity - free) + size[i] > fill[x]:
-                    apply([(i, min(b for b in room.of[free] if b != x))])
-                    moved = True
-                    break
-                # Exchange for one or two smaller ones that leave less free space there.
-                for b in others(x):
-                    gap = capacity - fill[b]
-                    own = sorted(bins[b], key=lambda j: size[j])
-                    swap: list[int] = []
-                    best = 0
-                    for j in own:
-                        gain = size[i] - size[j]
-                        if best < gain <= gap:
-                            best, swap = gain, [j]
-                    lo, hi = 0, len(own) - 1
-                    while lo < hi:
-                        gain = size[i] - size[own[lo]] - size[own[hi]]
-                        if gain > gap:
-                            lo += 1
-                        else:
-                            if gain > best:
-                                best, swap = gain, [own[lo], own[hi]]
-                            hi -= 1
-                    if swap and best > 0:
-                        apply([(i, b), *((j, x) for j in swap)])
+    def drain() -> bool:
+        """Whether any step was found."""
+        gained = False
+        for x in list(under):
+            moved = True
+            while bins[x] and moved:
+                moved = False
+                for i in sorted(bins[x], key=lambda i: -size[i]):
+                    # Move into the tightest place elsewhere.
+                    room.remove(x, capacity - fill[x])
+                    free = room.tightest(size[i])
+                    room.add(x, capacity - fill[x])
+                    if free >= 0 and (capacity - free) + size[i] > fill[x]:
+                        gained = True
+                        apply([(i, min(b for b in room.of[free] if b != x))])
                         moved = True
                         break
-                if moved:
-                    break
+                    # Exchange for one or two smaller ones that leave less free space there.
+                    for b in others(x):
+                        gap = capacity - fill[b]
+                        own = sorted(bins[b], key=lambda j: size[j])
+                        swap: list[int] = []
+                        best = 0
+                        for j in own:
+                            gain = size[i] - size[j]
+                            if best < gain <= gap:
+                                best, swap = gain, [j]
+                        lo, hi = 0, len(own) - 1
+                        while lo < hi:
+                            gain = size[i] - size[own[lo]] - size[own[hi]]
+                            if gain > gap:
+                                lo += 1
+                            else:
+                                if gain > best:
+                                    best, swap = gain, [own[lo], own[hi]]
+                                hi -= 1
+                        if swap and best > 0:
+                            gained = True
+                            apply([(i, b), *((j, x) for j in swap)])
+                            moved = True
+                            break
+                    if moved:
+                        break
+        return gained
+
+    under: list[int] = []
+    least = -(-sum(size) // capacity)
+    gained = True
+    while gained:
+        gained = False
+        open_bins = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
+        # Windows overlap by half, so that bins on both sides of a border meet.
+        for a in range(0, max(len(open_bins) - WINDOW // 2, 1), WINDOW // 2):
+            if sum(map(bool, bins)) == least:
+                return
+            under = open_bins[a : a + WINDOW]
+            gained |= drain()
 
 
 def _packed(rows: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
@@ -187,7 +206,7 @@ def _packed(rows: DataFrame, groups: int, level: int, capacity: int) -> DataFram
         count = np.diff(np.append(first, len(bins)))
         offset = stop - length - np.repeat((stop - length)[first], count)
         fill = np.repeat(np.add.reduceat(length, first), count)
-        return group.select(names).append_column("sequence_id", pa.array((level << 58) + (own << 18) + bins)).append_column("offset", pa.array(offset)).append_column("__fill", pa.array(fill))
+        return group.select(names).append_column("sequence_id", pa.array((level << 48) + (own << 18) + bins)).append_column("offset", pa.array(offset)).append_column("__fill", pa.array(fill))
 
     dealt = rows.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
@@ -206,6 +225,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     if group > 1 << 18:
         raise ValueError("a group has at most 2^18 pieces")
     rest, level, done = cut(rows, "pieces"), 0, []
+    kept, was = None, 0
     while True:
         n = rest.count()
         groups = max(1, -(-n // group))
@@ -214,14 +234,17 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
             done.append(packed.drop("__fill"))
             break
         packed = cut(packed, "packed")
+        made = packed.select("sequence_id").distinct().count()
+        if kept is not None and made >= was and few_filled:
+            # Dealing anew saves nothing: those pieces keep the bins they have.
+            done.append(kept)
+            break
         low = F.col("__fill") < int(capacity * (1 - SLACK))
         done.append(packed.where(~low).drop("__fill"))
-        left = packed.where(low).drop("sequence_id", "offset", "__fill")
+        kept = packed.where(low).drop("__fill")
+        left = kept.drop("sequence_id", "offset")
+        few_filled, was = left.count() > 0.9 * n, kept.select("sequence_id").distinct().count()
         level += 1
-        if left.count() > 0.9 * n:
-            # What is left doesn't get less: those groups keep their own bins.
-            done.append(packed.where(low).drop("__fill"))
-            break
         rest = cut(left, "pieces")
     out = done[0]
     for d in done[1:]:

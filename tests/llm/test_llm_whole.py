@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarry.llm import language
+from quarry.llm import language, packing
 
 
 def test_repeated_ids_keep_a_language(spark):
@@ -55,3 +55,19 @@ def test_long_runs_are_learnt_whole():
 def test_every_letter_piece_is_used():
     assert language.Lattice().longest == 16
     assert len(language.Words(["कि"]).hashes) == 1
+
+
+def test_all_underfull_bins_are_searched():
+    # Searching only the 256 emptiest bins gives 2,087 bins; the bound is 2,077.
+    lengths = np.random.default_rng(1).integers(300, 1400, 5000)
+    bins = packing.pack_lengths(lengths)
+    assert np.bincount(bins, weights=lengths).max() <= 2048
+    assert bins.max() + 1 <= 2085
+
+
+def test_groups_that_fill_little_meet(spark):
+    # Nearly all bins of the first round are underfull; short pieces still find long ones in a later round.
+    rows = spark.range(310).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 31 == 0, 540).otherwise(1500).cast("bigint").alias("length"))
+    packed = packing.pack(rows, group=2).cache()
+    assert packed.count() == 310 and packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+    assert packed.select("sequence_id").distinct().count() == 300
