@@ -54,8 +54,8 @@ def code_or_name(code: Column, name: Column, value: str) -> Column:
     return (code == value) | norm_contains(name, value)
 
 
-def shortages(df: DataFrame, state: str | None = None, key: Column | None = None, since: str | None = None, active: bool = True) -> DataFrame:
-    """Shortage list: state by public name, parent, updated since, and by default only those not over; newest first."""
+def shortages(df: DataFrame, state: str | None = None, key: Column | None = None, since: str | None = None, active: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Shortage list: state by public name, parent, updated since, and by default only those not over; newest first, then by ``ties``."""
     out = df
     if state is not None:
         if state not in SHORTAGE_FILTER or SHORTAGE_FILTER[state] not in SHORTAGE:
@@ -65,4 +65,6 @@ def shortages(df: DataFrame, state: str | None = None, key: Column | None = None
         out = out.where(key)
     if since is not None:
         out = out.where(F.col("date_mise_a_jour") >= F.lit(since).cast("date"))
-    return out.where("date_remise_disposition is null") if active else out
+    if active:
+        out = out.where("date_remise_disposition is null")
+    return out.orderBy(F.col("date_mise_a_jour").desc_nulls_last(), *ties)

@@ -44,6 +44,12 @@ def dominant_reason(rejects: DataFrame) -> DataFrame:
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(1)
 
 
+def keyed_reasons(rejects: DataFrame) -> DataFrame:
+    """file, the most frequent reason of all files, and the file's number of rejects."""
+    files = rejects.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return files.crossJoin(F.broadcast(dominant_reason(rejects).select("reason"))).select("file", "reason", "n")
+
+
 def entity_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """entity and n of every table."""
     out = None

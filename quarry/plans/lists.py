@@ -84,7 +84,7 @@ where o_orderstatus = 'O' and cast(o_orderdate as date) >= date '1996-06-01'""")
 def filter_shortages(t: Tables) -> DataFrame:
     code = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
     rows = t.orders.select("o_orderkey", code.alias("code_statut"), F.col("o_orderdate").cast("date").alias("date_mise_a_jour"), F.lit(None).cast("date").alias("date_remise_disposition"))
-    return filters.shortages(rows, "tension", since="1996-06-01").select("o_orderkey", F.col("code_statut").alias("code"), F.col("date_mise_a_jour").alias("day"))
+    return filters.shortages(rows, "tension", since="1996-06-01", ties=("o_orderkey",)).select("o_orderkey", F.col("code_statut").alias("code"), F.col("date_mise_a_jour").alias("day"))
 
 
 DATES = [("15/08/2024", "20240815"), ("1/2/2020", "2020012"), ("31/02/2020", "20200231"), ("", ""), (" 01/01/2020", " 20200101"), ("29/02/2024", "20240229"), (None, None)]
@@ -293,6 +293,14 @@ def entity_counts(t: Tables) -> DataFrame:
     return quality.entity_counts({e: getattr(t, e) for e in _ENTITIES})
 
 
+_ALL_ENTITIES = (*_ENTITIES, "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" union all ".join(f"select '{e}' as entity, count(*) as n from {e}" for e in _ALL_ENTITIES))
+def entity_counts_all(t: Tables) -> DataFrame:
+    return quality.entity_counts({e: getattr(t, e) for e in _ALL_ENTITIES})
+
+
 @query("select 'orders' as entity, (select count(*) from orders) - (select count(*) from orders where o_orderstatus = 'F') as delta union all select 'part', (select count(*) from part) - (select count(*) from part where p_size > 5)")
 def delta_counts(t: Tables) -> DataFrame:
     now = quality.entity_counts({"orders": t.orders, "part": t.part, "region": t.region})
@@ -314,6 +322,11 @@ def dominant_reason(t: Tables) -> DataFrame:
     return quality.dominant_reason(t.events.withColumnRenamed("event_type", "reason"))
 
 
+@query("select user_id as file, (select event_type from events group by 1 order by count(*) desc, event_type limit 1) as reason, count(*) as n from events group by 1")
+def dominant_reason_files(t: Tables) -> DataFrame:
+    return quality.keyed_reasons(t.events.select(F.col("user_id").alias("file"), F.col("event_type").alias("reason")))
+
+
 @query("""select p_partkey, count(l_orderkey) as packs, coalesce(array_to_string(list_distinct(list(l_returnflag order by l_orderkey, l_linenumber, l_returnflag)[0:0]), ','), '') || coalesce(max(f), '') as flags
 from part left join lineitem on l_partkey = p_partkey left join (select l_partkey as k, string_agg(l_returnflag, ',' order by m) as f from
 (select l_partkey, l_returnflag, min({'a': l_orderkey, 'b': l_linenumber, 'c': l_returnflag}) as m from lineitem group by 1, 2) group by 1) on k = p_partkey group by p_partkey""")

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import paging
+from quarry.operators import paging, quality
 from quarry.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,3 +34,18 @@ def test_positions(spark):
         order = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_last()
         got = paging.positions(rows, F.left("v", F.lit(1)), [order, "k"], descending).orderBy("position").collect()
         assert [r["k"] for r in got] == expected
+
+
+def test_shortages_are_newest_first(spark):
+    found = [(r["day"], r["o_orderkey"]) for r in QUERIES["filter_shortages"](spark, FOLDER).collect()]
+    assert len(found) > 1 and found == sorted(found, key=lambda r: (-r[0].toordinal(), r[1]))
+
+
+def test_every_table_is_counted(spark):
+    found = {r["entity"]: r["n"] for r in QUERIES["entity_counts_all"](spark, FOLDER).collect()}
+    assert found == {n.removesuffix(".parquet"): rows_of(spark, n.removesuffix(".parquet")).count() for n in os.listdir(FOLDER) if n.endswith(".parquet")}
+
+
+def test_every_file_gets_the_reason(spark):
+    rows = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "x"), ("b", "y"), ("c", "z")], "file string, reason string")
+    assert sorted(map(tuple, quality.keyed_reasons(rows).collect())) == [("a", "x", 2), ("b", "x", 2), ("c", "x", 1)]
