@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: Learnt scores and token ids are beyond SQL; the stages are tested against brute force instead.
+#: Learnt scores and token ids are beyond SQL; near duplicates and decontamination are tested against brute force instead.
 ORACLE_SQL = None
 
 
