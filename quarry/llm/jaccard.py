@@ -9,26 +9,24 @@ is verified on the whole sets.
 
 The steps, each a distributed pass:
 
-1. Frequent shingles of all documents: every task reports shingles that occur
-   in several of its documents, their sums give the order. At most
-   ``FREQUENT`` of them are kept; any order is right, a rougher one only makes
-   more candidates.
-2. Per document: size, a 128-bit digest of the set, ``l`` and the prefix.
+1. Per document: size, a 128-bit digest of the set, and the prefix by hash.
    Equal sets are one class, represented by its smallest id.
+2. The shingles of all prefixes are counted. Those in several lists, at most
+   ``FREQUENT`` of them, go behind all others, rarest first; that order gives
+   every document its ``l`` by real list lengths, and its prefix. Any order is
+   right, a rougher one only makes more candidates.
 3. Prefix rows are dealt by shingle. Lists of at most ``PAIRS`` classes give
-   pairs; shared shingles per pair are counted and compared with ``min(l1,
-   l2)``. What can still be shared after the last shared prefix shingle is
-   bounded by what follows it in either set; pairs that could still reach the
-   similarity are verified by the exact overlap of the whole sets.
+   pairs. A pair needs ``min(l1, l2)`` shared prefix shingles, and so many that
+   what lies behind the prefix that ends first can make up the rest.
 4. Longer lists never become pairs. Their classes are dealt into blocks of
-   bounded size and every two blocks of a list meet in one task, twice. First
-   with prefixes only: shared prefix shingles, counted by matrix products, plus
-   what lies behind the prefixes bound the overlap, and classes without any
-   partner left drop out. Then with whole texts: exact overlaps are counted the
-   same way, and only a spanning forest of the links leaves the task. This
-   comes first: pairs of short lists that are connected by then are not looked
-   at again; the others are verified in blocks too, by smallest candidate.
-5. Components of the links by alternating star contractions.
+   bounded size and every two blocks of a list meet in one task, with prefixes
+   only: the same bounds, counted by matrix products, and only a spanning
+   forest of the candidate pairs leaves the task.
+5. Classes connected by candidate pairs are verified together on whole texts:
+   one task each where they fit, so that a text travels once. Larger ones are
+   split: every block meets itself and a few pivots first, then only classes
+   that are not connected with the largest part meet the others.
+6. Components of the links by alternating star contractions.
 
 No list, class or component is ever collected; there is no cap on candidates.
 """
@@ -40,99 +38,91 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import cut, few
+from quarry.llm.common import cut, few, release
 
 #: Longest list of classes that is expanded into pairs.
 PAIRS = 64
 #: Shingles whose frequency shapes the order: 24 bytes each go to the executors.
 FREQUENT = 1 << 20
-#: A task reports a shingle that occurs in at least this many of its documents.
-REPORT = 4
 #: Matches that a document may ask for, 15 at most.
 MATCHES = 12
 #: Ids that may be sent to all executors instead of shuffling the texts.
 BROADCAST_IDS = 500_000
-#: Documents and shingles of one block of a long list.
+#: Documents and shingles of one block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Classes of a large candidate component that meet all its blocks first.
+PIVOTS = 8
 
 
 def _values(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [v or b"" for v in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles and their numbers of documents, falling, at most FREQUENT of them."""
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, n
-            token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            held, n = [], 0
-            K.trim()
-            keep = count >= REPORT
-            return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], names=["token", "n"])
-
-        for batch in batches:
-            values = _values(batch)
-            for a, b in K.text_slices(values):
-                for s in K.shingle_sets(values[a:b], size):
-                    held.append(s)
-                    n += len(s)
-                if n > 3_000_000:
-                    yield flush()
-        yield flush()
-
-    top = docs.select("text").mapInArrow(report, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    rows = top.toPandas()
-    return rows["token"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64)
-
-
 class Order:
     """The global order of shingles: those not known as frequent first, by hash; then the frequent, rarest first."""
 
     def __init__(self, token: np.ndarray, count: np.ndarray):
         order = np.argsort(token)
         self.token, self.count = token[order], count[order]
-        self.rank = len(token) - order  # falling count: the first of the list comes last
+        self.rank = np.empty(len(token), dtype=np.int64)
+        self.rank[np.lexsort((self.token, self.count))] = np.arange(len(token))
 
     def prefix(self, s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-        """The prefix of one set and the matches it asks for."""
+        """The prefix of one set, given in hash order, and the matches it asks for."""
         n = len(s)
         least = -(-num * n // den)
         # A different set needs overlap o with den * o >= num * (o + 1).
         if n * (den - num) < num:
             return s[:0], 0
-        if len(self.token):
-            slot = np.searchsorted(self.token, s)
-            slot[slot == len(self.token)] = 0
-            known = self.token[slot] == s
-            rank, count = np.where(known, self.rank[slot], 0), np.where(known, self.count[slot], 1)
-            order = np.lexsort((s, rank))
-            s, count = s[order], count[order]
-        else:
-            count = np.ones(n, dtype=np.int64)
         shortest = n - least
-        others = np.cumsum(count[: min(n, shortest + MATCHES)] - 1)
-        best, ask = None, 1
-        for want in range(1, min(MATCHES, least) + 1):
-            length = shortest + want
-            # Rows to move, list members to visit, and documents that can share so many of the shingles, each verified on n shingles.
-            cost = 4 * length + others[length - 1] * (1 + n / (8 * want))
-            if best is None or cost < best:
-                best, ask = cost, want
+        if not len(self.token):
+            return s[: shortest + 1], 1
+        slot = np.searchsorted(self.token, s)
+        slot[slot == len(self.token)] = 0
+        known = self.token[slot] == s
+        last = np.flatnonzero(known)
+        last = last[np.argsort(self.rank[slot[last]])]
+        order = np.concatenate((np.flatnonzero(~known), last))[: shortest + MATCHES]
+        s, count = s[order], np.where(known[order], self.count[slot[order]], 1)
+        want = np.arange(1, min(MATCHES, least) + 1)
+        length = shortest + want
+        # Rows to move, list members to visit, and documents that can share so many of the shingles, each verified on n shingles.
+        cost = 4 * length + np.cumsum(count - 1)[length - 1] * (1 + n / (8 * want))
+        ask = int(want[np.argmin(cost)])
         return s[: shortest + ask], ask
 
 
+def _frequent(classes: DataFrame) -> Order:
+    """The order that the lengths of all prefix lists give.
+
+    At most FREQUENT shingles are kept, the longest lists: a histogram of the
+    lengths, as short as there are different ones, gives the bound.
+    """
+    lists = cut(_lengths(classes).where("n > 1"), "lengths")
+    held, bound = 0, None
+    for r in lists.groupBy("n").agg(F.count(F.lit(1)).alias("lists")).orderBy(F.desc("n")).toLocalIterator():
+        held += r["lists"]
+        if held > FREQUENT:
+            break
+        bound = r["n"]
+    rows = lists.where(F.col("n") >= bound).toPandas() if bound is not None else None
+    release(lists)
+    if rows is None:
+        return Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Order(rows["token"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64))
+
+
+def _lengths(classes: DataFrame) -> DataFrame:
+    """token, n: the number of classes with it in their prefix."""
+    return classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _described(docs: DataFrame, size: int, num: int, den: int, order: Order) -> DataFrame:
     """doc_id, set size, digest, matches asked for, prefix."""
-    token, count = order.token, order.count
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,16 +146,22 @@ def _described(docs: DataFrame, size: int, num: int, den: int, order: Order) ->
                     names=["doc_id", "n", "d1", "d2", "ask", "prefix"],
                 )
 
-    assert len(token) == len(count)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(describe, "doc_id bigint, n bigint, d1 bigint, d2 bigint, ask int, prefix array<bigint>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
-    """Columns of rows sorted by shingle, where each list begins, and its length.
+def _classes(described: DataFrame, copies: DataFrame) -> DataFrame:
+    """rep, n, ask, prefix of one row of each class; ``copies`` are the classes (d1, d2, rep) with several rows.
 
-    A list longer than a batch passes in parts, each given a length over
-    PAIRS: at most PAIRS + 1 rows of it are held back for the next batch.
+    Only rows of such classes are shuffled, unless there are very many of them.
     """
+    marked = described.where("n > 0 and doc_id is not null").join(F.broadcast(copies) if few(copies, BROADCAST_IDS) else copies, ["d1", "d2"], "left")
+    single = marked.where("rep is null").select(F.col("doc_id").alias("rep"), "n", "ask", "prefix")
+    several = marked.where("doc_id = rep").groupBy("d1", "d2").agg(F.first(F.struct("rep", "n", "ask", "prefix")).alias("r")).select("r.*")
+    return single.unionByName(several)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]):
+    """Columns of rows sorted by shingle, where each list begins, and its length; lists are short."""
     held: list[np.ndarray] | None = None
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
@@ -175,14 +171,9 @@ def _runs(batches: Iterator[pa.RecordBatch]):
             continue
         edge = _edges(cols[0])
         tail = int(edge[-2])
-        at = max(tail, len(cols[0]) - PAIRS - 1)
-        held = [c[at:] for c in cols]
-        if at:
-            edge = np.append(edge[edge < at], at)
-            length = np.diff(edge)
-            if at > tail:
-                length[-1] = max(length[-1], PAIRS + 1)
-            yield [c[:at] for c in cols], edge, length
+        held = [c[tail:] for c in cols]
+        if tail:
+            yield [c[:tail] for c in cols], edge[:-1], np.diff(edge[:-1])
     if held is not None:
         edge = _edges(held[0])
         yield held, edge, np.diff(edge)
@@ -192,20 +183,24 @@ def _edges(token: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)])).astype(np.int64)
 
 
-def _lists(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of short lists and rows of long ones, from one pass over rows dealt and sorted by shingle.
+def _behind(n: np.ndarray, ask: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Shingles of a set behind its prefix."""
+    return -(-num * n // den) - ask
+
 
-    A pair: x < y, need (the matches it must have), rest (shingles after this
-    one in the set with fewer), least (the overlap a link needs), no token;
-    lists longer than PAIRS: token, x (the class), y (its size). Pairs whose
-    sizes rule a link out are left away.
+def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """x < y and need, the matches it must have, for each two classes of each list of ``rows`` (token, rep, n, ask).
+
+    Beyond the prefix that ends first its set has only so many shingles left,
+    and all shared ones before that lie in both prefixes. Pairs whose sizes
+    rule a link out are left away.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, doc, n, at), edge, length in _runs(batches):
-            ask, rest = at % 16, n - 1 - at // 16
+        for (_, doc, n, ask), edge, length in _runs(batches):
+            n, ask = n.astype(np.int64), ask.astype(np.int64)
             xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for m in np.unique(length[(length > 1) & (length <= PAIRS)]).tolist():
+            for m in np.unique(length[length > 1]).tolist():
                 i, j = np.triu_indices(m, 1)
                 first = edge[:-1][length == m]
                 xs.append((first[:, None] + i).ravel())
@@ -213,14 +208,12 @@ def _lists(rows: DataFrame, num: int, den: int) -> DataFrame:
             x, y = np.concatenate(xs), np.concatenate(ys)
             fits = (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])) & (doc[x] != doc[y])
             x, y = x[fits], y[fits]
-            long = np.repeat(length > PAIRS, np.diff(edge))
+            behind = _behind(n, ask, num, den)
             least = -(-num * (n[x] + n[y]) // (num + den))
-            pairs = [pa.nulls(len(x), pa.int64()), *map(pa.array, (np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), np.minimum(ask[x], ask[y]), np.minimum(rest[x], rest[y]), least))]
-            lists = [*map(pa.array, (token[long], doc[long], n[long])), *[pa.nulls(int(long.sum()), pa.int64())] * 3]
-            for columns in (pairs, lists):
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "x", "y", "need", "rest", "least"])
+            need = np.maximum(np.minimum(ask[x], ask[y]), least - np.maximum(behind[x], behind[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y])), pa.array(need.astype(np.int32))], names=["x", "y", "need"])
 
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(emit, "token bigint, x bigint, y bigint, need bigint, rest bigint, least bigint")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(emit, "x bigint, y bigint, need int")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -271,19 +264,23 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _partnered(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Rows of one task whose prefix leaves some partner possible."""
-    n, ask = group.column("n").to_numpy()[:, None], group.column("ask").to_numpy()[:, None]
+    """Candidate pairs of one task, by prefixes: a spanning forest of them."""
+    reps = group.column("rep").to_numpy()
+    n, ask = group.column("n").to_numpy()[:, None], group.column("ask").to_numpy().astype(np.int64)[:, None]
     lists = group.column("prefix").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     ends = lists.offsets.to_numpy()
     flat = lists.values.to_numpy()
     sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    # Beyond both prefixes the set whose prefix ends first has so many shingles left at most.
-    behind = n - np.diff(ends)[:, None]
+    behind = _behind(n, ask, num, den)
     least = -(-num * (n + n.T) // (num + den))
     fits = (den * np.minimum(n, n.T) >= num * np.maximum(n, n.T)) & (_overlaps(sets) >= np.maximum(np.minimum(ask, ask.T), least - np.maximum(behind, behind.T)))
-    np.fill_diagonal(fits, False)
-    return group.select(["key", "i", "j", "rep"]).filter(pa.array(fits.any(axis=1)))
+    return _tree(reps, _forest(fits))
+
+
+def _tree(reps: np.ndarray, label: np.ndarray) -> pa.Table:
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"x": pa.array(reps[label[moved]], pa.int64()), "y": pa.array(reps[moved], pa.int64())})
 
 
 def _block_links(group: pa.Table, size: int, num: int, den: int) -> pa.Table:
@@ -295,11 +292,10 @@ def _block_links(group: pa.Table, size: int, num: int, den: int) -> pa.Table:
     inter = _overlaps(sets)
     label = _forest(den * inter >= num * (n[:, None] + n[None, :] - inter))
     K.trim()
-    moved = np.flatnonzero(label != np.arange(len(n)))
-    return pa.table({"x": pa.array(reps[label[moved]], pa.int64()), "y": pa.array(reps[moved], pa.int64())})
+    return _tree(reps, label)
 
 
-def _verified(docs: DataFrame, members: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _met(docs: DataFrame, members: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links among the classes (rep) that meet in a task (key, i, j)."""
 
     def verify(group: pa.Table) -> pa.Table:
@@ -309,18 +305,21 @@ def _verified(docs: DataFrame, members: DataFrame, size: int, num: int, den: int
     return with_texts.groupBy("key", "i", "j").applyInArrow(verify, "x bigint, y bigint").where("x <> y")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of each key's classes (key, rep, n), so that no block has many classes or long texts."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all"))
-    return sizes.select("key", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+def _block_count(*by: str):
+    """Blocks of a key's classes (rep, n), so that no block has many classes or long texts."""
+    return lambda rows: rows.groupBy(*by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if few(df, BROADCAST_IDS) else df
 
 
 _OWN = "cast(pmod(xxhash64(rep), blocks) as int)"
 
 
-def _long_links(docs: DataFrame, classes: DataFrame, long: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links within lists of more than PAIRS classes, block against block."""
-    rows = long.join(_blocks(long), "key").withColumn("own", F.expr(_OWN))
+def _long_candidates(classes: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs within lists (key, rep, n) of more than PAIRS classes, block against block: spanning forests."""
+    rows = long.join(_bounded(cut(_block_count("key")(long), "blocks")), "key").withColumn("own", F.expr(_OWN))
     met = rows.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -328,28 +327,35 @@ def _long_links(docs: DataFrame, classes: DataFrame, long: DataFrame, size: int,
         return _partnered(group, num, den)
 
     prefixes = met.join(classes.select("rep", "n", "ask", "prefix"), "rep")
-    some = cut(prefixes.groupBy("key", "i", "j").applyInArrow(filter_, "key bigint, i int, j int, rep bigint"), "partnered")
-    return _verified(docs, some, size, num, den)
-
-
-def _short_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links among the pairs (x < y) of short lists.
-
-    Pairs are gathered by the smallest candidate of x, which members of a
-    group of copies mostly have in common, so that a text goes to few tasks.
-    Where a gathering takes several blocks, texts go to those pairs of blocks
-    in which they have a candidate.
-    """
-    both = pairs.select("x", "y").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    least = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("key"))
-    keyed = cut(pairs.join(least, "x").select("key", "x", "y"), "keyed")
-    members = keyed.select("key", F.explode(F.array("x", "y")).alias("rep")).distinct()
-    sized = members.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep")
-    blocks = cut(_blocks(sized), "blocks")
-    placed = keyed.join(blocks, "key")
-    own = [F.pmod(F.xxhash64(c), F.col("blocks")).cast("int") for c in "xy"]
-    met = placed.select("key", F.least(*own).alias("i"), F.greatest(*own).alias("j"), F.explode(F.array("x", "y")).alias("rep"))
-    return _verified(docs, cut(met.distinct(), "partnered"), size, num, den)
+    return prefixes.groupBy("key", "i", "j").applyInArrow(filter_, "x bigint, y bigint").where("x <> y")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a spanning forest of them) among classes that candidate pairs (x, y) connect."""
+    label = components(candidates)
+    members = label.select(F.col("node").alias("rep"), F.col("component").alias("key")).unionByName(label.select(F.col("component").alias("rep"), F.col("component").alias("key")).distinct())
+    # A doc_id that represents several sets counts with the largest.
+    sized = cut(_bounded(members).join(classes.select("rep", "n"), "rep").groupBy("key", "rep").agg(F.max("n").alias("n")), "members")
+    large = cut(_block_count("key")(sized).where("blocks > 1"), "large")
+    alone = sized.join(_bounded(large), "key", "left_anti").select("key", "rep", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    if few(large, 0):
+        return cut(_met(docs, cut(alone, "met"), size, num, den), "links")
+    # Every block meets itself and the pivots: as many texts as there are classes, and a few per block.
+    split = sized.join(_bounded(large), "key")
+    rank = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
+    pivots = split.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS).select("key", "rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    own = split.select("key", "rep", F.expr(_OWN).alias("i")).unionByName(pivots).distinct().withColumn("j", F.col("i"))
+    first = cut(_met(docs, cut(alone.unionByName(own), "met"), size, num, den), "links")
+    # What is not connected with the largest part of its component by now meets all the others.
+    part = components(first)
+    parts = cut(split.drop("blocks").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part")), "parts")
+    main = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
+    sided = cut(parts.join(_bounded(main), "key").select("key", "rep", "n", (F.col("part") != F.col("main")).alias("rest")), "sided")
+    counts = _block_count("key", "rest")(sided).groupBy("key").agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("rests"), F.coalesce(F.max(F.when(~F.col("rest"), F.col("blocks"))), F.lit(0)).alias("mains")).where("rests is not null")
+    dealt = sided.join(_bounded(cut(counts, "counts")), "key").withColumn("blocks", F.expr("if(rest, rests, mains)")).withColumn("own", F.expr(f"{_OWN} + if(rest, 0, rests)"))
+    met = dealt.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.expr("if(rest, rests + mains, rests) - 1"))).alias("other"))
+    met = cut(met.select("key", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct(), "met")
+    return first.unionByName(cut(_met(docs, met, size, num, den), "links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -369,7 +375,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: u's smaller neighbours, and u, point to the smallest of them.
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = cut(small, "edges")
+        before, now = now, cut(small, "edges")
+        release(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -393,27 +400,28 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     if not 0 < num < den:
         raise ValueError("the similarity must lie between 0 and 1")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    order = Order(*_frequent(docs, size))
+    by_hash = cut(_described(docs, size, num, den, Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))), "by_hash")
+    sets = cut(by_hash.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "copies")
+    order = _frequent(_classes(by_hash, sets))
+    release(by_hash)
     described = cut(_described(docs, size, num, den, order), "described")
-    sets = described.where("n > 0 and doc_id is not null")
-    classes = cut(sets.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n", "ask", "prefix"), "doc_id").alias("r"), F.count(F.lit(1)).alias("rows")).select("d1", "d2", "r.*", "rows").withColumnRenamed("doc_id", "rep"), "classes")
-    rows = classes.select(F.posexplode("prefix").alias("at", "token"), "rep", "n", "ask").select("token", "rep", "n", (F.col("at").cast("bigint") * 16 + F.col("ask")).alias("at"))
-    lists = cut(_lists(rows, num, den), "lists")
-    found = cut(lists.where("token is null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"), F.min("rest").alias("rest"), F.min("least").alias("least")).where("shared >= need and shared + rest >= least").select("x", "y"), "pairs")
-    long = lists.where("token is not null").select(F.col("token").alias("key"), F.col("x").alias("rep"), F.col("y").alias("n"))
-    blocks = cut(_long_links(docs, classes, long, size, num, den), "links")
-    # Pairs that long lists have connected already need no look at their texts.
-    known = components(blocks)
-    x, y = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
-    open_ = found.join(x, "x", "left").join(y, "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
-    links = _short_links(docs, classes, cut(open_, "pairs"), size, num, den).unionByName(blocks)
-    # Copies of a class, and documents whose rows fall in several classes.
-    copies = classes.where("rows > 1").select("d1", "d2", "rep")
-    placed = described.join(copies, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    classes = cut(_classes(described, sets), "classes")
+    long_lists = cut(_lengths(classes).where(F.col("n") > PAIRS).select("token"), "long")
+    rows = classes.select(F.explode("prefix").alias("token"), "rep", F.col("n").cast("int").alias("n"), "ask")
+    hot = _bounded(long_lists)
+    pairs = _pairs(rows.join(hot, "token", "left_anti"), num, den)
+    found = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need").select("x", "y")
+    candidates = cut(found, "pairs")
+    if not few(long_lists, 0):
+        long = cut(rows.join(hot, "token", "left_semi").select(F.col("token").alias("key"), "rep", "n"), "hot")
+        candidates = candidates.unionByName(cut(_long_candidates(classes, long, num, den), "candidates"))
+    links = _verified(docs, classes, candidates, size, num, den)
+    # Documents whose rows fall in several classes.
+    placed = described.select("doc_id", "n", "d1", "d2").join(_bounded(sets), ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     split = described.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     again = placed.join(split, "doc_id").where("rep <> doc_id").select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
     joined = components(links.unionByName(again))
-    return placed.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "rep", "doc_id"), "doc_id")).alias("component_id"))
+    return placed.join(_bounded(joined.withColumnRenamed("node", "rep")), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "rep", "doc_id"), "doc_id")).alias("component_id"))
 
 
 def near_duplicate_survivors(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:

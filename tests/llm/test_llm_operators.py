@@ -93,7 +93,8 @@ def components_of(texts, ids, size, num, den):
 def test_jaccard(spark, monkeypatch, size, num, den):
     monkeypatch.setattr(jaccard, "PAIRS", 4)
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 8)
-    monkeypatch.setattr(jaccard, "REPORT", 2)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT", 60)
     rng = random.Random(3)
     texts = list(ODD)
     for _ in range(5):
