@@ -47,7 +47,7 @@ from quarry.llm.common import cut, few, release
 #: Longest list of classes that is expanded into pairs.
 PAIRS = 64
 #: Shingles whose frequency shapes the order: 24 bytes each go to the executors.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 #: Matches that a document may ask for, 15 at most.
 MATCHES = 12
 #: Ids that may be sent to all executors instead of shuffling the texts.
@@ -109,11 +109,11 @@ def _frequent(classes: DataFrame) -> Order:
         if held > FREQUENT:
             break
         bound = r["n"]
-    rows = lists.where(F.col("n") >= bound).toPandas() if bound is not None else None
+    rows = lists.where(F.col("n") >= bound).toArrow() if bound is not None else None
     release(lists)
     if rows is None:
         return Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return Order(rows["token"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64))
+    return Order(rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy())
 
 
 def _lengths(classes: DataFrame) -> DataFrame:
