@@ -53,7 +53,9 @@ MATCHES = 12
 #: Ids that may be sent to all executors instead of shuffling the texts.
 BROADCAST_IDS = 500_000
 #: Documents and shingles of one block.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
+#: Rows of a matrix of pairs that are compared at once.
+CHUNK = 128
 #: Classes of a large candidate component that meet all its blocks first.
 PIVOTS = 8
 
@@ -226,12 +228,16 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if few(ids, BROADCAST_IDS) else ids, "rep", "left_semi")
 
 
-def _forest(link: np.ndarray) -> np.ndarray:
-    """Smallest linked position of each position of a symmetric matrix, followed to the end."""
-    n = len(link)
-    label = np.arange(n)
+def _forest(m: int, linked) -> np.ndarray:
+    """Smallest linked position of each of m positions, followed to the end; ``linked(a, b)`` gives rows a to b of a symmetric matrix."""
+    links = np.empty((m, m), dtype=bool)
+    for a in range(0, m, CHUNK):
+        links[a : a + CHUNK] = linked(a, min(a + CHUNK, m))
+    label = np.arange(m)
     while True:
-        best = np.where(link, label[None, :], n).min(axis=1) if n else label
+        best = label.copy()
+        for a in range(0, m, CHUNK):
+            best[a : a + CHUNK] = np.where(links[a : a + CHUNK], label, m).min(axis=1, initial=m)
         new = np.minimum(label, best)
         new = new[new]
         if (new == label).all():
@@ -240,7 +246,7 @@ def _forest(link: np.ndarray) -> np.ndarray:
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by matrix products over slices of the shingles."""
+    """Sizes of all pairwise intersections, by matrix products over slices of the shingles; exact in 32-bit floats up to 2^24."""
     m = len(sets)
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -251,14 +257,14 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     column = rename[column]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    width = 4096
+    width = 2048
     overlap = np.zeros((m, m), dtype=np.float32)
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [first, first + width])
         part = np.zeros((m, min(width, int(column[-1]) + 1 - first)), dtype=np.float32)
         part[row[a:b], column[a:b] - first] = 1
         overlap += part @ part.T
-    overlap = overlap.astype(np.int64)
+        del part
     np.fill_diagonal(overlap, [len(s) for s in sets])
     return overlap
 
@@ -273,9 +279,14 @@ def _partnered(group: pa.Table, num: int, den: int) -> pa.Table:
     flat = lists.values.to_numpy()
     sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     behind = _behind(n, ask, num, den)
-    least = -(-num * (n + n.T) // (num + den))
-    fits = (den * np.minimum(n, n.T) >= num * np.maximum(n, n.T)) & (_overlaps(sets) >= np.maximum(np.minimum(ask, ask.T), least - np.maximum(behind, behind.T)))
-    return _tree(reps, _forest(fits))
+    shared = _overlaps(sets)
+
+    def fits(a: int, b: int) -> np.ndarray:
+        own, least = n[a:b], -(-num * (n[a:b] + n.T) // (num + den))
+        need = np.maximum(np.minimum(ask[a:b], ask.T), least - np.maximum(behind[a:b], behind.T))
+        return (den * np.minimum(own, n.T) >= num * np.maximum(own, n.T)) & (shared[a:b] >= need)
+
+    return _tree(reps, _forest(len(reps), fits))
 
 
 def _tree(reps: np.ndarray, label: np.ndarray) -> pa.Table:
@@ -289,8 +300,14 @@ def _block_links(group: pa.Table, size: int, num: int, den: int) -> pa.Table:
     texts = [t or b"" for t in group.column("text").cast(pa.binary()).to_pylist()]
     sets = [s for a, b in K.text_slices(texts) for s in K.shingle_sets(texts[a:b], size)]
     n = np.array([len(s) for s in sets], dtype=np.int64)
-    inter = _overlaps(sets)
-    label = _forest(den * inter >= num * (n[:, None] + n[None, :] - inter))
+    shared = _overlaps(sets)
+    del sets, texts
+
+    def linked(a: int, b: int) -> np.ndarray:
+        both = shared[a:b].astype(np.int64)
+        return den * both >= num * (n[a:b, None] + n[None, :] - both)
+
+    label = _forest(len(n), linked)
     K.trim()
     return _tree(reps, label)
 
@@ -366,21 +383,18 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends are ignored.
     """
     now = cut(edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        # Large star: larger neighbours of u, and u itself, point to the smallest around u.
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # Edges never become more, so this holds for all rounds. Hubs stay where they are then; else skewed joins are split.
+    held = F.broadcast if few(now, BROADCAST_IDS) else (lambda df: df)
+    # Stars around smallest nodes are left when no smaller end has a smaller neighbour itself.
+    while not few(now.join(held(now.select(F.col("v").alias("u")).distinct()), "u", "left_semi"), 0):
+        # Large star: what is larger than v and next to it points to the smallest around v.
+        least = now.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        large = now.join(held(least), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # Small star: u's smaller neighbours, and u, point to the smallest of them.
         near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = large.join(held(near), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         before, now = now, cut(small, "edges")
         release(before)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
