@@ -61,10 +61,10 @@ def price_cents(c: Column) -> Column:
 
 
 def percentages(c: Column) -> Column:
-    """Whole percentages of a list such as 65 %;30%; empty gives an empty array, a bad part null."""
-    parts = F.transform(F.split(trim_all(c), ";"), lambda x: F.trim(F.replace(x, F.lit("%"), F.lit(""))))
+    """Whole percentages of a list such as 65 %;30%; empty parts are left out, a bad part makes null."""
+    parts = F.transform(split_multi(c), lambda x: trim_all(F.regexp_replace(x, r"%\z", "")))
     numbers = F.transform(parts, lambda x: F.when(x.rlike(r"\A[+-]?[0-9]+\z"), x.try_cast("int")))
-    return F.when(trim_all(c) == "", F.array().cast("array<int>")).when(~F.exists(numbers, lambda x: x.isNull()), numbers)
+    return F.when(~F.exists(numbers, lambda x: x.isNull()), numbers)
 
 
 def rates(c: Column) -> Column:
@@ -141,7 +141,23 @@ def highlight(label: Column, query: str) -> Column:
 
 
 def truncate(c: Column, n: int) -> Column:
-    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("…"))).otherwise(c)
+    """Texts of more than n bytes end after the characters that fit into n bytes, with an ellipsis."""
+    whole = F.filter(F.sequence(F.lit(0), F.least(F.length(c), F.lit(n))), lambda k: F.octet_length(F.substr(c, F.lit(1), k)) <= n)
+    return F.when(F.octet_length(c) > n, F.concat(F.substr(c, F.lit(1), F.array_max(whole)), F.lit("…"))).otherwise(c)
+
+
+#: Day number of an absent date.
+NO_DAY = -(2**31)
+
+
+def day_number(c: Column) -> Column:
+    """Days since 1970; an absent date has the smallest number, so that it comes last in falling order."""
+    return F.coalesce(F.unix_date(c), F.lit(NO_DAY))
+
+
+def day_of(c: Column) -> Column:
+    """The date of a day number as text; null for an absent one."""
+    return F.when(c != NO_DAY, F.date_from_unix_date(c).cast("string"))
 
 
 def group_order(group: Column) -> list[Column]:
@@ -150,6 +166,13 @@ def group_order(group: Column) -> list[Column]:
     return [number.isNull(), number, group]
 
 
+def normalized_params(request: Column) -> Column:
+    """A map of request parameters as text: without blank values, by name."""
+    kept = F.map_filter(request, lambda k, v: trim_all(v) != "")
+    pairs = F.array_sort(F.map_entries(kept))
+    return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), trim_all(e["value"]))), "&")
+
+
 def etag(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
@@ -158,6 +181,22 @@ def status_label(status: Column) -> Column:
     return F.when(status.isin(401, 404, 429, 503), status.cast("string")).otherwise(F.concat(F.floor(status / 100).cast("string"), F.lit("xx")))
 
 
+def cursor_column(offset: Column, version: str) -> Column:
+    """:func:`encode_cursor` of a column of offsets."""
+    text = F.concat(F.lit('{"o":'), offset.cast("string"), F.lit(f',"h":{json.dumps(version[:8])}}}'))
+    return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("="))
+
+
+def offset_column(cursor: Column, version: str) -> Column:
+    """Offsets of a column of cursors: 0 for empty ones, null for stale and unreadable ones."""
+    padded = F.concat(F.translate(cursor, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(cursor), F.lit(4))))
+    legal = cursor.rlike(r"\A[A-Za-z0-9_-]*\z") & (F.length(cursor) % 4 != 1)
+    text = F.when(legal, F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    offset = F.get_json_object(text, "$.o")
+    fits = (F.get_json_object(text, "$.h") == version[:8]) & offset.rlike(r"\A[0-9]+\z")
+    return F.when(cursor == "", F.lit(0).cast("bigint")).when(fits, offset.try_cast("bigint"))
+
+
 class CursorError(ValueError):
     """A cursor that can't be read."""
 

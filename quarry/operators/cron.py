@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _BOUNDS = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
 
 
@@ -70,3 +73,32 @@ def next_after(schedule: Schedule, t: datetime) -> datetime | None:
         else:
             t += timedelta(days=1)
     return None
+
+
+def next_column(schedule: Schedule | None, t: Column) -> Column:
+    """:func:`next_after` of a column of times, in built-in functions; null for never.
+
+    Days come first: the next 40 are looked at, and only where none of them
+    fits those of four years. Then the day's first minute, or on the first day
+    the first behind the time.
+    """
+    time = t.cast("timestamp_ntz")
+    if schedule is None:
+        return F.lit(None).cast("timestamp_ntz")
+    minutes = sorted(60 * h + m for h in schedule.hours for m in schedule.minutes)
+
+    def fits(d: Column) -> Column:
+        day, weekday = F.dayofmonth(d).isin(*sorted(schedule.days)), (F.dayofweek(d) - 1).isin(*sorted(schedule.weekdays))
+        either = day & weekday if schedule.any_day or schedule.any_weekday else day | weekday
+        return F.month(d).isin(*sorted(schedule.months)) & either
+
+    today = F.to_date(time)
+    now = F.hour(time) * 60 + F.minute(time)
+    later = F.get(F.filter(F.array(*map(F.lit, minutes)), lambda m: m > now), F.lit(0))
+
+    def first(days: int) -> Column:
+        ahead = F.sequence(F.date_add(today, 1), F.date_add(today, days), F.expr("interval 1 day"))
+        return F.get(F.filter(ahead, fits), F.lit(0))
+
+    at = lambda d, m: F.timestamp_add("MINUTE", m, d.cast("timestamp_ntz"))
+    return F.when(fits(today) & later.isNotNull(), at(today, later)).otherwise(at(F.coalesce(first(40), first(4 * 366)), F.lit(minutes[0])))

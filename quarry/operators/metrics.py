@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.scalars import status_label
+
 #: Upper bounds of latency buckets in seconds.
 LATENCY = (0.0001, 0.0002, 0.00025, 0.0005, 0.001, 0.0025, 0.003, 0.005, 0.01, 0.025, 0.1, 0.5, 1.0)
 #: Upper bounds of size buckets in bytes, and of search result buckets.
@@ -20,6 +22,30 @@ def histogram(df: DataFrame, keys: list[str], value: str, bounds: tuple) -> Data
     return wide.select(*keys, F.inline(F.array(*pairs, F.struct(F.lit(float("inf")).alias("le"), F.col("__total").alias("n")))))
 
 
+def summed(buckets: DataFrame, keys: list[str]) -> DataFrame:
+    """Cumulative counts added up over all other labels."""
+    return buckets.groupBy(*keys, "le").agg(F.sum("n").alias("n"))
+
+
+def histogram_quantiles(buckets: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
+    """A column for each named quantile of :func:`histogram_quantile`."""
+    out = None
+    for name, q in points.items():
+        one = histogram_quantile(buckets, keys, q).withColumnRenamed("quantile", name)
+        out = one if out is None else out.join(one, keys)
+    return out
+
+
+def request_metrics(requests: DataFrame, route: str, status: Column, seconds: str, size: str, hits: str) -> dict[str, DataFrame]:
+    """Requests by route and status label, and histograms of durations, sizes and result numbers by route, at the fixed bounds."""
+    return {
+        "requests": requests.groupBy(route, status_label(status).alias("status")).agg(F.count(F.lit(1)).alias("n")),
+        "durations": histogram(requests, [route], seconds, LATENCY),
+        "sizes": histogram(requests, [route], size, SIZES),
+        "results": histogram(requests, [route], hits, RESULTS),
+    }
+
+
 def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFrame:
     """Quantile by linear interpolation in the first bucket whose cumulative count reaches q of the total.
 
@@ -39,8 +65,12 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Element number int((n - 1) * q) of the sorted values, for each point."""
-    ranked = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    return ranked.select(*keys, *[F.get("v", F.floor((F.size("v") - 1) * F.lit(q)).cast("int")).alias(name) for name, q in points.items()])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    own = Window.partitionBy(*keys)
+    upto = counts.withColumn("__upto", F.sum("__n").over(own.orderBy(value))).withColumn("__all", F.sum("__n").over(own))
+    # The smallest value that as many values reach as the wanted place needs.
+    places = [F.min(F.when(F.col("__upto") > F.floor((F.col("__all") - 1) * F.lit(q)), F.col(value))).alias(name) for name, q in points.items()]
+    return upto.groupBy(*keys).agg(*places)
 
 
 def rate(df: DataFrame, keys: list[str], time: str, width: str, slide: str | None = None) -> DataFrame:
@@ -50,6 +80,24 @@ def rate(df: DataFrame, keys: list[str], time: str, width: str, slide: str | Non
     return df.groupBy(*keys, w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("w.start").alias("start"), "n", (F.col("n") / seconds).alias("rate"))
 
 
+def increase(df: DataFrame, keys: list[str], time: str, now: str, span: str) -> DataFrame:
+    """Events of the span that ends at ``now``."""
+    end = F.lit(now).cast("timestamp")
+    inside = (F.col(time).cast("timestamp") > F.expr(f"timestamp'{now}' - interval {span}")) & (F.col(time).cast("timestamp") <= end)
+    return df.groupBy(*keys).agg(F.count_if(inside).alias("increase"))
+
+
+def alerts(samples: DataFrame, keys: list[str], time: str, value: str, above: float, hold_seconds: int) -> DataFrame:
+    """Samples with ``firing``: the value has been above the bound at each sample for ``hold_seconds`` up to this one."""
+    past = Window.partitionBy(*keys).orderBy(time)
+    breach = F.coalesce(F.col(value) > above, F.lit(False))
+    # The last calm sample so far; a run of breaches begins with the first one behind it.
+    calm = samples.withColumn("__breach", breach).withColumn("__calm", F.last(F.when(~F.col("__breach"), F.col(time)), ignorenulls=True).over(past))
+    run = calm.withColumn("__since", F.min(F.when(F.col("__breach"), F.col(time))).over(Window.partitionBy(*keys, "__calm").orderBy(time)))
+    lasted = F.unix_timestamp(F.col(time).cast("timestamp")) - F.unix_timestamp(F.col("__since").cast("timestamp"))
+    return run.withColumn("firing", F.col("__breach") & (lasted >= hold_seconds)).drop("__breach", "__calm", "__since")
+
+
 def error_ratio(df: DataFrame, keys: list[str], error: Column) -> DataFrame:
     """Errors over all, the divisor being 0.001 at least."""
     return df.groupBy(*keys).agg(F.count_if(error).alias("errors"), F.count(F.lit(1)).alias("n")).withColumn("ratio", F.col("errors") / F.greatest(F.col("n"), F.lit(0.001)))

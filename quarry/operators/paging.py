@@ -43,6 +43,13 @@ class Page:
     total: int
     has_more: bool
     next_cursor: str | None
+    limit: int = 0
+    version: str = ""
+
+    @property
+    def meta(self) -> dict[str, object]:
+        """What a response says beside its rows."""
+        return {"total": self.total, "limit": self.limit, "has_more": self.has_more, "next_cursor": self.next_cursor, "dataset_version": self.version}
 
 
 def paginate(df: DataFrame, order: list[Column | str], cursor: str, limit: int, version: str) -> Page:
@@ -50,4 +57,4 @@ def paginate(df: DataFrame, order: list[Column | str], cursor: str, limit: int,
     total = df.count()
     offset = min(decode_cursor(cursor, version), total)
     end = min(offset + limit, total)
-    return Page(page(df, order, offset, limit), total, end < total, encode_cursor(end, version) if end < total else None)
+    return Page(page(df, order, offset, limit), total, end < total, encode_cursor(end, version) if end < total else None, limit, version)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rejects told one by one, different values of a dictionary and of a small one.
+DETAIL_ROWS, WIDE, NARROW = 1000, 65_535, 255
+
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows that come first within their key, and the later ones."""
@@ -39,6 +42,16 @@ def reject_counters(rejects: DataFrame) -> DataFrame:
     return rejects.groupingSets([["file"], ["reason"], []], "file", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def report_order(rejects: DataFrame) -> DataFrame:
+    """Reports come in one order: by file, line and reason."""
+    return rejects.orderBy("file", "line_no", "reason")
+
+
+def reject_detail(rejects: DataFrame, most: int = DETAIL_ROWS) -> DataFrame:
+    """The first rejects in report order, with the start of their lines; counters cover all of them."""
+    return report_order(rejects).limit(most)
+
+
 def dominant_reason(rejects: DataFrame) -> DataFrame:
     """The most frequent reason; of equally frequent ones the smaller text."""
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(1)
@@ -64,6 +77,11 @@ def delta_counts(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(before.withColumnRenamed("n", "was"), "entity").where("n <> was").select("entity", (F.col("n") - F.col("was")).alias("delta"))
 
 
+def scope_ratios(kept: Column, rejected: Column, out_of_scope: Column) -> tuple[Column, Column]:
+    """Rejected and out-of-scope rows as parts of all; 0 if there are none."""
+    return tuple(F.when(kept + part > 0, part / (kept + part)).otherwise(0.0) for part in (rejected, out_of_scope))
+
+
 class GateError(ValueError):
     """A plausibility gate that a load doesn't pass; what is published stays."""
 
@@ -89,6 +107,13 @@ def ratio(part: int, kept: int) -> float:
     return part / (part + kept) if part + kept else 0.0
 
 
+def check_dictionaries(sizes: dict[str, int], most: dict[str, int]) -> None:
+    """Raises where a column has more different values than its code space."""
+    for name in sorted(sizes):
+        if sizes[name] > most.get(name, WIDE):
+            raise GateError("dictionnaire", f"{name} has {sizes[name]} different values, at most {most.get(name, WIDE)} fit")
+
+
 def check_gates(counts: dict[str, int], kept: int, rejected: int, out_of_scope: int, gates: Gates) -> None:
     """Raises on the first gate that fails: empty file, rejects, scope, floor, variation."""
     for name in gates.required:

@@ -25,6 +25,11 @@ def member(df: DataFrame, keys: DataFrame, key: str, wanted: bool = True) -> Dat
     return df.join(keys.select(key).distinct(), key, "left_semi" if wanted else "left_anti")
 
 
+def parents(rows: DataFrame, parent: DataFrame, child_key: str, parent_key: str, columns: list[str]) -> DataFrame:
+    """Rows with columns of their parent; rows without one are dropped."""
+    return rows.join(parent.select(parent_key, *columns), F.col(child_key) == F.col(parent_key))
+
+
 def linked_last(rows: DataFrame, links: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Left join with the last link of each key."""
     return rows.join(links.groupBy(key).agg(F.max_by(value, order).alias(value)), key, "left")

@@ -53,63 +53,134 @@ def grams(words: DataFrame) -> DataFrame:
     return each.groupBy("gram", "token", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
-def similar(terms: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """i, term, token of all tokens whose multiset trigram similarity reaches ``least``.
+def similar(terms: DataFrame, grams_: DataFrame, least: float) -> DataFrame:
+    """i, term, token of all tokens (their trigrams: ``grams_``) whose multiset trigram similarity reaches ``least``.
 
     The intersection sums products of counts, so repeated grams inflate it; an
     empty union compares as no match.
     """
     q = terms.select("i", "term", (F.octet_length("term") + 1).alias("qsize"), F.explode(trigrams(F.col("term"))).alias("gram")).groupBy("i", "term", "qsize", "gram").agg(F.count(F.lit(1)).alias("qn"))
-    both = grams(words).join(F.broadcast(q), "gram").groupBy("i", "term", "token", "size", "qsize").agg(F.sum(F.col("n") * F.col("qn")).alias("inter"))
+    asked = [r["gram"] for r in q.select("gram").distinct().collect()]
+    both = grams_.where(F.col("gram").isin(asked)).join(F.broadcast(q), "gram").groupBy("i", "term", "token", "size", "qsize").agg(F.sum(F.col("n") * F.col("qn")).alias("inter"))
     union = F.col("size") + F.col("qsize") - F.col("inter")
     return both.where((union != 0) & (F.col("inter") / union >= least)).select("i", "term", "token")
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings, vocabulary (token, df), trigrams of its tokens, and the documents' number."""
+
+    postings: DataFrame
+    words: DataFrame
+    grams: DataFrame
+    rows: int
+
+
+def publish_index(postings_: DataFrame, docs: DataFrame, path: str) -> None:
+    """Writes an index to ``path``: tables sorted by the column they are looked up by.
+
+    Ranges of tokens go to files, so that a reader skips all row groups but
+    those of its query's tokens.
+    """
+    spark = docs.sparkSession
+
+    def write(df: DataFrame, key: str, name: str) -> None:
+        df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/{name}")
+
+    write(postings_, "token", "postings")
+    write(vocabulary(spark.read.parquet(f"{path}/postings")), "token", "words")
+    write(grams(spark.read.parquet(f"{path}/words")), "gram", "grams")
+    docs.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(read("postings"), read("words"), read("grams"), read("size").first()["rows"])
+
+
+#: Tokens that are named in a filter, which the scan's statistics can use; more are joined.
+NAMED = 2000
+
+
 def query_terms(spark: SparkSession, query: str) -> list[str]:
     """Tokens of a query; computed by the same expression as the index."""
     return spark.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]
 
 
-def _scored(index: DataFrame, matched: DataFrame, words: DataFrame, total: DataFrame, terms: int, factor: float, rank: Rank) -> DataFrame:
+def _scored(index: Index, matched: DataFrame, terms: list[str], factor: float, rank: Rank) -> DataFrame:
     """Documents with all terms: the sum of factor, the query term's idf and the field's weight over their postings."""
-    known = matched.select("i", "term").distinct().join(words, F.col("term") == F.col("token"), "left").select("i", F.coalesce("df", F.lit(0)).alias("df"))
-    weight = known.crossJoin(F.broadcast(total)).select("i", (F.lit(factor) * idf(F.col("rows"), F.col("df"))).alias("w"))
+    spark = matched.sparkSession
+    known = {r["token"]: r["df"] for r in index.words.where(F.col("token").isin(terms)).collect()}
+    asked = spark.createDataFrame([(i, t, known.get(t, 0)) for i, t in enumerate(terms)], "i int, t string, df long")
+    weight = asked.select("i", (F.lit(factor) * idf(F.lit(index.rows), F.col("df"))).alias("w"))
     field = F.element_at(F.array(*map(F.lit, rank.weights)), F.col("field") + 1)
-    rows = index.join(matched.select("i", "token"), "token").join(F.broadcast(weight), "i")
-    return rows.groupBy("id").agg(F.sum(F.col("w") * field * F.col("n")).alias("score"), F.bool_or("first").alias("head"), F.every(F.col("field") == 1).alias("only_substance"), F.countDistinct("i").alias("k")).where(F.col("k") == terms).drop("k")
+    found = [tuple(r) for r in matched.select("i", "token").limit(NAMED + 1).collect()]
+    if len(found) <= NAMED:
+        # The scan reads only what holds these tokens.
+        matched = F.broadcast(spark.createDataFrame(found, "i int, token string"))
+        held = index.postings.where(F.col("token").isin(sorted({t for _, t in found})))
+    else:
+        held = index.postings
+    rows = held.join(matched.select("i", "token"), "token").join(F.broadcast(weight), "i")
+    return rows.groupBy("id").agg(F.sum(F.col("w") * field * F.col("n")).alias("score"), F.bool_or("first").alias("head"), F.every(F.col("field") == 1).alias("only_substance"), F.countDistinct("i").alias("k")).where(F.col("k") == len(terms)).drop("k")
+
+
+@dataclass(frozen=True)
+class Found:
+    """Hits (id, score), best first when sorted by :func:`ranked`, and facts about the search."""
 
+    hits: DataFrame
+    tokens: int
+    exact: int
+    fallback: bool
 
-def search(docs: DataFrame, index: DataFrame, query: str, rank: Rank | None = None, marketed: Column | None = None, active: Column | None = None) -> DataFrame:
-    """id and score, best first (ties: smaller id). ``docs`` has id and name.
+    @property
+    def mode(self) -> str:
+        return "trigram" if self.fallback else "exact"
+
+
+def ranked(hits: DataFrame) -> DataFrame:
+    """Best first; of equal scores the smaller id."""
+    return hits.orderBy(F.desc("score"), "id")
+
+
+def find(docs: DataFrame, index: Index, query: str, rank: Rank | None = None, marketed: Column | None = None, active: Column | None = None) -> Found:
+    """Scored documents of a query. ``docs`` has id and name.
 
     The last term also matches as a prefix unless the query ends with a blank.
     Below ``fallback_below`` exact hits, documents with similar tokens are
     added behind the exact ones' scores; exact hits win. A query without
-    tokens finds nothing.
+    tokens finds nothing. ``exact`` counts exact hits, up to ``fallback_below``.
     """
     rank = rank or Rank()
     spark = docs.sparkSession
     terms = query_terms(spark, query)
     if not terms:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+        return Found(docs.select("id", F.lit(0.0).alias("score")).limit(0), 0, 0, False)
     asked = spark.createDataFrame(list(enumerate(terms)), "i int, term string")
-    words = vocabulary(index)
-    total = docs.agg(F.count(F.lit(1)).alias("rows"))
-    exact = words.select("token").join(F.broadcast(asked.withColumn("token", F.col("term"))), "token").select("i", "term", "token")
+    exact = index.words.where(F.col("token").isin(terms)).select("token").join(F.broadcast(asked.withColumnRenamed("term", "token")), "token").select("i", "token")
     if not query.endswith(" "):
-        last = words.where(F.col("token").startswith(terms[-1]) & (F.col("token") != terms[-1])).orderBy("token").limit(rank.expansions)
-        exact = exact.unionByName(last.select(F.lit(len(terms) - 1).alias("i"), F.lit(terms[-1]).alias("term"), "token")).distinct()
-    hits = _scored(index, exact, words, total, len(terms), 1.0, rank)
-    if hits.limit(rank.fallback_below).count() < rank.fallback_below:
-        near = _scored(index, similar(asked, words, rank.similarity), words, total, len(terms), rank.approximate, rank)
-        hits = hits.unionByName(near.join(hits.select("id"), "id", "left_anti"))
+        last = index.words.where(F.col("token").startswith(terms[-1]) & (F.col("token") != terms[-1])).orderBy("token").limit(rank.expansions)
+        exact = exact.unionByName(last.select(F.lit(len(terms) - 1).alias("i"), "token")).distinct()
+    hits = _scored(index, exact, terms, 1.0, rank)
+    some = hits.limit(rank.fallback_below).count()
+    if some < rank.fallback_below:
+        near = _scored(index, similar(asked, index.grams, rank.similarity), terms, rank.approximate, rank)
+        hits = hits.unionByName(near.join(F.broadcast(hits.select("id").limit(rank.fallback_below)), "id", "left_anti"))
     name, q = normalize(F.col("name")), normalize(F.lit(query))
     flag = lambda c, bonus: F.when(c, bonus).otherwise(0.0)
     bonus = F.when(name == q, rank.exact).when(name.startswith(q), rank.prefix).otherwise(0.0) + flag(F.col("head"), rank.head) + flag(F.col("only_substance"), rank.substance_only)
     for condition, value in ((marketed, rank.marketed), (active, rank.active)):
         if condition is not None:
             bonus = bonus + flag(condition, value)
-    return docs.join(hits, "id").select("id", (F.col("score") + bonus).alias("score")).orderBy(F.desc("score"), "id")
+    scored = docs.join(hits, "id").select("id", (F.col("score") + bonus).alias("score"))
+    return Found(scored, len(terms), some, some < rank.fallback_below)
+
+
+def search(docs: DataFrame, index: Index, query: str, rank: Rank | None = None, marketed: Column | None = None, active: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Hits of :func:`find`, best first; with ``limit`` only the best ones, without a global sort."""
+    hits = ranked(find(docs, index, query, rank, marketed, active).hits)
+    return hits if limit is None else hits.limit(limit)
 
 
 def suggest_tokens(words: DataFrame, prefix: str, limit: int, first: int = 200) -> DataFrame:

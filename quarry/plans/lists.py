@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import params
 from quarry.functions import scalars as S
 from quarry.functions.text import normalize
-from quarry.operators import filters, paging, quality, relations
+from quarry.operators import cron, filters, paging, quality, relations
 from quarry.plans.registry import Tables, literal, query, values
+from quarry.sources import catalog, scan
 
 NORM = "trim(regexp_replace(lower(strip_accents({})), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
 
@@ -33,10 +35,14 @@ def filter_bool_tristate(t: Tables) -> DataFrame:
     return joined.where(filters.equals_flag(F.col("quality"), 1, True)).select("doc_id", (F.col("toxic") == 1).alias("flag"))
 
 
-@query("select o_orderkey, o_orderstatus from orders where o_orderstatus in ('F', 'O') and o_orderpriority = '1-URGENT'")
+_STATES = {"F": "archivee", "O": "active", "P": "suspendue"}
+
+
+@query("select o_orderkey, case o_orderstatus when 'O' then 'Autorisation active' else 'Autorisation suspendue' end as statut from orders where o_orderstatus in ('O', 'P')")
 def filter_enum_map(t: Tables) -> DataFrame:
-    named = {"finished": "F", "open": "O", "urgent": "1-URGENT"}
-    return t.orders.where(F.col("o_orderstatus").isin(named["finished"], named["open"]) & (F.col("o_orderpriority") == named["urgent"])).select("o_orderkey", "o_orderstatus")
+    labels = S.lookup(F.col("o_orderstatus"), {k: filters.AUTHORISATION[v] for k, v in _STATES.items()})
+    wanted = [params.enum(name, filters.AUTHORISATION) for name in ("ACTIVE", " suspendue ")]
+    return t.orders.select("o_orderkey", labels.alias("statut")).where(F.col("statut").isin(*wanted))
 
 
 @query("select c_custkey, c_mktsegment from customer where lower(c_mktsegment) = lower('Building')")
@@ -112,14 +118,19 @@ def price_cents(t: Tables) -> DataFrame:
     return rows.unionByName(odd)
 
 
-PERCENT = [("65%", "65", "65"), ("65 %;30%", "65,30", "30,65"), ("", "", ""), ("x%", None, None), ("100%;120%;0", "100,120,0", "0,100")]
+PERCENT = [("65%", "65", "65"), ("65 %;30%", "65,30", "30,65"), ("", "", ""), ("x%", None, None), ("100%;120%;0", "100,120,0", "0,100"), ("65 %;", "65", "65"), ("65;;30", "65,30", "30,65"), (";", "", ""), ("6%5", None, None), (" 15 % ; ", "15", "15")]
 
 
-@query(f"select a, b as parsed, c as kept from {values(PERCENT, 'a, b, c')}")
+@query(f"""select a, b as parsed, c as kept from {values(PERCENT, 'a, b, c')}
+union all select l_orderkey || '-' || l_linenumber || ': ' || a, a, a from (select l_orderkey, l_linenumber, cast(cast(round(l_discount * 100) as int) as varchar) as a from lineitem group by all)""")
 def percent_list(t: Tables) -> DataFrame:
-    parsed = S.percentages(F.col("a"))
     text = lambda c: F.when(c.isNotNull(), F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
-    return literal(t.spark, PERCENT, "a string, b string, c string").select("a", text(parsed).alias("parsed"), text(S.rates(parsed)).alias("kept"))
+    rate = F.round(F.col("l_discount") * 100).cast("int").cast("string")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", rate.alias("r")).distinct()
+    rows = rows.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("k"), F.concat(F.lit(" ;"), "r", F.lit(" % ;")).alias("v"), "r")
+    lines = rows.select(F.concat("k", F.lit(": "), "r").alias("a"), text(S.percentages(F.col("v"))).alias("parsed"), text(S.rates(S.percentages(F.col("v")))).alias("kept"))
+    parsed = S.percentages(F.col("a"))
+    return lines.unionByName(literal(t.spark, PERCENT, "a string, b string, c string").select("a", text(parsed).alias("parsed"), text(S.rates(parsed)).alias("kept")))
 
 
 @query("select page_id, array_to_string(list_filter(list_transform(string_split(replace(url, '/', ';'), ';'), lambda x: trim(x)), lambda x: x <> ''), '|') as parts from pages")
@@ -181,10 +192,10 @@ def html_highlight(t: Tables) -> DataFrame:
     return t.pages.select("page_id", S.highlight(F.col("html"), "paracetam").alias("marked"))
 
 
-@query("select source, sha256(string_agg(sha256(text), '' order by doc_id)) as hash from documents group by source")
+@query("select conv_id, sha256(string_agg(sha256(text), '' order by turn, sha256(text))) as hash from conversations group by conv_id")
 def content_hash(t: Tables) -> DataFrame:
-    rows = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("d"))
-    return rows.select("source", F.sha2(F.array_join(F.transform("d", lambda x: x["h"]), ""), 256).alias("hash"))
+    """Every conversation counts as a set of files, its turns."""
+    return scan.content_hash(t.conversations.select("conv_id", F.col("turn").alias("name"), F.col("text").alias("content")), ("conv_id",))
 
 
 @query("select r_regionkey, substr(sha256('v1|GET|/regions/' || r_regionkey || '|limit=20'), 1, 16) as etag from region")
@@ -199,9 +210,9 @@ def status_class(t: Tables) -> DataFrame:
     return t.events.groupBy(S.status_label(status).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select event_type, count(*) as n from events where event_type not in ('click', 'view') and event_type <> '' group by 1")
+@query("select 'events' as file, 'event_type' as field, event_type as value, count(*) as n from events where event_type not in ('click', 'view') and event_type <> '' group by 3")
 def unknown_enum(t: Tables) -> DataFrame:
-    return t.events.where((F.col("event_type") != "") & ~F.col("event_type").isin("click", "view")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.unknown_values(t.events, "events", catalog.Spec("events", 0, [], {}, {"event_type": ("click", "view")}))
 
 
 @query("""select p_partkey is not null as kept, count(*) as n, sum(cast(l_quantity as bigint))::bigint as quantity from lineitem left join (select p_partkey from part where p_size > 10) on p_partkey = l_partkey group by 1""")
@@ -240,7 +251,8 @@ def left_link(t: Tables) -> DataFrame:
 @query("select p_partkey, p_name, s_name, count(*) as n from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey group by all")
 def relation_inner(t: Tables) -> DataFrame:
     pairs = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("p_partkey", "p_name", "s_name", "n")
+    named = relations.parents(pairs, t.part, "l_partkey", "p_partkey", ["p_name"])
+    return relations.parents(named, t.supplier, "l_suppkey", "s_suppkey", ["s_name"]).select("p_partkey", "p_name", "s_name", "n")
 
 
 @query("select p_partkey, p_name from part where p_partkey in (select l_partkey from lineitem where l_suppkey = 3)")
@@ -260,16 +272,10 @@ def expand_record(t: Tables) -> DataFrame:
     return full.select("p_partkey", F.array_join("packs", ",").alias("packs"), F.array_join("suppliers", ",").alias("suppliers"))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, p_name, count(*) as n from lineitem join part on p_partkey = l_partkey where l_orderkey <= 50 group by all")
-def parent_lookup(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_orderkey <= 50").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "n")
-
-
 @query("select l_orderkey, l_linenumber, l_partkey, p_name, count(*) as n from lineitem join part on p_partkey = l_partkey group by all")
-def parent_lookup_all(t: Tables) -> DataFrame:
+def parent_lookup(t: Tables) -> DataFrame:
     rows = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "n")
+    return relations.parents(rows, t.part, "l_partkey", "p_partkey", ["p_name"]).select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "n")
 
 
 @query("select cast(l_suppkey as varchar) as code, arg_min(l_returnflag, {'a': l_partkey, 'b': l_returnflag}) as name, count(distinct l_partkey) as parents from lineitem group by 1")
@@ -285,7 +291,7 @@ def group_denorm(t: Tables) -> DataFrame:
     return found.select("grp", "label", F.array_join(F.transform("members", lambda m: F.concat_ws("/", m["rank"].cast("string"), m["n_nationkey"].cast("string"))), ",").alias("members"))
 
 
-_ENTITIES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_ENTITIES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query(" union all ".join(f"select '{e}' as entity, count(*) as n from {e}" for e in _ENTITIES))
@@ -293,14 +299,6 @@ def entity_counts(t: Tables) -> DataFrame:
     return quality.entity_counts({e: getattr(t, e) for e in _ENTITIES})
 
 
-_ALL_ENTITIES = (*_ENTITIES, "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-@query(" union all ".join(f"select '{e}' as entity, count(*) as n from {e}" for e in _ALL_ENTITIES))
-def entity_counts_all(t: Tables) -> DataFrame:
-    return quality.entity_counts({e: getattr(t, e) for e in _ALL_ENTITIES})
-
-
 @query("select 'orders' as entity, (select count(*) from orders) - (select count(*) from orders where o_orderstatus = 'F') as delta union all select 'part', (select count(*) from part) - (select count(*) from part where p_size > 5)")
 def delta_counts(t: Tables) -> DataFrame:
     now = quality.entity_counts({"orders": t.orders, "part": t.part, "region": t.region})
@@ -313,8 +311,8 @@ from (select count(*) filter (l_quantity > 2 and l_suppkey > 5) as k, count(*) f
 def quality_gates(t: Tables) -> DataFrame:
     good = F.col("l_quantity") > 2
     one = t.lineitem.agg(F.count_if(good & (F.col("l_suppkey") > 5)).alias("kept"), F.count_if(~good).alias("rejected"), F.count_if(good & (F.col("l_suppkey") <= 5)).alias("out_of_scope"))
-    reject = F.col("rejected") / (F.col("kept") + F.col("rejected"))
-    return one.select("*", F.round(reject, 6).alias("reject_ratio"), F.round(F.col("out_of_scope") / (F.col("kept") + F.col("out_of_scope")), 6).alias("scope_ratio"), (reject <= quality.Gates.reject_ratio).alias("accepted"))
+    reject, scope = quality.scope_ratios(F.col("kept"), F.col("rejected"), F.col("out_of_scope"))
+    return one.select("*", F.round(reject, 6).alias("reject_ratio"), F.round(scope, 6).alias("scope_ratio"), (reject <= quality.Gates.reject_ratio).alias("accepted"))
 
 
 @query("select event_type as reason, count(*) as n from events group by 1 order by n desc, reason limit 1")
@@ -327,7 +325,7 @@ def dominant_reason_files(t: Tables) -> DataFrame:
     return quality.keyed_reasons(t.events.select(F.col("user_id").alias("file"), F.col("event_type").alias("reason")))
 
 
-@query("""select p_partkey, count(l_orderkey) as packs, coalesce(array_to_string(list_distinct(list(l_returnflag order by l_orderkey, l_linenumber, l_returnflag)[0:0]), ','), '') || coalesce(max(f), '') as flags
+@query("""select p_partkey, count(l_orderkey) as packs, coalesce(max(f), '') as flags
 from part left join lineitem on l_partkey = p_partkey left join (select l_partkey as k, string_agg(l_returnflag, ',' order by m) as f from
 (select l_partkey, l_returnflag, min({'a': l_orderkey, 'b': l_linenumber, 'c': l_returnflag}) as m from lineitem group by 1, 2) group by 1) on k = p_partkey group by p_partkey""")
 def child_counts(t: Tables) -> DataFrame:
@@ -343,13 +341,8 @@ def cardinalities(t: Tables) -> DataFrame:
     return t.part.agg(F.countDistinct("p_type").alias("forms"), F.countDistinct("p_brand").alias("holders"), F.countDistinct("p_size").alias("sizes"))
 
 
-@query("select o_orderkey, cast(o_orderdate as date) as day from orders order by o_orderdate desc nulls last, o_orderkey limit 50")
-def sort_stable(t: Tables) -> DataFrame:
-    return t.orders.orderBy(F.col("o_orderdate").desc_nulls_last(), "o_orderkey").limit(50).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
-
-
 @query("select o_orderkey, cast(o_orderdate as date) as day, row_number() over (order by o_orderdate desc nulls last, o_orderkey) as position from orders")
-def sort_all(t: Tables) -> DataFrame:
+def sort_stable(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_orderdate")
     sorted_rows = paging.positions(rows, F.col("o_orderdate").cast("date"), [F.col("o_orderdate").desc_nulls_last(), "o_orderkey"], descending=True)
     return sorted_rows.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "position")
@@ -376,21 +369,39 @@ def retention(t: Tables) -> DataFrame:
     return literal(t.spark, [(n,) for n in surplus(_KEPT, 2, "d")], "name string")
 
 
-@query()
-def cursor_codec(t: Tables) -> DataFrame:
-    rows = [(o, S.encode_cursor(o, "0123456789abcdef"), S.decode_cursor(S.encode_cursor(o, "0123456789abcdef"), "0123456789abcdef")) for o in (0, 1, 20, 12345)]
-    return literal(t.spark, rows, "offset int, cursor string, back int")
+_VERSION = "0123456789abcdef"
 
 
-@query()
+@query("""select o_orderkey, rtrim(replace(replace(to_base64(encode('{"o":' || o_orderkey || ',"h":"01234567"}')), '+', '-'), '/', '_'), '=') as cursor, o_orderkey as back, cast(null as bigint) as stale, cast(null as bigint) as broken from orders""")
+def cursor_codec(t: Tables) -> DataFrame:
+    """Cursors to every order's position and back; those of other data and cut-off ones give nothing."""
+    cursor = S.cursor_column(F.col("o_orderkey"), _VERSION)
+    rows = t.orders.select("o_orderkey", cursor.alias("cursor"), S.cursor_column(F.col("o_orderkey"), "other").alias("old"))
+    return rows.select("o_orderkey", "cursor", S.offset_column(F.col("cursor"), _VERSION).alias("back"), S.offset_column(F.col("old"), _VERSION).alias("stale"), S.offset_column(F.substr("cursor", F.lit(6), F.length("cursor")), _VERSION).alias("broken"))
+
+
+#: Expressions with their minutes of a day and the days they mean, as SQL over a day d.
+_CRONS = {
+    "*/15 * * * *": (list(range(0, 1440, 15)), "true"),
+    "0 4 * * 1": ([240], "dayofweek(d) = 1"),
+    "30 2 29 2 *": ([150], "month(d) = 2 and day(d) = 29"),
+    "0 0 13 * 5": ([0], "(day(d) = 13 or dayofweek(d) = 5)"),
+    "0 12,18 1,15 * *": ([720, 1080], "day(d) in (1, 15)"),
+}
+
+
+@query("with e as (select event_id, ts from events) " + " union all ".join(
+    f"""select event_id, '{x}' as expression, (select min(s) from (select d + to_minutes(unnest({minutes})) as s from (select unnest(generate_series(cast(ts as date), cast(ts as date) + interval 1461 day, interval 1 day)) as d) where {days}) where s > date_trunc('minute', ts)) as next from e"""
+    if x.startswith("*") is False else f"select event_id, '{x}' as expression, date_trunc('hour', ts) + to_minutes(15 * (1 + minute(ts) // 15)) as next from e"
+    for x, (minutes, days) in _CRONS.items()))
 def cron_next(t: Tables) -> DataFrame:
-    from datetime import datetime
-
-    from quarry.operators import cron
-
-    start = datetime(2024, 2, 28, 23, 59)
-    rows = [(e, str(cron.next_after(cron.parse(e), start))) for e in ("*/15 * * * *", "0 4 * * 1", "30 2 29 2 *", "0 0 13 * 5", "0 12 1,15 * *")]
-    return literal(t.spark, rows, "expression string, next string")
+    """The next time of every expression after every event."""
+    each = t.events.select("event_id", "ts")
+    out = None
+    for x in _CRONS:
+        one = each.select("event_id", F.lit(x).alias("expression"), cron.next_column(cron.parse(x), F.col("ts")).alias("next"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"select doc_id, {NORM.format('text')} as norm from documents")

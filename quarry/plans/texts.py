@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from quarry.operators import metrics, search
 from quarry.plans.lists import NORM
 from quarry.plans.registry import Tables, query
 from quarry.sources import scan
+from quarry.sources.shared import shared_dir
 from quarry.streaming.limits import token_bucket as limited
 
 
@@ -30,14 +33,28 @@ vocab as (select token, count(distinct id) as df from postings group by token),
 size as (select count(*) as rows from documents)"""
 
 
-def _index(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _parts(t: Tables) -> tuple[DataFrame, DataFrame]:
     lines = F.split("text", "\n")
     docs = t.documents.select(F.col("doc_id").alias("id"), F.get(lines, F.lit(0)).alias("name"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n").alias("rest"), "source")
     index = search.postings(docs.select("id", F.col("name").alias("text")), docs.select("id", F.col("rest").alias("text")), docs.select("id", F.col("source").alias("text")))
     return docs.select("id", "name"), index
 
 
-def _search_sql(query_: str, fallback: bool = True) -> str:
+_published: dict[tuple[str, str], str] = {}
+
+
+def _index(t: Tables) -> tuple[DataFrame, search.Index]:
+    """The corpus and its published index; the first search of a session builds it, as a load does."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    docs, index = _parts(t)
+    if key not in _published:
+        path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+        search.publish_index(index, docs, path)
+        _published[key] = path
+    return docs, search.open_index(t.spark, _published[key])
+
+
+def _search_sql(query_: str, fallback: bool = True, extra: str = "") -> str:
     """Ranking of a query of plain lower-case words."""
     terms = query_.split()
     asked = ", ".join(f"({i}, '{w}')" for i, w in enumerate(terms))
@@ -57,23 +74,23 @@ near as (select qg.i, qg.term, vg.token, sum(qg.n * vg.n) as inter, any_value(qg
 a as ({scored.format(m='near', f='0.6', k=len(terms))}),
 h as (select * from e union all select * from a where (select count(*) from e) < {5 if fallback else 0} and id not in (select id from e)),
 d as (select doc_id as id, {NORM.format(_NAME)} as name from documents)
-select h.id, round(score + case when name = '{query_.strip()}' then 50 when starts_with(name, '{query_.strip()}') then 20 else 0 end + case when head then 10 else 0 end + case when only_substance then -5 else 0 end, 6) as score
+select h.id, round(score + case when name = '{query_.strip()}' then 50 when starts_with(name, '{query_.strip()}') then 20 else 0 end + case when head then 10 else 0 end + case when only_substance then -5 else 0 end{extra}, 6) as score
 from h join d using (id)"""
 
 
 def _found(t: Tables, text: str) -> DataFrame:
     docs, index = _index(t)
-    return search.search(docs, index.cache(), text).select("id", F.round("score", 6).alias("score"))
+    return search.find(docs, index, text).hits.select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {_INDEX} select token, df from vocab")
 def tokens_df(t: Tables) -> DataFrame:
-    return search.vocabulary(_index(t)[1])
+    return search.vocabulary(_parts(t)[1])
 
 
 @query(f"with {_INDEX} select token, field, count(*) as docs, cast(sum(n) as bigint) as places, count_if(first) as firsts from postings group by token, field")
 def postings(t: Tables) -> DataFrame:
-    return _index(t)[1].groupBy("token", "field").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("places"), F.count_if("first").alias("firsts"))
+    return _parts(t)[1].groupBy("token", "field").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("places"), F.count_if("first").alias("firsts"))
 
 
 _WORDS = f"select distinct unnest({_tok('p_name')}) as w from part"
@@ -97,14 +114,13 @@ b as (select w as token, strlen(w) + 1 as size, g, count(*) as n from (select w,
 select i, term, token from (select a.i, a.term, b.token, sum(a.n * b.n) as inter, any_value(a.size) + any_value(b.size) as sizes from a join b using (g) group by all) where sizes <> inter and inter / (sizes - inter) >= 0.4""")
 def jaccard_candidates(t: Tables) -> DataFrame:
     terms = t.spark.createDataFrame([(0, "wiget"), (1, "banana"), (2, "aaaaaa"), (3, "ring")], "i int, term string")
-    return search.similar(terms, _part_words(t), 0.4)
+    return search.similar(terms, search.grams(_part_words(t)), 0.4)
 
 
 @query(f"with {_INDEX} select token, round(ln(1 + (rows - df + 0.5) / (df + 0.5)), 6) as idf from vocab, size")
 def idf_table(t: Tables) -> DataFrame:
-    docs, index = _index(t)
-    total = docs.agg(F.count(F.lit(1)).alias("rows"))
-    return search.vocabulary(index).crossJoin(F.broadcast(total)).select("token", F.round(idf(F.col("rows"), F.col("df")), 6).alias("idf"))
+    index = _index(t)[1]
+    return index.words.select("token", F.round(idf(F.lit(index.rows), F.col("df")), 6).alias("idf"))
 
 
 @query(_search_sql("thing ", fallback=True))
@@ -127,16 +143,46 @@ def search_fallback(t: Tables) -> DataFrame:
     return _found(t, "thnterbleee")
 
 
-@query(f"with {_INDEX} select (select count(*) from vocab) as tokens, (select count(*) from postings) as candidates, (select count(distinct id) from postings where token = 'the') as hits")
+@query(_search_sql("the anea", extra=" + case when id % 2 = 0 then 15 else 0 end + case when id % 3 = 0 then 5 else 0 end"))
+def search_bonus(t: Tables) -> DataFrame:
+    """Documents with even ids count as marketed, those divisible by three as active."""
+    docs, index = _index(t)
+    found = search.find(docs, index, "the anea", marketed=F.col("id") % 2 == 0, active=F.col("id") % 3 == 0)
+    return found.hits.select("id", F.round("score", 6).alias("score"))
+
+
+_ASKED = ("thing ", "the anea", "thnterbleee", "!!!")
+
+
+@query(" union all ".join(f"select '{q}' as query, {len(q.split()) if q != '!!!' else 0} as tokens, {m} as mode, n as hits from (select count(*) as n from ({_search_sql(q)}))" for q, m in (("thing ", "'exact'"), ("the anea", "'exact'"), ("thnterbleee", "'trigram'"))) + " union all select '!!!', 0, 'exact', 0")
 def search_stats(t: Tables) -> DataFrame:
-    index = _index(t)[1]
-    one = index.agg(F.countDistinct("token").alias("tokens"), F.count(F.lit(1)).alias("candidates"), F.countDistinct(F.when(F.col("token") == "the", F.col("id"))).alias("hits"))
-    return one
+    """What a search reports: its tokens, whether it fell back to similar ones, its hits."""
+    docs, index = _index(t)
+    out = None
+    for text in _ASKED:
+        found = search.find(docs, index, text)
+        one = found.hits.agg(F.count(F.lit(1)).alias("hits")).select(F.lit(text).alias("query"), F.lit(found.tokens).alias("tokens"), F.lit(found.mode).alias("mode"), "hits")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"with {_INDEX} select 'postings' as entity, count(*) as n from postings union all select 'words', count(*) from vocab")
+def search_index_build(t: Tables) -> DataFrame:
+    """What a load publishes for searches, built anew: its tables and their rows."""
+    docs, index = _parts(t)
+    path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    search.publish_index(index, docs, path)
+    found = search.open_index(t.spark, path)
+    out = None
+    for name in ("postings", "words"):
+        one = getattr(found, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("entity"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"with {_INDEX} select token, df from (select token, df from vocab where starts_with(token, 'th') order by token limit 200) order by df desc, token limit 10")
 def suggest_tokens(t: Tables) -> DataFrame:
-    return search.suggest_tokens(search.vocabulary(_index(t)[1]), "th", 10)
+    return search.suggest_tokens(_index(t)[1].words, "th", 10)
 
 
 @query(f"""select kind, id, label from (
@@ -198,12 +244,65 @@ def rate_window(t: Tables) -> DataFrame:
     return found.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", F.round("rate", 6).alias("rate"))
 
 
+@query("""with h as (select event_type, unnest([5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 250.0]) as le, unnest([count(*) filter (value <= 5), count(*) filter (value <= 10), count(*) filter (value <= 25), count(*) filter (value <= 50), count(*) filter (value <= 75), count(*) filter (value <= 100), count(*) filter (value <= 250)]) as n from events group by 1)
+select le, cast(sum(n) as bigint) as n from h group by 1 union all select 'inf'::double, count(value) from events""")
+def histogram_summed(t: Tables) -> DataFrame:
+    return metrics.summed(metrics.histogram(t.events, ["event_type"], "value", _BOUNDS), [])
+
+
+@query("""select event_type, label, n from (select event_type, case when s in (401, 404, 429, 503) then cast(s as varchar) else cast(s // 100 as varchar) || 'xx' end as label, count(*) as n
+from (select event_type, [200, 304, 400, 401, 404, 429, 500, 503][1 + event_id % 8] as s from events) group by 1, 2)""")
+def request_counts(t: Tables) -> DataFrame:
+    return _requests(t)["requests"].withColumnRenamed("status", "label")
+
+
+def _requests(t: Tables) -> dict[str, DataFrame]:
+    status = F.get(F.array(*map(F.lit, (200, 304, 400, 401, 404, 429, 500, 503))), (F.col("event_id") % 8).cast("int"))
+    rows = t.events.withColumn("seconds", F.col("value") / 1000).withColumn("bytes", F.col("event_id") % 5000 * 100).withColumn("hits", F.col("event_id") % 700)
+    return metrics.request_metrics(rows, "event_type", status, "seconds", "bytes", "hits")
+
+
+def _histogram_sql(kind: str, value: str, bounds: tuple) -> str:
+    counts = ", ".join(f"count(*) filter ({value} <= {b}::double)" for b in bounds)
+    return f"select '{kind}' as kind, event_type, unnest([{', '.join(f'{b}::double' for b in bounds)}, 'inf'::double]) as le, unnest([{counts}, count({value})]) as n from events group by event_type"
+
+
+@query(" union all ".join((_histogram_sql("durations", "(value / 1000)", metrics.LATENCY), _histogram_sql("sizes", "(event_id % 5000 * 100)", metrics.SIZES), _histogram_sql("results", "(event_id % 700)", metrics.RESULTS))))
+def request_histograms(t: Tables) -> DataFrame:
+    """Durations, sizes and result numbers of requests at the fixed bounds."""
+    found = _requests(t)
+    parts = [found[kind].select(F.lit(kind).alias("kind"), "event_type", "le", "n") for kind in ("durations", "sizes", "results")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_NOW = "(select max(ts) from events)"
+
+
+@query("select event_type, count(*) filter (ts > timestamp '2024-01-02 12:00:00' - interval 24 hour and ts <= timestamp '2024-01-02 12:00:00') as increase from events group by 1")
+def increase_day(t: Tables) -> DataFrame:
+    return metrics.increase(t.events, ["event_type"], "ts", "2024-01-02 12:00:00", "24 hours")
+
+
+@query("""with s as (select event_type, event_id, ts, value > 60 as breach, last_value(case when not coalesce(value > 60, false) then event_id end ignore nulls) over w as calm from events window w as (partition by event_type order by event_id rows between unbounded preceding and current row)),
+r as (select *, min(case when breach then event_id end) over (partition by event_type, calm order by event_id rows between unbounded preceding and current row) as since from s)
+select event_type, event_id, coalesce(breach, false) and event_id - since >= 3 as firing from r""")
+def alert_rule(t: Tables) -> DataFrame:
+    """Values above 60 at every event of a type for three seconds, an event's number counting as its second."""
+    samples = t.events.select("event_type", "event_id", F.timestamp_seconds("event_id").alias("at"), "value")
+    return metrics.alerts(samples, ["event_type"], "at", "value", 60, 3).select("event_type", "event_id", "firing")
+
+
 @query("select user_id, count(*) filter (event_type = 'error' or value > 90) as errors, count(*) as n, round(count(*) filter (event_type = 'error' or value > 90) / greatest(count(*), 0.001), 6) as ratio from events group by 1")
 def error_ratio(t: Tables) -> DataFrame:
     found = metrics.error_ratio(t.events, ["user_id"], (F.col("event_type") == "error") | (F.col("value") > 90))
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, ts, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null),
+r as (select user_id, event_id, ts, us, k, true as allowed, 0.0::double as wait, 2.0::double as level from e where k = 1
+  union all select user_id, event_id, ts, us, k, level >= 1, case when level >= 1 then 0.0 else greatest(1.0, (1 - level) / 0.0005::double) end, case when level >= 1 then level - 1 else level end
+  from (select e.*, least(3.0::double, r.level + (e.us - r.us) / 1e6::double * 0.0005::double) as level from r join e on e.user_id = r.user_id and e.k = r.k + 1))
+select user_id, ts, event_id, allowed, round(wait, 3) as wait from r""")
 def token_bucket(t: Tables) -> DataFrame:
-    return limited(t.events, "user_id", "ts", "event_id", 0.0005, 3.0)
+    found = limited(t.events, "user_id", "ts", "event_id", 0.0005, 3.0)
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("wait", F.round("wait", 3))

@@ -8,16 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key that is idle so long is forgotten.
-IDLE_MS = 10 * 60 * 1000
-
 
 def token_bucket(events: DataFrame, key: str, time: str, order: str, per_second: float, burst: float) -> DataFrame:
     """key, time, order, allowed and wait (seconds, 0 if allowed) of every event.
 
     A bucket starts full, refills at ``per_second`` up to ``burst`` and gives
     one token an event; a refused event waits for the missing part, 1 s at
-    least. Events of a key are folded in order of time.
+    least. Events of a key are folded in order of time, one after the other,
+    as each level hangs on the one before; rows stream past in sorted order,
+    so a key may have any number of events. Idle keys keep their level.
     """
     rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"), F.col(order).alias("o"))
     schema = "k bigint, us bigint, o bigint, allowed boolean, wait double"
@@ -27,9 +26,7 @@ def token_bucket(events: DataFrame, key: str, time: str, order: str, per_second:
         for batch in batches:
             allowed, wait = [], []
             for us in batch["us"].tolist():
-                if last is not None and us - last > IDLE_MS * 1000:
-                    level = burst
-                elif last is not None:
+                if last is not None:
                     level = min(burst, level + (us - last) / 1e6 * per_second)
                 last = us
                 allowed.append(level >= 1)
@@ -71,9 +68,16 @@ class _Feed:
         return next(self.out)
 
 
-def token_bucket_stream(events: DataFrame, key: str, time: str, per_second: float, burst: float) -> DataFrame:
-    """The same on a stream: key, time (microseconds), allowed; state of idle keys expires."""
-    rows = events.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
+def token_bucket_stream(events: DataFrame, key: str, time: str, per_second: float, burst: float, late: str = "1 minute") -> DataFrame:
+    """The same on a stream: key, time (microseconds), allowed.
+
+    Events of a batch are folded in order of time; those later than the
+    watermark's ``late`` are dropped. A key's state ends by event time, when
+    its bucket would be full again anyway, so nothing is lost with it.
+    """
+    marked = events.withColumn("__time", F.col(time).cast("timestamp")).withWatermark("__time", late)
+    rows = marked.select(F.col(key).cast("string").alias("k"), F.unix_micros("__time").alias("us"), "__time")
+    full_after = int(burst / per_second * 1000) + 1
 
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -88,10 +92,10 @@ def token_bucket_stream(events: DataFrame, key: str, time: str, per_second: floa
             allowed.append(level >= 1)
             level -= level >= 1
         state.update((level, last))
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(last // 1000 + full_after, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"k": [k[0]] * len(us), "us": us, "allowed": allowed})
 
-    return rows.groupBy("k").applyInPandasWithState(step, "k string, us bigint, allowed boolean", "level double, last bigint", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("k").applyInPandasWithState(step, "k string, us bigint, allowed boolean", "level double, last bigint", "append", "EventTimeTimeout")
 
 
 def windowed_counts_stream(events: DataFrame, time: str, keys: list[str], width: str, late: str) -> DataFrame:

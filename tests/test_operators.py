@@ -38,10 +38,11 @@ def test_gates():
         assert e.value.gate == gate
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Doliprane 500 mg"), (2, "Paracétamol Biogaran"), (3, "Efferalgan"), (4, "Dolirhume")], "id int, name string")
     holders = spark.createDataFrame([(3, "Paracétamol")], "id int, text string")
-    index = search.postings(docs.withColumnRenamed("name", "text"), holders).cache()
+    search.publish_index(search.postings(docs.withColumnRenamed("name", "text"), holders), docs, f"file://{tmp_path}/index")
+    index = search.open_index(spark, f"file://{tmp_path}/index")
     ids = lambda q, **k: [r["id"] for r in search.search(docs, index, q, **k).collect()]
     assert ids("paracétamol") == [2, 3]
     assert ids("PARACETAMOLL") == [2, 3]
@@ -49,12 +50,15 @@ def test_search(spark):
     assert ids("doli ", rank=search.Rank(fallback_below=0)) == []
     assert ids("!!!") == []
     assert ids("paracetamol biogaran") == [2]
+    assert ids("doli", limit=1, marketed=F.col("id") == 4) == [4] and ids("doli", limit=1, active=F.col("id") == 1) == [1]
+    found = search.find(docs, index, "PARACETAMOLL")
+    assert (found.tokens, found.exact, found.fallback, found.mode) == (1, 0, True, "trigram")
 
 
 def test_repeated_grams_inflate(spark):
     words = spark.createDataFrame([("banana",), ("aaaaaa",)], "token string")
     terms = spark.createDataFrame([(0, "banana"), (1, "aaaaaa")], "i int, term string")
-    found = {(r["term"], r["token"]) for r in search.similar(terms, words, 0.4).collect()}
+    found = {(r["term"], r["token"]) for r in search.similar(terms, search.grams(words), 0.4).collect()}
     assert ("banana", "banana") in found and ("aaaaaa", "aaaaaa") not in found
 
 
