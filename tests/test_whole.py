@@ -18,11 +18,11 @@ def rows_of(spark, name):
 
 def test_every_line_is_looked_up(spark):
     lines = rows_of(spark, "lineitem")
-    found = QUERIES["parent_lookup_all"](spark, FOLDER).agg(F.sum("n"), F.max("l_orderkey")).first()
+    found = QUERIES["parent_lookup"](spark, FOLDER).agg(F.sum("n"), F.max("l_orderkey")).first()
     assert tuple(found) == (lines.count(), lines.agg(F.max("l_orderkey")).first()[0])
 
 
-@pytest.mark.parametrize(("name", "table"), [("sort_all", "orders"), ("sort_names", "part")])
+@pytest.mark.parametrize(("name", "table"), [("sort_stable", "orders"), ("sort_names", "part")])
 def test_every_row_has_a_position(spark, name, table):
     found = sorted(r["position"] for r in QUERIES[name](spark, FOLDER).select("position").collect())
     assert found == list(range(1, rows_of(spark, table).count() + 1))
@@ -42,7 +42,7 @@ def test_shortages_are_newest_first(spark):
 
 
 def test_every_table_is_counted(spark):
-    found = {r["entity"]: r["n"] for r in QUERIES["entity_counts_all"](spark, FOLDER).collect()}
+    found = {r["entity"]: r["n"] for r in QUERIES["entity_counts"](spark, FOLDER).collect()}
     assert found == {n.removesuffix(".parquet"): rows_of(spark, n.removesuffix(".parquet")).count() for n in os.listdir(FOLDER) if n.endswith(".parquet")}
 
 
