@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -233,16 +234,45 @@ def test_films(spark):
 # Licences, URLs, WARC
 
 
+def licence_brute(texts):
+    """labels of each text, by its definition."""
+    words = [alnum(t) for t in texts]
+    counts = Counter(w for ws in words for w in set(ws))
+    rare = licenses.rare_words(counts)
+    out = []
+    for ws in words:
+        labels = set()
+        for t, own in zip(licenses.TEMPLATES, rare, strict=True):
+            top = [w for w in own if w in ws][: licenses.LOOKED_UP]
+            votes = {}
+            for at, w in enumerate(ws):
+                for p, x in enumerate(t.words):
+                    if x == w and w in top and at >= p:
+                        votes.setdefault(at - p, set()).add(w)
+            stands = lambda s, p: any(s + k >= 0 and ws[s + k : s + k + len(p.split())] == p.split() for k in range(licenses._offset(t, p) - t.slack, licenses._offset(t, p) + t.slack + 1))  # noqa: B023, E731
+            if any(len(v) >= min(licenses.AGREE, len(own)) and all(stands(s, p) for p in t.phrases) for s, v in votes.items()):
+                labels.add(t.label)
+        out.append(",".join(sorted(labels)))
+    return out
+
+
 def test_licences(spark):
-    texts = [*ODD, "The MIT License; mit license", "GNU Lesser General Public License, Apache License", "mit the license", "Permission is hereby granted, free of charge, to any person obtaining a copy", "Kit mit licenKse"]
-    rows = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, texts).withColumn("words", F.lit(1))).collect()}
+    mit, gpl = next(t.text for t in licenses.TEXTS if t.label == "mit"), next(t.text for t in licenses.TEXTS if t.label == "gpl")
+    changed = mit.replace("associated documentation", "its own associated documentation").replace("merge", "")
+    long = " ".join(["mit license filler"] * 20_000)
+    texts = [*ODD, "The MIT License; mit license", "GNU Lesser General Public License, Apache License", "mit the license", mit, "x " * 30 + changed.upper(), mit[:120], "Kit mit licenKse", gpl + " and " + mit, gpl.replace("redistribute", "sell"), "mit license " + gpl, long, "software license the"]
+    n = len(ODD)
+    rows = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, texts).withColumn("words", F.lit(1)).withColumn("index", F.lit(2))).collect()}
     for i, t in enumerate(texts):
         w = alnum(t)
-        places = [a for _, p in licenses.BASE for a in range(len(w)) if w[a : a + len(p.split())] == p.split()]
+        places = [a for b in licenses.BASE for a in range(len(w)) if w[a : a + len(b.words)] == b.words]
         assert (rows[i]["n_words"], rows[i]["n_base"], rows[i]["first_word"], rows[i]["last_word"]) == (len(w), len(places), min(places, default=None), max(places, default=None))
-    assert rows[10]["base_labels"] == "apache,gpl" and rows[10]["labels"] == "apache,gpl,lgpl"
-    assert rows[12]["base_labels"] == "" and rows[12]["labels"] == "mit" and 0 < rows[12]["score"] <= 1 and rows[0]["score"] == 0
+    assert [rows[i]["labels"] for i in range(len(texts))] == licence_brute(texts)
+    assert [rows[n + k]["labels"] for k in range(12)] == ["mit", "apache,gpl,lgpl", "", "mit", "mit", "", "", "gpl,mit", "gpl", "gpl,mit", "mit", ""]
+    assert rows[n + 1]["base_labels"] == "apache,gpl" and 0 < rows[n + 3]["score"] <= 1 and rows[0]["score"] == 0
     assert licenses.scan(docs_of(spark, ["x"]).limit(0)).count() == 0
+    twice = spark.createDataFrame([(None, "mit license"), (None, "mit license"), (1, None)], "doc_id long, text string")
+    assert sorted(r["n_base"] for r in licenses.scan(twice).collect()) == [0, 1, 1]
 
 
 def test_url_filter(spark):
