@@ -6,7 +6,8 @@ at any file size; every piece is only a candidate record, as payloads may
 contain the magic too. Tasks emit each candidate's offset and its successor's
 (offset + header + Content-Length + 4); per archive, pointer jumping from the
 file's start marks the reachable candidates, and only those are records.
-Pieces inside a record are put together again.
+Pieces inside a record are put together again. Pieces are known by their
+bytes' place in the archive, so it doesn't matter how a read is split.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, few, shared_dir, small_batches
@@ -65,8 +66,6 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
         F.col("url"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:"),
         base32(F.col("sha1")),
-        F.lit("\r\nWARC-Payload-Length: "),
-        F.col("bytes").cast("string"),
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("first")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Length: "),
         F.octet_length(block).cast("string"),
@@ -82,9 +81,11 @@ def _field(head: Column, name: str) -> Column:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between magics: archive, number in reading order, text."""
-    # The directory is not recursive and the split sizes are the session's: both passes number pieces alike.
-    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("number"), "value")
+    """What lies between magics: archive, block and number in reading order within one read, text.
+
+    Blocks and numbers hang on how a read is split, so they never link two reads.
+    """
+    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"), "value")
 
 
 def _parsed(value: Column) -> dict[str, Column]:
@@ -102,7 +103,6 @@ def _parsed(value: Column) -> dict[str, Column]:
         "id": _field(head, "WARC-Record-ID"),
         "refers": _field(head, "WARC-Refers-To"),
         "told_digest": F.regexp_replace(_field(head, "WARC-Payload-Digest"), "^sha1:", ""),
-        "told_bytes": _field(head, "WARC-Payload-Length").try_cast("bigint"),
         "payload_bytes": F.octet_length(payload).cast("bigint"),
         "payload_sha1": F.sha1(payload),
     }
@@ -130,8 +130,8 @@ def reachable(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
 
 
 def _chain(group: pa.Table) -> pa.Table:
-    """Pieces of one archive with the record they belong to and the number of its pieces."""
-    group = group.sort_by("number")
+    """Pieces of one archive with where they begin, the record they belong to, and the number of its pieces."""
+    group = group.sort_by([("block", "ascending"), ("number", "ascending")])
     length = group.column("length").to_numpy()
     begin = np.cumsum(length + len(MAGIC)) - length - len(MAGIC)
     head = group.column("head_bytes").to_numpy()
@@ -140,57 +140,66 @@ def _chain(group: pa.Table) -> pa.Table:
     offset = begin[1:] - len(MAGIC)
     successor = np.where(content[1:] >= 0, begin[1:] + head[1:] + content[1:] + 4, -1)
     mark = np.concatenate(([False], reachable(offset, successor)))
-    number = group.column("number").to_numpy()
     record = np.cumsum(mark) - 1
-    firsts = number[mark]
-    own = np.where(record >= 0, firsts[np.maximum(record, 0)] if len(firsts) else -1, -1)
+    firsts, ends = begin[mark], np.concatenate(([0], successor))[mark]
     # Pieces behind a record's end belong to no record.
-    end = np.concatenate(([0], successor))[np.flatnonzero(mark)] if len(firsts) else np.zeros(0, np.int64)
-    inside = (record >= 0) & (begin < (end[np.maximum(record, 0)] if len(end) else 0))
-    some = np.flatnonzero(inside)
+    some = np.flatnonzero(record >= 0)
+    some = some[begin[some] < ends[record[some]]]
     count = np.bincount(record[some], minlength=max(len(firsts), 1))
-    return pa.table({"number": pa.array(number[some]), "record": pa.array(own[some]), "pieces": pa.array(count[record[some]].astype(np.int64))})
+    columns = {"file": group.column("file"), "block": group.column("block"), "number": group.column("number"), "begin": pa.array(begin, pa.int64())}
+    own = pa.table({**columns}).take(pa.array(some, pa.int64()))
+    return own.append_column("record", pa.array(firsts[record[some]], pa.int64())).append_column("pieces", pa.array(count[record[some]], pa.int64()))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under ``path``: kind, id, refers, told_digest, told_bytes, payload_bytes, payload_sha1.
+    """The records of all archives under ``path``: kind, id, refers, told_digest, payload_bytes, payload_sha1.
 
     Text before the first record, cut-off records and candidates that the
     chain from the file's start doesn't reach are no records.
     """
     small_batches(spark)
-    pieces = _pieces(spark, path)
-    found = pieces.select("file", "number", F.octet_length("value").cast("bigint").alias("length"), *[c.alias(k) for k, c in _parsed(F.col("value")).items()])
+    key = ["file", "block", "number"]
+    found = _pieces(spark, path).select(*key, F.octet_length("value").cast("bigint").alias("length"), *[c.alias(k) for k, c in _parsed(F.col("value")).items()])
     found = cut(found, "candidates")
-    chain = cut(found.select("file", "number", "length", "head_bytes", "content_bytes").groupBy("file").applyInArrow(_chain, "number bigint, record bigint, pieces bigint"), "chain")
-    fields = ["kind", "id", "refers", "told_digest", "told_bytes", "payload_bytes", "payload_sha1"]
-    whole = found.join(chain.where("pieces = 1").select("number"), "number", "left_semi").select(*fields)
-    parts = chain.where("pieces > 1")
+    chain = cut(found.select(*key, "length", "head_bytes", "content_bytes").groupBy("file").applyInArrow(_chain, "file string, block bigint, number bigint, begin bigint, record bigint, pieces bigint"), "chain")
+    fields = ["kind", "id", "refers", "told_digest", "payload_bytes", "payload_sha1"]
+    whole = found.join(chain.where("pieces = 1").select(*key), key, "left_semi").select(*fields)
+    parts = chain.where("pieces > 1").select("file", "begin", "record")
     if few(parts, 0):
         return whole
-    # Records whose payload holds the magic: their pieces are read again and joined by it.
+    # Archives with records whose payload holds the magic are read again, their pieces found by where they begin.
+    files = parts.select("file").distinct()
+    again = _pieces(spark, path).join(F.broadcast(files) if few(files, BROADCAST_GROUPS) else files, "file", "left_semi")
+    before = Window.partitionBy("file").orderBy("block", "number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = again.withColumn("begin", F.coalesce(F.sum(F.octet_length("value").cast("bigint") + len(MAGIC)).over(before), F.lit(0)))
     parts = F.broadcast(parts) if few(parts, BROADCAST_GROUPS) else parts
-    again = _pieces(spark, path).join(parts, "number").groupBy("record").agg(F.array_sort(F.collect_list(F.struct("number", "value"))).alias("p"))
-    joined = again.select(F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
-    return whole.unionByName(joined.select(*[c.alias(k) for k, c in _parsed(F.col("value")).items()]).select(*fields))
+    joined = placed.join(parts, ["file", "begin"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("begin", "value"))).alias("p"))
+    values = joined.select(F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
+    return whole.unionByName(values.select(*[c.alias(k) for k, c in _parsed(F.col("value")).items()]).select(*fields))
 
 
 def page_records(pages: DataFrame) -> DataFrame:
     """Pages written to archives in the shared folder and read back, one row per page.
 
-    payload_bytes and payload_digest are those of the full payload: read for
-    responses, told by the header for revisits.
+    payload_bytes and payload_digest are those of the full payload, which a
+    revisit has in the response it refers to. A payload that differs from the
+    digest told of it ends the read with an error.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/quarry/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    records = read_archives(spark, path)
+    records = cut(read_archives(spark, path), "records")
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("bigint")
     response = F.col("kind") == "response"
-    return records.select(
-        page(F.col("id")).alias("page_id"),
-        F.when(response, F.col("payload_bytes")).otherwise(F.col("told_bytes")).alias("payload_bytes"),
-        F.when(response, base32(F.col("payload_sha1"))).otherwise(F.col("told_digest")).alias("payload_digest"),
-        F.col("kind").alias("record_type"),
-        page(F.col("refers")).alias("refers_to"),
-    )
+    digest = base32(F.col("payload_sha1"))
+    wrong = F.raise_error(F.concat(F.lit("a payload differs from its digest: "), "id")).cast("string")
+    own = records.where(response).select(page(F.col("id")).alias("page_id"), "id", "payload_bytes", F.when(F.col("told_digest") == digest, digest).otherwise(wrong).alias("payload_digest"))
+    revisits = records.where(~response).select(page(F.col("id")).alias("page_id"), "refers", "told_digest")
+    # A page may come with several payloads, so a revisit's digest belongs to what it names.
+    named = revisits.select(F.col("refers").alias("id"), F.col("told_digest").alias("payload_digest")).distinct()
+    meant = own.join(F.broadcast(named) if few(named, BROADCAST_GROUPS) else named, ["id", "payload_digest"], "left_semi").groupBy("id", "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"))
+    meant = meant.select(F.col("id").alias("refers"), F.col("payload_digest").alias("told_digest"), "payload_bytes")
+    lost = F.raise_error(F.concat(F.lit("a revisit has no response with its payload: "), "refers")).cast("string")
+    again = revisits.join(F.broadcast(meant) if few(meant, BROADCAST_GROUPS) else meant, ["refers", "told_digest"], "left")
+    again = again.select("page_id", "payload_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("told_digest")).otherwise(lost).alias("payload_digest"), F.lit("revisit").alias("record_type"), page(F.col("refers")).alias("refers_to"))
+    return own.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to")).unionByName(again)

@@ -311,6 +311,24 @@ def test_warc(spark):
         again = smallest[h or ""] != i
         assert tuple(rows[i]) == (i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", smallest[h or ""] if again else None)
     assert warc.page_records(pages.limit(0)).count() == 0
+    repeated = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (1, "u", "other"), (2, "u", "other"), (2, "u", "same"), (None, "u", "same"), (None, None, "alone"), (None, None, "else")], "page_id long, url string, html string")
+    kinds = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.page_records(repeated).collect()), key=str)
+    assert kinds == sorted([(1, "response", None, 4), (1, "response", None, 4), (1, "response", None, 5), (2, "revisit", 1, 5), (2, "revisit", 1, 4), (None, "revisit", 1, 4), (None, "response", None, 5), (None, "response", None, 4)], key=str)
+
+
+def test_warc_reads_may_be_split_differently(spark, tmp_path):
+    magic = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    pages = spark.createDataFrame([(i, "u", f"{i} {magic * (i % 3)} {'z' * (i * 37 % 200)}") for i in range(60)], "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(pages, f"file://{tmp_path}/archives")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        records = warc.read_archives(spark, f"file://{tmp_path}/archives")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        found = {r["id"]: r["payload_sha1"] for r in records.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == {f"<urn:page:{r['page_id']}>": hashlib.sha1(r["html"].encode()).hexdigest() for r in pages.collect()}
 
 
 def test_words_of_bytes():
