@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quarry.llm import kernels as K
-from quarry.llm.common import fresh, learnable
+from quarry.llm.common import cut, fresh, learnable
 
 #: Labelled documents of each class that training looks at, half for the dictionaries, half for the curve.
 SAMPLE_DOCS = 3000
@@ -96,9 +96,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
     """Learns from at most ``per_class`` documents of each label outside the held-out fold.
 
     Without labelled text of both classes every score is the share of label 1
-    among the labels, or 0.5 without any.
+    among the labels, or 0.5 without any. Null texts count as empty and teach
+    nothing; of a document with several rows each row counts; labels other
+    than 0 and 1, null ids and held-out ids are not learnt from. The texts are
+    read once: the sample is written and trained on from there.
     """
-    sample = labelled_sample(docs, labels, label, per_class)
+    sample = cut(labelled_sample(docs, labels, label, per_class), "quality")
     share = {r["label"]: r["n"] for r in labels.where(learnable(F.col("doc_id"))).where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(share.values())
     parts = sample.where("half = 0 and text <> ''").select("label", "doc_id", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / PART_CHARS).cast("int"))).alias("k"))
@@ -128,7 +131,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, whose score is at least GOOD; texts without content have no quality to judge and stay out with their score."""
+    """The rows of ``docs``, columns unchanged, whose score is at least GOOD.
+
+    Null and empty texts are scored like any other, by the share of good
+    labels, and stay or go with that score. Repeated rows are judged alike.
+    """
     model = train_quality(docs, labels)
     score = fresh(docs, "quality")
     return docs.withColumn(score, model.column("text")).where(F.col(score) >= GOOD).drop(score)
