@@ -169,7 +169,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, own = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], batch.column("label")
+            texts, own, ids = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], batch.column("label"), batch.column("doc_id")
             for a, b in K.text_slices(texts):
                 t, f, n, word, g = _pairs(texts[a:b], table)
                 text_of, _ = _features(texts[a:b])
@@ -177,12 +177,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
                 hits = np.bincount(text_of[marked], minlength=b - a) if len(marked) else np.zeros(b - a, np.int64)
                 edge = np.searchsorted(t, np.arange(b - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [own.slice(a, b - a), pa.array(hits.astype(np.int64)), pa.ListArray.from_arrays(pa.array(edge), pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(pa.array(edge), pa.array(n.astype(np.int32)))],
-                    names=["label", "hits", "features", "counts"],
+                    [ids.slice(a, b - a), own.slice(a, b - a), pa.array(hits.astype(np.int64)), pa.ListArray.from_arrays(pa.array(edge), pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(pa.array(edge), pa.array(n.astype(np.int32)))],
+                    names=["doc_id", "label", "hits", "features", "counts"],
                 )
 
     # At most 2 * per_class texts (a few more where ids repeat), each with FEATURES numbers at most.
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * per_class).select("text", "label").mapInArrow(design, "label int, hits bigint, features array<int>, counts array<int>").toPandas()
+    # Features come first, so that no task gathers texts.
+    made = sample.select("doc_id", "text", "label").mapInArrow(design, "doc_id bigint, label int, hits bigint, features array<int>, counts array<int>")
+    rows = made.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "hits", "features", "counts").limit(3 * per_class).toPandas()
     label_, hits = rows["label"].to_numpy(), rows["hits"].to_numpy()
     grade = np.where(label_ == 1, 1 + (hits >= GRADES[0]) + (hits >= GRADES[1]), 0)
     length = rows["features"].map(len).to_numpy()
