@@ -2,7 +2,8 @@
 
 Every Arrow batch of documents is one shard. A shard sorts the suffixes of its
 word sequence (only those that begin like some test window: no other suffix
-can answer a search) and every test suffix is binary-searched in it. A range
+can answer a search) and every test suffix that begins like one of them is
+binary-searched in it: the others can't be there. A range
 of the suffix array holds all places of a window; consecutive hits of one test
 text join into the longest verbatim matches with their locations.
 
@@ -23,8 +24,9 @@ from quarry.llm import kernels as K
 from quarry.llm.common import cut, fresh
 
 WINDOW = 10
-BLOCK_WORDS = 4_000_000
-_BITS, _PER_KEY = 21, 3
+BLOCK_WORDS = 2_000_000
+#: Bits of a word and words of a key: for most vocabularies, and for those of very long texts.
+_FORMS = ((21, 3), (31, 2))
 
 RESULT = (
     "struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>,"
@@ -33,20 +35,21 @@ RESULT = (
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def _pack(words: np.ndarray, at: np.ndarray, depth: int, size: np.ndarray | None = None, fill: int = 0) -> list[np.ndarray]:
+def _pack(words: np.ndarray, at: np.ndarray, depth: int, form: tuple[int, int], size: np.ndarray | None = None, fill: int = 0) -> list[np.ndarray]:
     """The ``depth`` words from each place as 64-bit keys, first words most significant.
 
     Words beyond ``size`` are replaced by ``fill``: 0 and the largest value
     give the lower and upper ends of a range of suffixes.
     """
     keys = []
-    for first in range(0, depth, _PER_KEY):
+    bits, per_key = form
+    for first in range(0, depth, per_key):
         key = np.zeros(len(at), dtype=np.uint64)
-        for j in range(first, first + _PER_KEY):
+        for j in range(first, first + per_key):
             w = words[at + j] if j < depth else np.zeros(len(at), dtype=np.uint64)
             if size is not None:
                 w = np.where(j < size, w, np.uint64(fill if j < depth else 0))
-            key = (key << np.uint64(_BITS)) | w.astype(np.uint64)
+            key = (key << np.uint64(bits)) | w.astype(np.uint64)
         keys.append(key)
     return keys
 
@@ -77,8 +80,7 @@ class TestTexts:
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         words = K.Words([t for _, t in items], K.ALNUM)
         self.vocabulary = np.unique(words.hashes)
-        if len(self.vocabulary) >= (1 << _BITS) - 1:
-            raise ValueError("a block of test texts has too many distinct words; lower block_words")
+        self.form = next(f for f in _FORMS if len(self.vocabulary) < (1 << f[0]) - 1)
         self.names = [n for n, _ in items]
         self.window = window
         ids = np.concatenate((np.searchsorted(self.vocabulary, words.hashes).astype(np.uint64) + np.uint64(1), np.zeros(window, dtype=np.uint64)))
@@ -92,19 +94,28 @@ class TestTexts:
                 owner.append(np.full(n, i))
                 inner.append(np.arange(n))
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64)
-        self.place, self.size, self.owner, self.inner = join(place), join(size), join(owner), join(inner)
-        self.low = _pack(ids, self.place, window, self.size, 0)
-        self.high = _pack(ids, self.place, window, self.size, (1 << _BITS) - 1)
-        self.lead = int(min(2, self.size.min())) if len(self.size) else 1
-        first, second = ids[self.place], ids[self.place + 1] if self.lead == 2 else np.uint64(0)
-        self.heads = np.unique((first << np.uint64(32)) | second) if len(self.place) else np.zeros(0, dtype=np.uint64)
+        place, size, owner, inner = join(place), join(size), join(owner), join(inner)
+        self.windows = len(place)
+        self.lead = int(min(2, size.min())) if len(size) else 1
+        first, second = ids[place], ids[place + 1] if self.lead == 2 else np.uint64(0)
+        head = (first << np.uint64(32)) | second if len(place) else np.zeros(0, dtype=np.uint64)
+        # Windows are kept by how they begin: those of head h are windows edge[h] to edge[h + 1].
+        order = np.argsort(head, kind="stable")
+        self.heads, self.edge = np.unique(head[order], return_index=True)
+        self.edge = np.append(self.edge, len(order))
+        place = place[order]
+        self.size, self.owner, self.inner = (x[order].astype(np.int32) for x in (size, owner, inner))
+        self.low = _pack(ids, place, window, self.form, self.size, 0)
+        # Only windows shorter than the rest end a range elsewhere than at themselves.
+        self.short = np.flatnonzero(self.size < window)
+        self.short_high = _pack(ids, place[self.short], window, self.form, self.size[self.short], (1 << self.form[0]) - 1)
 
     def search(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words per text, and the places of all windows: text, word within the text, window number."""
         words = K.Words(texts, K.ALNUM)
         counts = words.counts()
         none = np.zeros(0, dtype=np.int64)
-        if not len(self.place) or not len(words.hashes):
+        if not self.windows or not len(words.hashes):
             return counts, none, none, none
         slot = np.searchsorted(self.vocabulary, words.hashes)
         slot[slot == len(self.vocabulary)] = 0
@@ -112,7 +123,7 @@ class TestTexts:
         text = np.repeat(np.arange(len(texts)), counts)
         # A zero after each text keeps matches within it.
         at = np.arange(len(known)) + text
-        sequence = np.zeros(len(known) + len(texts) + self.window + _PER_KEY, dtype=np.uint64)
+        sequence = np.zeros(len(known) + len(texts) + self.window + self.form[1], dtype=np.uint64)
         sequence[at] = known
         follow = sequence[at + 1] if self.lead == 2 else np.uint64(0)
         head = (known << np.uint64(32)) | follow
@@ -121,12 +132,21 @@ class TestTexts:
         suffix = np.flatnonzero((self.heads[place] == head) & (known > 0))
         if not len(suffix):
             return counts, none, none, none
-        keys = _pack(sequence, at[suffix], self.window)
+        keys = _pack(sequence, at[suffix], self.window, self.form)
         order = np.lexsort(keys[::-1])
         array, keys = suffix[order], [k[order] for k in keys]
-        lo, hi = _bound(keys, self.low, False), _bound(keys, self.high, True)
+        begun = np.unique(place[suffix])
+        many = self.edge[begun + 1] - self.edge[begun]
+        asked = np.arange(int(many.sum())) + np.repeat(self.edge[begun] - (np.cumsum(many) - many), many)
+        low = [k[asked] for k in self.low]
+        high = [k.copy() for k in low]
+        slot = np.searchsorted(self.short, asked)
+        short = np.flatnonzero((slot < len(self.short)) & (self.short[np.minimum(slot, len(self.short) - 1)] == asked)) if len(self.short) else none
+        for k, other in zip(high, self.short_high, strict=True):
+            k[short] = other[slot[short]]
+        lo, hi = _bound(keys, low, False), _bound(keys, high, True)
         found = hi - lo
-        which = np.repeat(np.arange(len(lo)), found)
+        which = asked[np.repeat(np.arange(len(lo)), found)]
         shift = np.arange(len(which)) - np.repeat(np.cumsum(found) - found, found)
         hit = array[lo[which] + shift]
         return counts, text[hit], hit - words.bounds[text[hit]], which
