@@ -74,7 +74,7 @@ def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-with n as (select page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '\.+$', ''), '') as host,
+with n as (select page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)', 1), '\.+$', ''), '') as host,
   1704067200 + cast('0x' || substr(md5(url), 1, 7) as bigint) % (366 * 86400) as fetched_at from pages),
 h as (select distinct host as pattern from n where host is not null),
 t as (select distinct regexp_extract(pattern, '([^.]+\.[^.]+\.[^.]+)$', 1) as pattern from h where regexp_matches(pattern, '[^.]+\.[^.]+\.[^.]+$')),

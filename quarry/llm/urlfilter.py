@@ -14,17 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import few, fresh
+from quarry.llm.common import cut, few, fresh
 
-#: Hosts whose timelines may be sent to all executors; beyond that both sides are dealt by host and salt.
-BROADCAST_HOSTS, SALTS = 50_000, 16
+#: Hosts whose timelines may be sent to all executors; beyond that only those of hot hosts are, which have at least one of so many captures.
+BROADCAST_HOSTS, HOT_SHARE = 50_000, 1000
 #: End of an interval that is still open.
 OPEN = 2**62
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host of an absolute URL, without user, port and final dots; null without any."""
-    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)
+    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)", 1)
     return F.nullif(F.regexp_replace(found, r"\.+$", ""), F.lit(""))
 
 
@@ -41,9 +41,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def _above(host: Column) -> Column:
-    """The host and the domains above it."""
+    """The host and the domains above it; an address has none above."""
+    address = host.startswith("[") | host.rlike(r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}\z")
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    return F.when(address, F.array(host)).otherwise(domains)
 
 
 def timelines(hosts: DataFrame, listed: DataFrame) -> DataFrame:
@@ -75,9 +77,12 @@ def filter_captures(captures: DataFrame, entries: DataFrame, broadcast_hosts: in
     if few(lines, broadcast_hosts):
         joined = rows.join(F.broadcast(lines), host, "left")
     else:
-        salt = fresh(captures, "salt")
-        spread = lines.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn(salt, F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SALTS)).cast("int")).join(spread, [host, salt], "left").drop(salt)
+        counts = cut(rows.groupBy(host).agg(F.count(F.lit(1)).alias("n")), "hosts")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        # At most HOT_SHARE hosts can have so large a part of the captures.
+        hot = [r[0] for r in counts.where((F.col("n") * HOT_SHARE >= total) & F.col(host).isNotNull()).select(host).collect()]
+        is_hot = F.coalesce(F.col(host).isin(hot), F.lit(False))
+        joined = rows.where(is_hot).join(F.broadcast(lines.where(is_hot)), host, "left").unionByName(rows.where(~is_hot).join(lines.where(~is_hot), host, "left"))
     past = F.filter(F.col(line), lambda s: s["at"] <= F.col("fetched_at"))
     found = joined.withColumn(state, F.when(F.size(past) > 0, F.element_at(past, -1)["state"]))
     s = F.col(state)
