@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quarry.llm import kernels as K
+from quarry.llm.common import fresh
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -32,6 +34,8 @@ RECENT, LEAST_CUT = 12, 35
 BINS = 16
 #: Payload bytes handled at once.
 SLICE = 500_000
+#: Frames coded at once, also of one long text.
+AT_ONCE = 1024
 
 #: Code lengths of difference categories 0 to 8; canonical codes follow from them.
 _LENGTH = np.array([4, 4, 3, 3, 3, 3, 3, 3, 4])
@@ -241,7 +245,7 @@ def _decoded(header: _Header, scans: list[bytes]) -> np.ndarray:
 def film(payloads: list[bytes]) -> list[bytes]:
     """AVI files of payloads, whose lengths are positive multiples of FRAME."""
     samples = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, SIDE, SIDE)
-    images = [_HEADER + s for s in _scans(samples)]
+    images = [_HEADER + s for a in range(0, len(samples), AT_ONCE) for s in _scans(samples[a : a + AT_ONCE])]
     out, at = [], 0
     for p in payloads:
         n = len(p) // FRAME
@@ -262,7 +266,7 @@ def samples_of(films: list[bytes]) -> list[np.ndarray]:
             own.append((id(header), len(scans)))
             scans.append(f[a + len(header.bytes) : a + n])
         order.append(own)
-    pixels = {k: _decoded(h, s).reshape(len(s), -1) for k, (h, s) in spots.items()}
+    pixels = {k: np.concatenate([_decoded(h, s[a : a + AT_ONCE]).reshape(len(s[a : a + AT_ONCE]), -1) for a in range(0, len(s), AT_ONCE)]) for k, (h, s) in spots.items()}
     out = []
     for own in order:
         if len({k for k, _ in own}) > 1:
@@ -271,6 +275,16 @@ def samples_of(films: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _read(films: list[bytes]) -> list[np.ndarray | None]:
+    """:func:`samples_of`; None for films that can't be read, whatever is wrong with them."""
+    try:
+        return list(samples_of(films))
+    except (ValueError, IndexError, struct.error):
+        if len(films) == 1:
+            return [None]
+        return [own for f in films for own in _read([f])]
+
+
 def shots(samples: np.ndarray) -> list[tuple[int, int]]:
     """(first frame, frame after the last) of each shot."""
     n = len(samples)
@@ -320,7 +334,7 @@ def film_column(text: str | Column) -> Column:
 
 
 def read_column(media: str | Column) -> Column:
-    """Struct read from each film: payload, and clips (first and last frame, start and end in ms). A null film gives null."""
+    """Struct read from each film: payload, and clips (first and last frame, start and end in ms). A null film and a malformed one give null."""
 
     @arrow_udf("struct<payload:binary,clips:array<struct<first:int,last:int,start_ms:bigint,end_ms:bigint>>>")
     def run(values: pa.Array) -> pa.Array:
@@ -329,12 +343,26 @@ def read_column(media: str | Column) -> Column:
         there = [f for f in films if f is not None]
         payloads, clips = [], []
         for a, b in _sliced(there):
-            for own in samples_of(there[a:b]):
-                payloads.append(own.tobytes())
+            for own in _read(there[a:b]):
+                payloads.append(None if own is None else own.tobytes())
+                if own is None:
+                    clips.append(None)
+                    continue
                 clips.append([{"first": x, "last": y - 1, "start_ms": x * 1000 // RATE, "end_ms": y * 1000 // RATE} for x, y in shots(own)])
         found = iter(zip(payloads, clips, strict=True))
         both = [next(found) if f is not None else (None, None) for f in films]
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array([p for p, _ in both], pa.binary()), pa.array([c for _, c in both], kind)], names=["payload", "clips"], mask=pa.array([f is None for f in films]))
+        return pa.StructArray.from_arrays([pa.array([p for p, _ in both], pa.binary()), pa.array([c for _, c in both], kind)], names=["payload", "clips"], mask=pa.array([p is None for p, _ in both], pa.bool_()))
 
     return run(media)
+
+
+def clip_rows(films: DataFrame, media: str = "media") -> DataFrame:
+    """``films`` without ``media``, a row for each clip: clip (from 0), first and last frame, start_ms and end_ms.
+
+    Null and malformed films have no clips.
+    """
+    back = fresh(films, "back")
+    rest = [c for c in films.columns if c != media]
+    rows = films.withColumn(back, read_column(media)).select(*rest, F.posexplode(F.col(back)["clips"]).alias("clip", back))
+    return rows.select(*rest, "clip", *[F.col(back)[n].alias(n) for n in ("first", "last", "start_ms", "end_ms")])
