@@ -60,6 +60,44 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+#: Bytes that are hashed at once, as each takes tens of bytes meanwhile.
+SEGMENT = 2_000_000
+
+
+def _segments(data: bytes, rule: WordRule) -> Iterator[np.ndarray]:
+    """Parts of ``data`` of about SEGMENT bytes, none ending within a word."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    at = 0
+    while at < len(raw):
+        end = min(at + SEGMENT, len(raw))
+        while end < len(raw) and rule.mask[raw[end - 1]]:
+            gap = np.flatnonzero(~rule.mask[raw[end : end + 65536]])
+            end = end + int(gap[0]) + 1 if len(gap) else min(end + 65536, len(raw))
+        yield raw[at:end]
+        at = end
+
+
+def _hashed(joined: np.ndarray, rule: WordRule, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and of their beginnings, row by row; and where words start."""
+    inside = rule.mask[joined]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.concatenate(([0], edge))
+    if len(inside) and inside[-1]:
+        edge = np.append(edge, len(inside))
+    start, stop = edge[0::2], edge[1::2]
+    power, inverse = _power(len(joined) + 1)
+    total = np.zeros(len(joined) + 1, dtype=np.uint64)
+    np.cumsum(rule.value[joined] * power[: len(joined)], out=total[1:])
+    raw = (total[stop] - total[start]) * inverse[start]
+    rows = [mix64(raw + (stop - start).astype(np.uint64) * _U(0xA0761D6478BD642F))]
+    # The first bytes of each word, hashed apart from whole words.
+    for p in prefixes:
+        cut = np.minimum(start + p, stop)
+        rows.append(mix64((total[cut] - total[start]) * inverse[start] + _U((0x8EBC6AF09C88C6E3 * p) % (1 << 64))))
+    return np.stack(rows), start
+
+
 class Words:
     """Words of a batch of texts: 64-bit hashes in order, and where each text's words lie.
 
@@ -67,22 +105,15 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], rule: WordRule, prefixes: tuple[int, ...] = ()):
-        joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+        hashes, starts, begins = [np.zeros((1 + len(prefixes), 0), dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-        inside = rule.mask[joined]
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if len(inside) and inside[0]:
-            edge = np.concatenate(([0], edge))
-        start, stop = edge[0::2], edge[1::2]
-        power, inverse = _power(len(joined) + 1)
-        total = np.zeros(len(joined) + 1, dtype=np.uint64)
-        np.cumsum(rule.value[joined] * power[: len(joined)], out=total[1:])
-        raw = (total[stop] - total[start]) * inverse[start]
-        self.hashes = mix64(raw + (stop - start).astype(np.uint64) * _U(0xA0761D6478BD642F))
-        # The first bytes of each word, hashed apart from whole words.
-        cuts = [np.minimum(start + p, stop) for p in prefixes]
-        self.prefixes = [mix64((total[c] - total[start]) * inverse[start] + _U((0x8EBC6AF09C88C6E3 * p) % (1 << 64))) for p, c in zip(prefixes, cuts, strict=True)]
-        self.bounds = np.concatenate(([0], np.searchsorted(start, ends))).astype(np.int64)
+        for part in _segments(b" ".join(texts) + b" ", rule):
+            found, start = _hashed(part, rule, prefixes)
+            hashes.append(found)
+            starts.append(start + begins)
+            begins += len(part)
+        self.hashes, *self.prefixes = np.concatenate(hashes, axis=1)
+        self.bounds = np.concatenate(([0], np.searchsorted(np.concatenate(starts), ends))).astype(np.int64)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
