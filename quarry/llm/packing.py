@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import cut
+from quarry.llm.common import cut, fresh
 from quarry.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -190,12 +190,12 @@ def _search(size: list[int], bins: list[list[int]], fill: list[int], place: list
             gained |= drain()
 
 
-def _packed(rows: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
+def _packed(rows: DataFrame, groups: int, level: int, capacity: int, dealt_to: str, filled: str) -> DataFrame:
     schema = rows.schema
     names = rows.columns
 
     def pack(group: pa.Table) -> pa.Table:
-        own = group.column("__group")[0].as_py()
+        own = group.column(dealt_to)[0].as_py()
         length = group.column("length").to_numpy()
         bins = pack_lengths(length, capacity)
         order = np.argsort(bins, kind="stable")
@@ -206,32 +206,35 @@ def _packed(rows: DataFrame, groups: int, level: int, capacity: int) -> DataFram
         count = np.diff(np.append(first, len(bins)))
         offset = stop - length - np.repeat((stop - length)[first], count)
         fill = np.repeat(np.add.reduceat(length, first), count)
-        return group.select(names).append_column("sequence_id", pa.array((level << 48) + (own << 18) + bins)).append_column("offset", pa.array(offset)).append_column("__fill", pa.array(fill))
+        return group.select(names).append_column("sequence_id", pa.array((level << 48) + (own << 18) + bins)).append_column("offset", pa.array(offset)).append_column(filled, pa.array(fill))
 
-    dealt = rows.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = rows.withColumn(dealt_to, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return dealt.groupBy("__group").applyInArrow(pack, f"{out}, sequence_id bigint, offset bigint, __fill bigint")
+    return dealt.groupBy(dealt_to).applyInArrow(pack, f"{out}, sequence_id bigint, offset bigint, `{filled}` bigint")
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``rows`` (with ``length``, 1 to ``capacity``) with sequence_id and offset.
 
     Lengths of a sequence add up to at most ``capacity``; offsets are gapless
-    from 0. Sequence ids are arbitrary. Rows are packed as they come, repeated
+    from 0. Sequence ids are arbitrary. Columns of these names that ``rows``
+    have already are replaced. Rows are packed as they come, repeated
     ones too; no rows give no sequences. The rows should not be large: token
     ids stay behind and are joined by document and piece when sequences are
     written.
     """
     if group > 1 << 18:
         raise ValueError("a group has at most 2^18 pieces")
+    rows = rows.drop("sequence_id", "offset")
+    dealt_to, filled = fresh(rows, "group"), fresh(rows, "fill")
     rest, level, done = cut(rows, "pieces"), 0, []
     kept, was = None, 0
     while True:
         n = rest.count()
         groups = max(1, -(-n // group))
-        packed = _packed(rest, groups, level, capacity)
+        packed = _packed(rest, groups, level, capacity, dealt_to, filled)
         if groups == 1:
-            done.append(packed.drop("__fill"))
+            done.append(packed.drop(filled))
             break
         packed = cut(packed, "packed")
         made = packed.select("sequence_id").distinct().count()
@@ -239,9 +242,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
             # Dealing anew saves nothing: those pieces keep the bins they have.
             done.append(kept)
             break
-        low = F.col("__fill") < int(capacity * (1 - SLACK))
-        done.append(packed.where(~low).drop("__fill"))
-        kept = packed.where(low).drop("__fill")
+        low = F.col(filled) < int(capacity * (1 - SLACK))
+        done.append(packed.where(~low).drop(filled))
+        kept = packed.where(low).drop(filled)
         left = kept.drop("sequence_id", "offset")
         few_filled, was = left.count() > 0.9 * n, kept.select("sequence_id").distinct().count()
         level += 1
