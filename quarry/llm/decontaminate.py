@@ -146,10 +146,10 @@ class TestTexts:
             k[short] = other[slot[short]]
         lo, hi = _bound(keys, low, False), _bound(keys, high, True)
         found = hi - lo
-        which = asked[np.repeat(np.arange(len(lo)), found)]
-        shift = np.arange(len(which)) - np.repeat(np.cumsum(found) - found, found)
-        hit = array[lo[which] + shift]
-        return counts, text[hit], hit - words.bounds[text[hit]], which
+        own = np.repeat(np.arange(len(lo)), found)
+        shift = np.arange(len(own)) - np.repeat(np.cumsum(found) - found, found)
+        hit = array[lo[own] + shift]
+        return counts, text[hit], hit - words.bounds[text[hit]], asked[own]
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
