@@ -10,7 +10,7 @@ from quarry.functions import scalars as S
 from quarry.functions.text import normalize
 from quarry.operators import cron, filters, paging, quality, relations
 from quarry.plans.registry import Tables, literal, query, values
-from quarry.sources import catalog, scan
+from quarry.sources import catalog, scan, snapshot
 
 NORM = "trim(regexp_replace(lower(strip_accents({})), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
 
@@ -141,10 +141,12 @@ def split_multi(t: Tables) -> DataFrame:
 BLANKS = [("a", "a"), ("", None), ("  ", None), (" b ", "b"), ("\tc ", "c"), (None, None)]
 
 
-@query(f"select coalesce(a, '?') as a, b as kept, case when b is null then 'absent' else 'there' end as state from {values(BLANKS, 'a, b')}")
+@query(f"select coalesce(a, '?') as a, b as kept, case when b is null then 'absent' else 'there' end as state from (select a, b from {values(BLANKS, 'a, b')} union all select a, nullif(trim(a), '') from (select case when event_id % 3 = 0 then '  ' || coalesce(props, '') || ' ' else repeat(' ', event_id % 3) end as a from events))")
 def null_vs_empty(t: Tables) -> DataFrame:
     kept = S.null_if_blank(F.col("a"))
-    return literal(t.spark, BLANKS, "a string, b string").select(F.coalesce("a", F.lit("?")).alias("a"), kept.alias("kept"), F.when(kept.isNull(), "absent").otherwise("there").alias("state"))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("  "), F.coalesce("props", F.lit("")), F.lit(" "))).otherwise(F.repeat(F.lit(" "), (F.col("event_id") % 3).cast("int")))
+    rows = t.events.select(text.alias("a"), F.lit(None).cast("string").alias("b"))
+    return rows.unionByName(literal(t.spark, BLANKS, "a string, b string")).select(F.coalesce("a", F.lit("?")).alias("a"), kept.alias("kept"), F.when(kept.isNull(), "absent").otherwise("there").alias("state"))
 
 
 @query("select page_id, regexp_replace(trim(url), '^http://', 'https://') as url from pages")
@@ -166,17 +168,20 @@ def status_dim(t: Tables) -> DataFrame:
 ROMAN = [("I", 1), ("II", 2), ("III", 3), ("IV", 4), ("V", 5), ("VI", None), ("iv", None), (" V ", 5), ("", None)]
 
 
-@query(f"select a, b as level from {values(ROMAN, 'a, b')}")
+@query(f"select a, b as level from {values(ROMAN, 'a, b')} union all select o_orderkey || ['I', 'II', 'III', 'IV', 'V', 'X'][1 + o_orderkey % 6], case when o_orderkey % 6 < 5 then 1 + o_orderkey % 6 end from orders")
 def roman_level(t: Tables) -> DataFrame:
-    return literal(t.spark, ROMAN, "a string, b int").select("a", S.roman_level(F.col("a")).alias("level"))
+    numeral = F.get(F.array(*map(F.lit, ("I", "II", "III", "IV", "V", "X"))), (F.col("o_orderkey") % 6).cast("int"))
+    rows = t.orders.select(F.concat(F.col("o_orderkey").cast("string"), numeral).alias("a"), S.roman_level(numeral).alias("level"))
+    return rows.unionByName(literal(t.spark, ROMAN, "a string, b int").select("a", S.roman_level(F.col("a")).alias("level")))
 
 
 DIGITS = [("12345678",), ("1234567",), ("1234567a",), ("12345678\n",), ("４２３４５６７８",), ("4294967295",), ("4294967296",), ("",)]
 
 
-@query(f"select a, regexp_full_match(a, '[0-9]{{8}}') as eight, case when regexp_full_match(a, '[0-9]{{1,20}}') and cast(a as hugeint) < 4294967296 then cast(a as bigint) end as small from {values(DIGITS, 'a')}")
+@query(f"select a, regexp_full_match(a, '[0-9]{{8}}') as eight, case when regexp_full_match(a, '[0-9]{{1,20}}') and cast(a as hugeint) < 4294967296 then cast(a as bigint) end as small from (select a from {values(DIGITS, 'a')} union all select c_name from customer union all select cast(c_custkey * 100003 as varchar) from customer)")
 def digits_check(t: Tables) -> DataFrame:
-    return literal(t.spark, DIGITS, "a string").select("a", S.is_digits(F.col("a"), 8).alias("eight"), S.unsigned32(F.col("a")).alias("small"))
+    rows = t.customer.select(F.explode(F.array("c_name", (F.col("c_custkey") * 100003).cast("string"))).alias("a"))
+    return rows.unionByName(literal(t.spark, DIGITS, "a string")).select("a", S.is_digits(F.col("a"), 8).alias("eight"), S.unsigned32(F.col("a")).alias("small"))
 
 
 @query("select p_partkey, lpad(cast(p_partkey as varchar), 8, '0') as code8, lpad(cast(p_partkey as varchar), 13, '0') as code13, case when p_size % 10 = 0 then '' else cast(p_size % 10 as varchar) end as bare from part")
@@ -359,14 +364,11 @@ def topk(t: Tables) -> DataFrame:
     return paging.page(t.part.select("p_partkey", "p_size"), [F.desc("p_size"), "p_partkey"], 0, 25)
 
 
-_KEPT = [("a", 5), ("b", 9), ("c", 9), ("d", 1), ("e", 7)]
-
-
-@query(f"select a as name from (select *, row_number() over (order by b desc, a) as r from {values(_KEPT, 'a, b')}) where r > 2 and a <> 'd'")
+@query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as r from orders) where r > 2 and o_orderkey % 10 <> 0")
 def retention(t: Tables) -> DataFrame:
-    from quarry.sources.snapshot import surplus
-
-    return literal(t.spark, [(n,) for n in surplus(_KEPT, 2, "d")], "name string")
+    """Every customer's orders count as snapshots, those with keys divisible by ten as published; all but the two newest go."""
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate")
+    return snapshot.surplus_rows(rows, "o_orderkey", "o_orderdate", 2, F.col("o_orderkey") % 10 == 0, ("o_custkey",)).select("o_custkey", "o_orderkey")
 
 
 _VERSION = "0123456789abcdef"

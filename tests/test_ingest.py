@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators.quality import GateError, Gates
 from quarry.plans import ingest
@@ -74,6 +75,10 @@ def test_publish(spark, folder, tmp_path):
     manifest = snapshot.current(spark, root)
     tables = snapshot.load(spark, root, manifest)
     assert tables["specialites"].count() == 2 and "liens_ct" not in tables
+    assert ingest.sync(spark, folder, root, easy, force=True) == "published"
+    again = snapshot.current(spark, root)
+    assert again.folder == f"{manifest.hash}-2" and snapshot.load(spark, root, again)["specialites"].count() == 2 and tables["mitm"].count() == 1
+    assert again.quarantine["by_file"]["CIS_bdpm.txt"] == 3 and {w["kind"] for w in again.warnings} == {"rejet", "hors_perimetre", "valeur_inconnue"} and len(again.files) == 10
     line = next(p for p in (tmp_path / "snapshots" / manifest.hash / "presentations").glob("part-*") if p.stat().st_size).read_text().splitlines()[-1]
     assert "prix_medicament_cents" in json.loads(line)
     broken = snapshot.Manifest(**{**manifest.__dict__, "counts": manifest.counts | {"mitm": 7}})
@@ -81,7 +86,27 @@ def test_publish(spark, folder, tmp_path):
         snapshot.load(spark, root, broken)
 
 
+def test_staged_files_are_those_read_whole(spark, tmp_path):
+    contents = {"a.txt": b"\xef\xbb\xbfx\ty\r\nz\r\n", "b.txt": "\r\n".join(f"é{i}\t{i}" for i in range(200)).encode("cp1252"), "c.txt": b"", "d.txt": b"one\n\n  \n", "e.txt": b"one\r\ntwo\n", "f.txt": b"\x80 euro", "g.txt": b"a\r\nb\r"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        staged = scan.stage(spark, f"file://{tmp_path}", sorted(contents))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = scan.read_files(spark, f"file://{tmp_path}", sorted(contents)).select("name", scan.decode(F.col("content")).alias("text"), scan.encoding(F.col("content")).alias("e"))
+    assert rows(scan.fields(staged.lines), "name", "line_no", "line") == rows(scan.lines(whole), "name", "line_no", "line")
+    facts = whole.where("text <> ''").select("name", scan.line_count(F.col("text")).alias("lines"), F.col("e").alias("encoding"), scan.line_ending(F.col("text")).alias("line_ending"))
+    assert rows(staged.facts, *facts.columns) == rows(facts, *facts.columns)
+    with pytest.raises(scan.ScanError):
+        scan.stage(spark, f"file://{tmp_path}", [])
+
+
 def test_missing_file(spark, folder):
+    with pytest.raises(Exception):  # noqa: B017 the reader's own error names the path
+        scan.stage(spark, folder, [*catalog.specs(), "nothing.txt"])
     with pytest.raises(Exception):  # noqa: B017 the reader's own error names the path
         scan.read_files(spark, folder, [*catalog.specs(), "nothing.txt"]).count()
 
