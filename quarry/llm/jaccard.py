@@ -19,9 +19,11 @@ The steps, each a distributed pass:
    pairs. A pair needs ``min(l1, l2)`` shared prefix shingles, and so many that
    what lies behind the prefix that ends first can make up the rest.
 4. Longer lists never become pairs. Their classes are dealt into blocks of
-   bounded size and every two blocks of a list meet in one task, with prefixes
-   only: the same bounds, counted by matrix products, and only a spanning
-   forest of the candidate pairs leaves the task.
+   bounded size that meet with prefixes only: the same bounds, counted by
+   matrix products, and only a spanning forest of the candidate pairs leaves
+   the task. Every class meets its own block of its longest list and a few
+   pivots of that list first; in its other lists only classes that are not
+   connected with the list's largest part by then meet the others.
 5. Classes connected by candidate pairs are verified together on whole texts:
    one task each where they fit, so that a text travels once. Larger ones are
    split: every block meets itself and a few pivots first, then only classes
@@ -334,17 +336,47 @@ def _bounded(df: DataFrame) -> DataFrame:
 _OWN = "cast(pmod(xxhash64(rep), blocks) as int)"
 
 
-def _long_candidates(classes: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs within lists (key, rep, n) of more than PAIRS classes, block against block: spanning forests."""
-    rows = long.join(_bounded(cut(_block_count("key")(long), "blocks")), "key").withColumn("own", F.expr(_OWN))
-    met = rows.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _own_tasks(rows: DataFrame) -> DataFrame:
+    """Tasks (key, i, j, rep) in which every block of a key's classes (key, rep, blocks) meets itself and a few pivots of the key."""
+    rank = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
+    pivots = rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS).select("key", "rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    return rows.select("key", "rep", F.expr(_OWN).alias("i")).unionByName(pivots).distinct().withColumn("j", F.col("i"))
+
+
+def _rest_tasks(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Tasks in which a key's classes (key, rep, n) that are not in its largest part meet all others of the key.
+
+    ``parts`` are components (node, component) of what is connected so far:
+    within the largest part nothing more needs to meet.
+    """
+    placed = cut(rows.join(_bounded(parts.withColumnRenamed("node", "rep")), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part")), "parts")
+    main = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    sided = cut(placed.join(_bounded(cut(main, "main")), "key").select("key", "rep", "n", (F.col("part") != F.col("main")).alias("rest")), "sided")
+    counts = _block_count("key", "rest")(sided).groupBy("key").agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("rests"), F.coalesce(F.max(F.when(~F.col("rest"), F.col("blocks"))), F.lit(0)).alias("mains"))
+    dealt = sided.join(_bounded(cut(counts, "counts")), "key").withColumn("blocks", F.expr("if(rest, rests, mains)")).withColumn("own", F.expr(f"{_OWN} + if(rest, 0, rests)"))
+    met = dealt.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.expr("if(rest, rests + mains, rests) - 1"))).alias("other"))
+    return cut(met.select("key", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct(), "met")
+
+
+def _long_candidates(classes: DataFrame, long: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs within lists (key, rep, n, length) of more than PAIRS classes: spanning forests of them.
+
+    Copies of a text share most of their lists, so every class meets the
+    others of its longest list first. In all its lists only what that has left
+    unconnected is looked at again.
+    """
 
     def filter_(group: pa.Table) -> pa.Table:
         return _partnered(group, num, den)
 
-    prefixes = met.join(classes.select("rep", "n", "ask", "prefix"), "rep")
-    return prefixes.groupBy("key", "i", "j").applyInArrow(filter_, "x bigint, y bigint").where("x <> y")
+    def met(tasks: DataFrame) -> DataFrame:
+        prefixes = tasks.join(classes.select("rep", "n", "ask", "prefix"), "rep")
+        return cut(prefixes.groupBy("key", "i", "j").applyInArrow(filter_, "x bigint, y bigint").where("x <> y"), "candidates")
+
+    longest = cut(long.groupBy("rep").agg(F.max_by("key", F.struct("length", "key")).alias("key"), F.max("n").alias("n")), "longest")
+    first = met(cut(_own_tasks(longest.join(_bounded(cut(_block_count("key")(longest), "blocks")), "key")), "own"))
+    rest = met(_rest_tasks(long.select("key", "rep", "n"), components(first.unionByName(pairs))))
+    return first.unionByName(rest)
 
 
 def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -357,22 +389,12 @@ def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size:
     alone = sized.join(_bounded(large), "key", "left_anti").select("key", "rep", F.lit(0).alias("i"), F.lit(0).alias("j"))
     if few(large, 0):
         return cut(_met(docs, cut(alone, "met"), size, num, den), "links")
-    # Every block meets itself and the pivots: as many texts as there are classes, and a few per block.
+    # Every block meets itself and the pivots first: as many texts as there are classes, and a few per block.
     split = sized.join(_bounded(large), "key")
-    rank = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-    pivots = split.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS).select("key", "rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    own = split.select("key", "rep", F.expr(_OWN).alias("i")).unionByName(pivots).distinct().withColumn("j", F.col("i"))
-    first = cut(_met(docs, cut(alone.unionByName(own), "met"), size, num, den), "links")
+    first = cut(_met(docs, cut(alone.unionByName(_own_tasks(split)), "met"), size, num, den), "links")
     # What is not connected with the largest part of its component by now meets all the others.
-    part = components(first)
-    parts = cut(split.drop("blocks").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part")), "parts")
-    main = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-    sided = cut(parts.join(_bounded(main), "key").select("key", "rep", "n", (F.col("part") != F.col("main")).alias("rest")), "sided")
-    counts = _block_count("key", "rest")(sided).groupBy("key").agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("rests"), F.coalesce(F.max(F.when(~F.col("rest"), F.col("blocks"))), F.lit(0)).alias("mains")).where("rests is not null")
-    dealt = sided.join(_bounded(cut(counts, "counts")), "key").withColumn("blocks", F.expr("if(rest, rests, mains)")).withColumn("own", F.expr(f"{_OWN} + if(rest, 0, rests)"))
-    met = dealt.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.expr("if(rest, rests + mains, rests) - 1"))).alias("other"))
-    met = cut(met.select("key", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct(), "met")
-    return first.unionByName(cut(_met(docs, met, size, num, den), "links"))
+    rest = _rest_tasks(split.drop("blocks"), components(first))
+    return first.unionByName(cut(_met(docs, rest, size, num, den), "links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -420,15 +442,15 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     release(by_hash)
     described = cut(_described(docs, size, num, den, order), "described")
     classes = cut(_classes(described, sets), "classes")
-    long_lists = cut(_lengths(classes).where(F.col("n") > PAIRS).select("token"), "long")
+    long_lists = cut(_lengths(classes).where(F.col("n") > PAIRS).withColumnRenamed("n", "length"), "long")
     rows = classes.select(F.explode("prefix").alias("token"), "rep", F.col("n").cast("int").alias("n"), "ask")
     hot = _bounded(long_lists)
     pairs = _pairs(rows.join(hot, "token", "left_anti"), num, den)
     found = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need").select("x", "y")
     candidates = cut(found, "pairs")
     if not few(long_lists, 0):
-        long = cut(rows.join(hot, "token", "left_semi").select(F.col("token").alias("key"), "rep", "n"), "hot")
-        candidates = candidates.unionByName(cut(_long_candidates(classes, long, num, den), "candidates"))
+        long = cut(rows.join(hot, "token").select(F.col("token").alias("key"), "rep", "n", "length"), "hot")
+        candidates = candidates.unionByName(_long_candidates(classes, long, candidates, num, den))
     links = _verified(docs, classes, candidates, size, num, den)
     # Documents whose rows fall in several classes.
     placed = described.select("doc_id", "n", "d1", "d2").join(_bounded(sets), ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
