@@ -27,15 +27,6 @@ def summed(buckets: DataFrame, keys: list[str]) -> DataFrame:
     return buckets.groupBy(*keys, "le").agg(F.sum("n").alias("n"))
 
 
-def histogram_quantiles(buckets: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
-    """A column for each named quantile of :func:`histogram_quantile`."""
-    out = None
-    for name, q in points.items():
-        one = histogram_quantile(buckets, keys, q).withColumnRenamed("quantile", name)
-        out = one if out is None else out.join(one, keys)
-    return out
-
-
 def request_metrics(requests: DataFrame, route: str, status: Column, seconds: str, size: str, hits: str) -> dict[str, DataFrame]:
     """Requests by route and status label, and histograms of durations, sizes and result numbers by route, at the fixed bounds."""
     return {
@@ -46,21 +37,29 @@ def request_metrics(requests: DataFrame, route: str, status: Column, seconds: st
     }
 
 
-def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFrame:
-    """Quantile by linear interpolation in the first bucket whose cumulative count reaches q of the total.
+def histogram_quantiles(buckets: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
+    """A column for each named quantile, by linear interpolation in the first bucket whose cumulative count reaches its part of the total.
 
     Beyond the last finite bound the quantile is that bound; an empty histogram gives null.
     """
-    sorted_ = F.array_sort(F.collect_list(F.struct("le", "n")))
-    rows = buckets.groupBy(*keys).agg(sorted_.alias("b"))
+    rows = buckets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("le", "n"))).alias("b"))
     total = F.element_at("b", -1)["n"]
-    target = total * F.lit(q)
-    at = F.array_position(F.transform("b", lambda x: x["n"] >= target), True).cast("int")
-    low = F.when(at > 1, F.get("b", at - 2)["le"]).otherwise(0.0)
-    below = F.when(at > 1, F.get("b", at - 2)["n"]).otherwise(0)
-    high, upto = F.get("b", at - 1)["le"], F.get("b", at - 1)["n"]
-    inside = F.when(upto == below, high).otherwise(low + (high - low) * (target - below) / (upto - below))
-    return rows.select(*keys, F.when(total > 0, F.when(high == float("inf"), low).otherwise(inside)).alias("quantile"))
+
+    def quantile(q: float) -> Column:
+        target = total * F.lit(q)
+        at = F.array_position(F.transform("b", lambda x: x["n"] >= target), True).cast("int")
+        low = F.when(at > 1, F.get("b", at - 2)["le"]).otherwise(0.0)
+        below = F.when(at > 1, F.get("b", at - 2)["n"]).otherwise(0)
+        high, upto = F.get("b", at - 1)["le"], F.get("b", at - 1)["n"]
+        inside = F.when(upto == below, high).otherwise(low + (high - low) * (target - below) / (upto - below))
+        return F.when(total > 0, F.when(high == float("inf"), low).otherwise(inside))
+
+    return rows.select(*keys, *[quantile(q).alias(name) for name, q in points.items()])
+
+
+def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """keys and ``quantile``: one of :func:`histogram_quantiles`."""
+    return histogram_quantiles(buckets, keys, {"quantile": q})
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
