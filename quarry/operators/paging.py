@@ -33,8 +33,8 @@ def positions(df: DataFrame, coarse: Column, order: list[Column | str], descendi
 
 
 def meta(df: DataFrame, offset: int, limit: int, version: str) -> DataFrame:
-    """One row: total, limit, has_more, data version."""
-    return df.agg(F.count(F.lit(1)).alias("total")).select("total", F.lit(limit).alias("limit"), (F.col("total") > offset + limit).alias("has_more"), F.lit(version).alias("dataset_version"))
+    """One row: total, limit, has_more, cursor of the next page (null on the last), data version."""
+    return df.agg(F.count(F.lit(1)).alias("total")).select("total", F.lit(limit).alias("limit"), (F.col("total") > offset + limit).alias("has_more"), F.when(F.col("total") > offset + limit, encode_cursor(offset + limit, version)).alias("next_cursor"), F.lit(version).alias("dataset_version"))
 
 
 @dataclass(frozen=True)

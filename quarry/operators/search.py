@@ -6,9 +6,11 @@ name, 1 substances, 2 holders; ``first`` marks the name's first token.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import idf, normalize, tokens, trigrams
@@ -177,6 +179,15 @@ def find(docs: DataFrame, index: Index, query: str, rank: Rank | None = None, ma
     return Found(scored, len(terms), some, some < rank.fallback_below)
 
 
+def observed(docs: DataFrame, index: Index, query: str, limit: int, clock: Callable[[], float] = time.perf_counter, **options) -> tuple[list[Row], dict[str, object]]:
+    """The best hits, and what is recorded of a search: its mode, seconds, hits in all and tokens."""
+    began = clock()
+    found = find(docs, index, query, **options)
+    best = ranked(found.hits).limit(limit).collect()
+    total = len(best) if len(best) < limit else found.hits.count()
+    return best, {"mode": found.mode, "seconds": clock() - began, "results": total, "tokens": found.tokens, "fallback": found.fallback}
+
+
 def search(docs: DataFrame, index: Index, query: str, rank: Rank | None = None, marketed: Column | None = None, active: Column | None = None, limit: int | None = None) -> DataFrame:
     """Hits of :func:`find`, best first; with ``limit`` only the best ones, without a global sort."""
     hits = ranked(find(docs, index, query, rank, marketed, active).hits)

@@ -24,7 +24,7 @@ def list_filter_page(t: Tables) -> DataFrame:
     return paging.page(ordered.select("p_partkey", "p_name", "p_brand", "p_size"), ["p_name", "p_partkey"], 5, 20)
 
 
-@query("select count(*) as total, 20 as \"limit\", count(*) > 25 as has_more, 'v1' as dataset_version from part where p_size <= 20")
+@query("select count(*) as total, 20 as \"limit\", count(*) > 25 as has_more, case when count(*) > 25 then rtrim(to_base64(encode('{\"o\":25,\"h\":\"v1\"}')), '=') end as next_cursor, 'v1' as dataset_version from part where p_size <= 20")
 def list_meta(t: Tables) -> DataFrame:
     return paging.meta(t.part.where("p_size <= 20"), 5, 20, "v1")
 

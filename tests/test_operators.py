@@ -53,6 +53,9 @@ def test_search(spark, tmp_path):
     assert ids("doli", limit=1, marketed=F.col("id") == 4) == [4] and ids("doli", limit=1, active=F.col("id") == 1) == [1]
     found = search.find(docs, index, "PARACETAMOLL")
     assert (found.tokens, found.exact, found.fallback, found.mode) == (1, 0, True, "trigram")
+    times = iter((1.0, 3.5))
+    best, seen = search.observed(docs, index, "paracetamol", 1, lambda: next(times))
+    assert len(best) == 1 and seen == {"mode": "trigram", "seconds": 2.5, "results": 2, "tokens": 1, "fallback": True}
 
 
 def test_repeated_grams_inflate(spark):
