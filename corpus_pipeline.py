@@ -20,27 +20,48 @@ from quarry.llm.toxicity import toxicity_filter
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go. The model learns from the labelled documents of the stage's input."""
+    """Toxic documents go. The model learns from the labelled documents of the stage's input.
+
+    Null and empty texts and null ids stay; repeated rows are judged alike; an
+    empty table stays empty; without labels of both kinds nothing goes.
+    """
     return toxicity_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as bad go. The model learns from the labelled documents of the stage's input."""
+    """Documents scored as bad go. The model learns from the labelled documents of the stage's input.
+
+    Null and empty texts go or stay by the share of good labels; repeated rows
+    are judged alike; an empty table stays empty; without labels every score
+    is 0.5, which is below the bound.
+    """
     return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group stays: five-word shingles, similarity 0.8 or more.
+
+    Null, empty and wordless texts and null ids stay; of rows that repeat the
+    kept id all stay; an empty table stays empty.
+    """
     return near_duplicate_survivors(docs, size=5, num=4, den=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share ten consecutive words with a benchmark item go."""
+    """Documents that share ten consecutive words with a benchmark item go, or all words of a shorter item.
+
+    Null and empty texts and null ids stay; repeated rows are judged alike; an
+    empty benchmark takes nothing.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens.
+
+    Null and empty texts are their end alone; null ids and repeated rows are
+    packed as they come; an empty table gives no sequences.
+    """
     return pack(pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
@@ -52,7 +73,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: Learnt scores and token ids are beyond SQL; near duplicates and decontamination are tested against brute force instead.
+#: Learnt scores and token ids are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 

@@ -8,6 +8,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry.llm import decontaminate, jaccard, kernels, language, media, packing, quality, toxicity, urlfilter
 from quarry.llm.common import shared_dir
 
@@ -174,3 +175,34 @@ def test_forest_in_rows(monkeypatch):
 
 def test_shared_folder(spark):
     assert shared_dir(spark).startswith("file:")
+
+
+ODD_DOCS = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "a b c d e f", "en", None, 11), (3, "a b c d e f", "en", None, 11), (None, "a b c d e f", "en", "s", 11), (4, "A B C D E F", "en", "s", None), (5, "x " * 9000, "fr", "s", 18000)]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('odd')}"
+    spark.createDataFrame([(3, 1, 0), (4, 1, 1), (None, 1, 1), (99, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("i", None), (None, "a b"), ("j", "q r s")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, odd_folder, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame([(*r, "kept") for r in ODD_DOCS], COLUMNS + ", score string")
+    found = stage(spark, docs, odd_folder)
+    rows = found.collect()
+    assert stage(spark, docs.limit(0), odd_folder).count() == 0
+    if name == "packing":
+        assert len([r for r in rows if r["piece"] == 0]) == len(ODD_DOCS) and sum(r["length"] for r in rows if r["doc_id"] == 1) == 1
+        return
+    assert found.columns == docs.columns
+    kept = sorted((r["doc_id"] for r in rows), key=str)
+    everything = sorted((r[0] for r in ODD_DOCS), key=str)
+    expected = {"toxicity": everything, "decontamination": everything, "near_duplicates": sorted([1, 2, 3, 3, None, 5], key=str)}
+    if name in expected:
+        assert kept == expected[name]
+    assert set(kept) <= set(everything)
