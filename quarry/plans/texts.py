@@ -246,16 +246,16 @@ def latency_percentiles(t: Tables) -> DataFrame:
 
 
 def _quantile_sql(q: float) -> str:
-    return f"""with h as ({_HIST}), t as (select event_type, max(n) * {q} as target, max(n) as total from h group by 1),
+    return f"""with h as ({_HIST}), t as (select event_type, max(n) * {q}::double as target, max(n) as total from h group by 1),
 l as (select h.*, lag(le, 1, 0) over (partition by event_type order by le) as low, lag(n, 1, 0) over (partition by event_type order by le) as below from h),
 f as (select event_type, min(le) as le from l join t using (event_type) where n >= target group by 1)
-select event_type, round(case when l.le = 'inf'::double then low when n = below then l.le else low + (l.le - low) * (target - below) / (n - below) end, 4) as quantile from l join f using (event_type, le) join t using (event_type)"""
+select event_type, round(case when l.le = 'inf'::double then low when n = below then l.le else low + (l.le - low) * (target - below) / (n - below) end, 6) as quantile from l join f using (event_type, le) join t using (event_type)"""
 
 
 @query(_quantile_sql(0.9))
 def histogram_quantile(t: Tables) -> DataFrame:
     found = metrics.histogram_quantile(metrics.histogram(t.events, ["event_type"], "value", _BOUNDS), ["event_type"], 0.9)
-    return found.select("event_type", F.round("quantile", 4).alias("quantile"))
+    return found.select("event_type", F.round("quantile", 6).alias("quantile"))
 
 
 _POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -265,7 +265,7 @@ _POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 def histogram_quantiles(t: Tables) -> DataFrame:
     """Median, 95th and 99th percentile of every type from its histogram."""
     found = metrics.histogram_quantiles(metrics.histogram(t.events, ["event_type"], "value", _BOUNDS), ["event_type"], _POINTS)
-    return found.select("event_type", *[F.round(p, 4).alias(p) for p in _POINTS])
+    return found.select("event_type", *[F.round(p, 6).alias(p) for p in _POINTS])
 
 
 @query("select event_type, strftime(time_bucket(interval '5 minutes', ts), '%Y-%m-%d %H:%M') as start, count(*) as n, round(count(*) / 300, 6) as rate from events group by 1, 2")
