@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.arrowfile import token_files
+from quarry.llm.audit import interaction_audit, order_steps
 from quarry.llm.common import held_out, table
 from quarry.llm.decontaminate import n_hit, with_matches
 from quarry.llm.jaccard import ngram_jaccard_join
@@ -17,6 +19,7 @@ from quarry.llm.packing import pack, pieces
 from quarry.llm.quality import GOOD, train_quality
 from quarry.llm.toxicity import TOXIC, train_toxicity
 from quarry.llm.urlfilter import filter_captures, host_of
+from quarry.llm.wand import ranked_search
 from quarry.llm.warc import page_records
 
 
@@ -158,6 +161,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("t.severity").alias("severity"), F.col("t.p_toxic").alias("p_toxic"), F.col("t.grade").alias("grade"), (F.col("t.p_toxic") >= TOXIC).alias("toxic"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in Arrow files of equal-length sequences, read back."""
+    return token_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all orders, by language."""
+    return interaction_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = rf"""
@@ -185,6 +203,35 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
 from w left join c using (doc_id) left join t using (doc_id)
 """
 
+OP12_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+n as (select count(*) filter (len(w) > 0) as n, cast(coalesce(sum(len(w)), 0) as bigint) as l from d),
+q as (select q, any_value(item_id) as item_id, g, count(*) as reps from (select row_number() over () as q, item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as g from benchmark) group by q, g),
+p as (select r, any_value(doc_id) as doc_id, g, count(*) as tf, any_value(len(w)) as n from (select r, doc_id, w, unnest(w) as g from d) where g in (select g from q) group by r, g),
+f as (select g, cast(floor(1000 * ln((2 * any_value(n.n) + 2) / (2 * count(*) + 1))) as bigint) as weight from p, n group by g),
+s as (select q.q, any_value(q.item_id) as item_id, p.r, any_value(p.doc_id) as doc_id,
+  cast(sum(q.reps * f.weight * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 75 + (75 * p.n * n.n) // n.l)))) as bigint) as score
+  from q join p using (g) join f using (g), n group by q.q, p.r)
+select item_id, cast(rank as int) as rank, doc_id, score from (select *, row_number() over (partition by q order by score desc, doc_id) as rank from s where score > 0) where rank <= 10
+"""
+
+_FAILS = """list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda a: a <> '') as w, coalesce(text, '') as t"""
+OP13_SQL = f"""
+with x as (select doc_id, coalesce(lang, '') as part, {_FAILS} from documents),
+e as (select *, min(doc_id) over (partition by t) as first from x),
+l as (select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+m as (select part, cast(len(w) < 100 as int) + 2 * cast(100 * len(list_distinct(w)) < 80 * len(w) as int) + 4 * cast(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) as int)
+  + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(coalesce(doc_id > first, false) as int) as bits,
+  count(*) as n, count_if(coalesce(good, false)) as good, count_if(coalesce(toxic, false)) as toxic from e left join l using (doc_id) group by 1, 2),
+s(filter_order, step, before, filter) as (values {', '.join(f"('{o}', {i}, {b}, '{f}')" for o, i, b, f in order_steps())}),
+c as (select part, filter_order, step, before, filter, 1 << (ascii(filter) - 65) as bit, bits, n, good, toxic from s, m),
+r as (select part, filter_order, step, filter, sum(case when bits & (before | bit) = 0 then n else 0 end) as kept, sum(case when bits & before = 0 and bits & bit > 0 then n else 0 end) as removed,
+  sum(case when bits & before > 0 and bits & bit > 0 then n else 0 end) as redundant, sum(case when bits = bit then n else 0 end) as unique_fails,
+  sum(case when bits & before = 0 and bits & bit > 0 then good else 0 end) as good_lost, sum(case when bits & before = 0 and bits & bit > 0 then toxic else 0 end) as toxic_lost from c group by all)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, filter) as bigint) as shapley from r
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
@@ -197,6 +244,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_tokens": op11_tokens,
+    "op12_search": op12_search,
+    "op13_audit": op13_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -205,4 +255,6 @@ ORACLES: dict[str, str] = {
     "op7_licenses": scan_sql(),
     "op8_warc": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op12_search": OP12_SQL,
+    "op13_audit": OP13_SQL,
 }

@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 
 from quarry.llm import kernels as K
 
-#: The vocabulary's file.
-VOCABULARY = "word_bpe_49k.json"
+#: The vocabularies' files: of lower-cased words, and of bytes.
+VOCABULARY, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Words a worker remembers; beyond that it forgets them all and starts anew.
 REMEMBERED = 600_000
 
@@ -74,7 +74,9 @@ class Encoder:
                 ids, ends = np.array(sum(own, []), dtype="<u4"), np.cumsum([len(o) for o in own])
             parts.append(ids)
             lengths.append(np.diff(ends, prepend=0))
-        flat, length = np.concatenate(parts), np.concatenate(lengths)
+        self._remember(np.concatenate(parts), np.concatenate(lengths), hashes)
+
+    def _remember(self, flat: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + len(flat)] = flat
@@ -99,9 +101,12 @@ class Encoder:
         begin = np.flatnonzero(begins)
         end = np.append(begin[1:], len(code))
         word = kind[begin] != _SPACE
-        begin, end = begin[word], end[word]
+        return self._looked_up(joined, code, begin[word], end[word], np.cumsum([len(t) + 1 for t in texts]))
+
+    def _looked_up(self, joined: str, code: np.ndarray, begin: np.ndarray, end: np.ndarray, lines: np.ndarray) -> list[bytes]:
+        """Ids of texts that end at ``lines``, whose words lie between ``begin`` and ``end``."""
         if not len(begin):
-            return [b""] * len(texts)
+            return [b""] * len(lines)
         power, inverse = K._power(len(code) + 1)
         total = np.zeros(len(code) + 1, dtype=np.uint64)
         np.cumsum(_VALUE[code] * power[: len(code)], out=total[1:])
@@ -119,7 +124,6 @@ class Encoder:
         length = self.length[slot]
         stop = np.cumsum(length)
         flat = self.ids[np.repeat(self.start[slot] - stop + length, length) + np.arange(int(stop[-1]))]
-        lines = np.cumsum([len(t) + 1 for t in texts])
         bounds = np.concatenate(([0], np.concatenate(([0], stop))[np.searchsorted(begin, lines)])) * 4
         data, edges = flat.tobytes(), bounds.tolist()
         return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -148,11 +152,49 @@ class Encoder:
         return out
 
 
-_encoders: dict[str | None, Encoder] = {}
+class ByteEncoder(Encoder):
+    """Ids of the byte-level vocabulary, whose words keep case and the blank before them."""
+
+    def __init__(self, path: str | None = None):
+        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(BYTES))
+        self._forget()
+
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._remember(np.fromiter((i for own in ids for i in own), dtype="<u4"), np.array([len(own) for own in ids], dtype=np.int64), hashes)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        joined = "".join(texts)
+        code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        if not len(code):
+            return [b""] * len(texts)
+        lines = np.cumsum([len(t) for t in texts])
+        kind = _CLASS[code]
+        first = np.zeros(len(code) + 1, dtype=bool)
+        first[lines] = True
+        first[0] = True
+        begins = first[:-1].copy()
+        begins[1:] |= kind[1:] != kind[:-1]
+        # White space before a word of its own text gives up its last character: a blank to the word, others to themselves.
+        last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~first[1:-1])
+        begins[last] = True
+        begins[last[code[last] == 0x20] + 1] = False
+        if "'" in joined:
+            for m in _ENDINGS.finditer(joined):
+                a, b = m.span()
+                if begins[a] and not first[a + 1 : b].any():
+                    begins[a + 1 : b] = False
+                    if b < len(code):
+                        begins[b] = True
+        begin = np.flatnonzero(begins)
+        return self._looked_up(joined, code, begin, np.append(begin[1:], len(code)), lines)
+
+
+_encoders: dict[tuple[type, str | None], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, kind: type[Encoder] = Encoder) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (kind, path) not in _encoders:
+        _encoders[kind, path] = kind(path)
+    return _encoders[kind, path]
