@@ -156,12 +156,31 @@ class ByteEncoder(Encoder):
     """Ids of the byte-level vocabulary, whose words keep case and the blank before them."""
 
     def __init__(self, path: str | None = None):
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(BYTES))
+        path = path or public_tokenizers.path(BYTES)
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        # The same model, for words that are already split: a line end stands apart from what it separates.
+        described["added_tokens"] = []
+        described["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": "\n"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.words = Tokenizer.from_str(json.dumps(described))
+        (self.line_end,) = self.words.encode("\n", add_special_tokens=False).ids
         self._forget()
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self._remember(np.fromiter((i for own in ids for i in own), dtype="<u4"), np.array([len(own) for own in ids], dtype=np.int64), hashes)
+        parts, lengths = [], []
+        for a in range(0, len(words), 256):
+            some = words[a : a + 256]
+            ids = np.array(self.words.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) == len(some):
+                parts.append(np.delete(ids, ends))
+                lengths.append(np.diff(ends, prepend=-1) - 1)
+            else:  # a word of line ends is among them
+                own = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in some]
+                parts.append(np.array(sum(own, []), dtype="<u4"))
+                lengths.append(np.array([len(o) for o in own], dtype=np.int64))
+        self._remember(np.concatenate(parts), np.concatenate(lengths), hashes)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         joined = "".join(texts)
