@@ -39,7 +39,6 @@ QUERY_TERMS = 1 << 18
 QUERIES = 4096
 #: Runs that a query's best are merged in before they meet in one task.
 RUNS = 64
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Columns of the index besides shard facts: NumPy type of each.
 ARRAYS = {"terms": "<u8", "df": "<i4", "first": "<i4", "last": "<i4", "count": "u1", "widths": "u1", "impact": "<i4", "gaps": "u1", "tfs": "u1", "norm": "<i8"}
@@ -55,7 +54,24 @@ class Corpus:
 
 
 def corpus(docs: DataFrame) -> Corpus:
-    row = docs.select(F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n")).agg(F.count_if(F.col("n") > 0).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
+    """Counts where words begin; words are neither hashed nor kept."""
+    small_batches(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = terms = 0
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            for a, b in K.text_slices(texts):
+                inside = K.ALNUM.mask[np.frombuffer(b" ".join([b"", *texts[a:b]]), dtype=np.uint8)]
+                begins = np.flatnonzero(inside[1:] & ~inside[:-1])
+                ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts[a:b]), dtype=np.int64, count=b - a))
+                each = np.diff(np.searchsorted(begins, ends), prepend=0)
+                documents += int((each > 0).sum())
+                terms += len(begins)
+        yield pa.RecordBatch.from_arrays([pa.array([documents], pa.int64()), pa.array([terms], pa.int64())], names=["d", "t"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "d bigint, t bigint")
+    row = found.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     return Corpus(row["d"], row["t"])
 
 
