@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -63,16 +63,21 @@ class QualityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id, text, label, half of labelled documents that may be learnt from.
+    """doc_id, text, label, half and n of labelled documents that may be learnt from.
 
     At most ``per_class`` documents of each label, those with the smallest
-    hashes of their ids; only their ids (a bounded number) are broadcast.
+    hashes of their ids; only their ids (a bounded number) are broadcast. A
+    document's equal rows are one with their number as ``n``. Where an id has
+    several texts, at most ``2 * per_class`` texts of each label are kept, those
+    with the smallest hashes of id and text, so no label or text is preferred.
     """
     known = labels.where(learnable(F.col("doc_id"))).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").distinct()
     hashed = known.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(17)))
     some = hashed.where("label = 0").orderBy("h", "doc_id").limit(per_class).unionByName(hashed.where("label = 1").orderBy("h", "doc_id").limit(per_class))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "label", (F.pmod("h", F.lit(2))).alias("half"))
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "text", "label", F.pmod("h", F.lit(2)).alias("half")).agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    return rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * per_class).drop("r")
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -97,9 +102,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
 
     Without labelled text of both classes every score is the share of label 1
     among the labels, or 0.5 without any. Null texts count as empty and teach
-    nothing; of a document with several rows each row counts; labels other
-    than 0 and 1, null ids and held-out ids are not learnt from. The texts are
-    read once: the sample is written and trained on from there.
+    nothing; of a document with several rows each row counts in the curve, up
+    to the bound of :func:`labelled_sample`; labels other than 0 and 1, null
+    ids and held-out ids are not learnt from. The texts are read once: the
+    sample is written and trained on from there.
+
+    With less than 4,096 bytes or 8 parts of a class, or where training a
+    dictionary fails for lack of text, the class's text itself is its
+    dictionary. With one class alone in the curve's half of the sample the
+    curve's slope is 20 and its offset the odds of label 1.
     """
     sample = cut(labelled_sample(docs, labels, label, per_class), "quality")
     share = {r["label"]: r["n"] for r in labels.where(learnable(F.col("doc_id"))).where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -121,12 +132,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
     if len(dictionary) < 2:
         return QualityModel(None, None, 0.0, float(np.log(prior / (1 - prior))))
     model = QualityModel(dictionary[1], dictionary[0])
-    rows = sample.where("half = 1 and text <> ''").select(F.col("label"), model.column("text", difference=True).alias("x")).orderBy("label", "x").limit(4 * per_class).toPandas()
+    rows = sample.where("half = 1 and text <> ''").select("label", "n", model.column("text", difference=True).alias("x")).orderBy("label", "x", "n").toPandas()
     if rows["label"].nunique() < 2:
         return QualityModel(dictionary[1], dictionary[0], 20.0, float(np.log(prior / (1 - prior))))
     y = rows["label"].to_numpy(dtype=float)
-    n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
-    weight = np.where(y == 1, share[1] / n[1], share[0] / n[0]) / total * len(y)
+    times = rows["n"].to_numpy(dtype=float)
+    n = np.array([times[y == 0].sum(), times[y == 1].sum()])
+    weight = times * np.where(y == 1, share[1] / n[1], share[0] / n[0]) / total * times.sum()
     return QualityModel(dictionary[1], dictionary[0], *_fit(rows["x"].to_numpy(dtype=float), y, weight))
 
 

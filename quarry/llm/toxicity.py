@@ -129,8 +129,11 @@ def _fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndar
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_DOCS) -> ToxicityModel:
     """Learns from at most ``per_class`` documents of each label outside the held-out fold.
 
-    Equal texts of one label count once. Without toxic or without clean
-    labelled texts nothing can be told apart: every severity is then near 0.
+    Equal texts of one label count once, those of an id with many texts up to
+    the bound of ``labelled_sample``. Null and held-out ids and labels other
+    than 0 and 1 are not learnt from; a null text is an empty one. Without toxic
+    or without clean labelled texts nothing can be told apart: every severity
+    is then near 0.
     """
     nothing = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.array([6.0, 7.0, 8.0]))
     sample = cut(labelled_sample(docs, labels, label, per_class).dropDuplicates(["label", "text"]).select("doc_id", "text", "label"), "toxic")
@@ -181,10 +184,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
                     names=["doc_id", "label", "hits", "features", "counts"],
                 )
 
-    # At most 2 * per_class texts (a few more where ids repeat), each with FEATURES numbers at most.
+    # At most 4 * per_class texts, each with FEATURES numbers at most.
     # Features come first, so that no task gathers texts.
     made = sample.select("doc_id", "text", "label").mapInArrow(design, "doc_id bigint, label int, hits bigint, features array<int>, counts array<int>")
-    rows = made.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "hits", "features", "counts").limit(3 * per_class).toPandas()
+    rows = made.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "hits", "features", "counts").toPandas()
     label_, hits = rows["label"].to_numpy(), rows["hits"].to_numpy()
     grade = np.where(label_ == 1, 1 + (hits >= GRADES[0]) + (hits >= GRADES[1]), 0)
     length = rows["features"].map(len).to_numpy()
