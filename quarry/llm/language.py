@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quarry.llm import kernels as K
-from quarry.llm.common import cut, learnable
+from quarry.llm.common import cut, few, learnable
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Training: documents a language, parts of them a language, characters a part, rounds of EM.
 SAMPLE_DOCS, SAMPLE_PARTS, PART_CHARS, ROUNDS = 400, 20_000, 2048, 3
+#: Rows of a table of languages or of chosen ids that may be sent to all executors.
+BROADCAST = 500_000
 #: Parts of a language whose words are counted at once.
 COUNTED = 500
 #: Letters of a word scored in probabilities; longer runs are scored in logarithms, which don't underflow.
@@ -38,6 +40,8 @@ UNDETERMINED = "und"
 
 #: Letters and the marks that combine with them.
 _LETTERS = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+#: Letters alone: a text without any has no language.
+_ALONE = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
 _MARK = 0x2581
 _ODD = np.uint64(K._BASE)
 
@@ -271,13 +275,18 @@ class _Scorer:
                 p /= p.sum(axis=1, keepdims=True)
                 best = total.argmax(axis=1)
             for i in range(end - begin):
-                known = counts[i] > 0 and total.shape[1] > 0
+                known = counts[i] > 0 and total.shape[1] > 0 and lettered(texts[begin + i])
                 lang.append(self.model.languages[best[i]] if known else UNDETERMINED)
                 score.append(float(p[i, best[i]]) if known else 0.0)
             begin = end
         return lang, score
 
 
+def lettered(text: str) -> bool:
+    """Whether a text has a letter; combining marks are none."""
+    return bool(_ALONE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].any())
+
+
 _scorers: dict[int, _Scorer] = {}
 
 
@@ -320,15 +329,18 @@ def train_languages(docs: DataFrame, path: str | None = None, per_language: int
     Of a language's documents at most SAMPLE_PARTS parts of PART_CHARS
     characters are used, chosen by hash; one language is with the driver at a
     time. Repeated rows count once. Ties of languages go to the smaller name.
+    The model is dense, a row a piece and a column a language: 0.24 MB each, so
+    a dirty ``lang`` of 4,000 values takes 1 GB of the driver and of each
+    worker; clean the column before it has more.
     """
     known = docs.where(learnable(F.col("doc_id"))).where("lang is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     # Ids far from the sample by hash are left out before they are dealt by language; the count is within a few hundredths.
     counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
-    hashed = known.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(5))).join(F.broadcast(counts), "lang")
+    hashed = known.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(5))).join(F.broadcast(counts) if few(counts, BROADCAST) else counts, "lang")
     near = hashed.where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) * F.col("ids") <= 4 * per_language + 100)
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id")
     some = near.select("lang", "doc_id", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("h", "r")
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(some), ["doc_id", "lang"])
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(some) if few(some, BROADCAST) else some, ["doc_id", "lang"])
     parts = texts.where("text <> ''").select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / PART_CHARS).cast("int"))).alias("k"))
     parts = parts.select("lang", F.expr(f"substring(text, k * {PART_CHARS} + 1, {PART_CHARS})").alias("part"), F.xxhash64("doc_id", "k").alias("h")).distinct()
     first = Window.partitionBy("lang").orderBy("h", "part")
