@@ -232,11 +232,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     while True:
         n = rest.count()
         groups = max(1, -(-n // group))
-        packed = _packed(rest, groups, level, capacity, dealt_to, filled)
+        # Written, as rows come to a group in the order of the shuffle: all that read the result see one packing.
+        packed = cut(_packed(rest, groups, level, capacity, dealt_to, filled), "packed")
         if groups == 1:
             done.append(packed.drop(filled))
             break
-        packed = cut(packed, "packed")
         made = packed.select("sequence_id").distinct().count()
         if kept is not None and made >= was and few_filled:
             # Dealing anew saves nothing: those pieces keep the bins they have.
