@@ -33,15 +33,16 @@ class Rank:
     expansions: int = 512
 
 
-def postings(names: DataFrame, substances: DataFrame | None = None, holders: DataFrame | None = None) -> DataFrame:
-    """Postings of (id, text) tables, one for each field."""
-    out = None
-    for number, df in enumerate((names, substances, holders)):
-        if df is not None:
-            kept = df.select("id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-            rows = kept.groupBy("token", "id").agg(F.lit(number).alias("field"), F.count(F.lit(1)).alias("n"), (F.lit(number == 0) & (F.min("pos") == 0)).alias("first"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+def field_texts(df: DataFrame, columns: list[str | None]) -> DataFrame:
+    """id, field, text: the fields of one table, by one scan; None stands for a field it doesn't have."""
+    each = [F.struct(F.lit(k).alias("field"), F.col(c).alias("text")) for k, c in enumerate(columns) if c is not None]
+    return df.select("id", F.inline(F.array(*each)))
+
+
+def postings(texts: DataFrame) -> DataFrame:
+    """Postings of (id, field, text); an id may have several texts of a field."""
+    kept = texts.select("id", "field", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    return kept.groupBy("token", "id", "field").agg(F.count(F.lit(1)).alias("n"), ((F.col("field") == 0) & (F.min("pos") == 0)).alias("first"))
 
 
 def vocabulary(index: DataFrame) -> DataFrame:
@@ -68,36 +69,51 @@ def similar(terms: DataFrame, grams_: DataFrame, least: float) -> DataFrame:
     return both.where((union != 0) & (F.col("inter") / union >= least)).select("i", "term", "token")
 
 
+#: Documents of a block, about.
+BLOCK_DOCS = 4096
+
+
 @dataclass(frozen=True)
 class Index:
-    """Postings, vocabulary (token, df), trigrams of its tokens, and the documents' number."""
+    """Postings (with their block), what blocks hold of each token, vocabulary (token, df), trigrams of its tokens, and the documents' number."""
 
     postings: DataFrame
+    blocks: DataFrame
     words: DataFrame
     grams: DataFrame
     rows: int
 
 
-def publish_index(postings_: DataFrame, docs: DataFrame, path: str) -> None:
-    """Writes an index to ``path``: tables sorted by the column they are looked up by.
+def block_summary(postings_: DataFrame, fields: int = 3) -> DataFrame:
+    """token, block, docs, head, and the largest n of each field (n0, n1, ...)."""
+    most = [F.coalesce(F.max(F.when(F.col("field") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(fields)]
+    return postings_.groupBy("token", "block").agg(F.countDistinct("id").alias("docs"), F.bool_or("first").alias("head"), *most)
+
+
+def publish_index(postings_: DataFrame, docs: DataFrame, path: str, block_docs: int = BLOCK_DOCS) -> None:
+    """Writes an index to ``path``: tables sorted by the columns they are looked up by.
 
-    Ranges of tokens go to files, so that a reader skips all row groups but
-    those of its query's tokens.
+    Documents are dealt to blocks by a hash of their id, about ``block_docs``
+    each. Ranges of tokens and blocks go to files, so that a reader skips all
+    row groups but those of its query's tokens and blocks.
     """
     spark = docs.sparkSession
 
-    def write(df: DataFrame, key: str, name: str) -> None:
-        df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/{name}")
+    def write(df: DataFrame, keys: list[str], name: str) -> None:
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/{name}")
 
-    write(postings_, "token", "postings")
-    write(vocabulary(spark.read.parquet(f"{path}/postings")), "token", "words")
-    write(grams(spark.read.parquet(f"{path}/words")), "gram", "grams")
-    docs.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/size")
+    rows = docs.count()
+    blocks = max(1, -(-rows // block_docs))
+    write(postings_.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), ["token", "block"], "postings")
+    write(block_summary(spark.read.parquet(f"{path}/postings")), ["token", "block"], "blocks")
+    write(spark.read.parquet(f"{path}/blocks").groupBy("token").agg(F.sum("docs").alias("df")), ["token"], "words")
+    write(grams(spark.read.parquet(f"{path}/words")), ["gram"], "grams")
+    spark.createDataFrame([(rows, blocks)], "rows long, blocks int").write.mode("overwrite").parquet(f"{path}/size")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(read("postings"), read("words"), read("grams"), read("size").first()["rows"])
+    return Index(read("postings"), read("blocks"), read("words"), read("grams"), read("size").first()["rows"])
 
 
 #: Tokens that are named in a filter, which the scan's statistics can use; more are joined.

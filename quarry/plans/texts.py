@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import idf, trim_all
-from quarry.operators import metrics, search
+from quarry.functions.text import idf, tokens, trim_all
+from quarry.operators import metrics, search, topk
 from quarry.plans.lists import NORM
-from quarry.plans.registry import Tables, query
+from quarry.plans.registry import Tables, literal, query
 from quarry.sources import scan
-from quarry.sources.shared import shared_dir
+from quarry.sources.shared import removed, shared_dir
 from quarry.streaming.limits import token_bucket as limited
 
 
@@ -36,16 +36,21 @@ size as (select count(*) as rows from documents)"""
 def _parts(t: Tables) -> tuple[DataFrame, DataFrame]:
     lines = F.split("text", "\n")
     docs = t.documents.select(F.col("doc_id").alias("id"), F.get(lines, F.lit(0)).alias("name"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n").alias("rest"), "source")
-    index = search.postings(docs.select("id", F.col("name").alias("text")), docs.select("id", F.col("rest").alias("text")), docs.select("id", F.col("source").alias("text")))
-    return docs.select("id", "name"), index
+    return docs.select("id", "name"), search.postings(search.field_texts(docs, ["name", "rest", "source"]))
 
 
 _published: dict[tuple[str, str], str] = {}
 
 
+def _facts(t: Tables) -> str:
+    """What tells one state of the documents' files from another: their names, sizes and times."""
+    rows = t.documents.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct()
+    return str(sorted(map(tuple, rows.collect())))
+
+
 def _index(t: Tables) -> tuple[DataFrame, search.Index]:
-    """The corpus and its published index; the first search of a session builds it, as a load does."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """The corpus and its published index; the first search of a session over these files builds it, as a load does."""
+    key = (t.spark.sparkContext.applicationId, _facts(t))
     docs, index = _parts(t)
     if key not in _published:
         path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
@@ -98,8 +103,6 @@ _GRAMS = "unnest(list_transform(range(1, strlen(w) + 2), lambda i: substr('  ' |
 
 
 def _part_words(t: Tables) -> DataFrame:
-    from quarry.functions.text import tokens
-
     return t.part.select(F.explode(tokens(F.col("p_name"))).alias("token")).distinct()
 
 
@@ -151,6 +154,81 @@ def search_bonus(t: Tables) -> DataFrame:
     return found.hits.select("id", F.round("score", 6).alias("score"))
 
 
+def _topk_sql(q: str, k: int) -> str:
+    return f"select cast(row_number() over (order by score desc, id) as int) as rank, id, score from ({_search_sql(q)}) order by score desc, id limit {k}"
+
+
+_RANKED = ("the anea", "thing ", "thnterbleee", "the and", "ha", "zzzzzz the")
+
+
+@query(" union all ".join(f"select '{q}' as query, rank, id, score from ({_topk_sql(q, 10)})" for q in _RANKED))
+def search_topk(t: Tables) -> DataFrame:
+    """The ten best hits of each query text, in order: by bounds of blocks, rarest list first."""
+    docs, index = _index(t)
+    rows = [(q, r["rank"], r["id"], r["score"]) for q in _RANKED for r in topk.find_top(docs, index, q, 10).rows]
+    return literal(t.spark, rows, "query string, rank int, id long, score double")
+
+
+#: Query texts: the first and the last word of every fiftieth document, the last one open.
+_QUERIES = f"select doc_id as query, coalesce(w[1], '') || ' ' || coalesce(w[len(w)], '') as text from (select doc_id, {_tok('text')} as w from documents where doc_id % 50 = 0)"
+#: Byte trigrams as hexadecimal text.
+_HEX = "unnest(list_transform(range(0, strlen({w}) + 1), lambda i: substr(hex('  ' || {w} || ' '), 2 * i + 1, 6)))"
+_TERMS = f"""{_INDEX},
+q as (select query, text, list_filter(string_split(text, ' '), lambda x: strlen(x) >= 2) as t from ({_QUERIES})),
+term as (select query, len(t) as k, unnest(t) as term, generate_subscripts(t, 1) as i from q),
+weight as (select term, ln(1 + (rows - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) as w from (select distinct term from term) left join vocab on token = term, size),
+longer as (select term, token from (select term, token, row_number() over (partition by term order by token) as r from (select distinct term from term where i = k) join vocab on starts_with(token, term) and token <> term) where r <= 512),
+exact as (select query, k, i, term, term as token from term where term in (select token from vocab) union all select query, k, i, term, token from term join longer using (term) where i = k),
+qg as (select term, strlen(term) + 1 as size, g, count(*) as n from (select term, {_HEX.format(w='term')} as g from (select distinct term from term)) group by all),
+vg as (select token, strlen(token) + 1 as size, g, count(*) as n from (select token, {_HEX.format(w='token')} as g from vocab) group by all)"""
+
+
+def _many_scored(matched: str, factor: float) -> str:
+    return f"""select m.query, p.id, sum({factor} * w.w * [3.0, 2.0, 1.0][p.field + 1] * p.n) as score, bool_or(p.first) as head, bool_and(p.field = 1) as only_substance
+  from {matched} m join postings p using (token) join weight w on w.term = m.term group by m.query, p.id having count(distinct m.i) = any_value(m.k)"""
+
+
+_MANY = f"""{_TERMS},
+e as ({_many_scored('exact', 1.0)}),
+weak as (select query from q left join (select query, count(*) as n from e group by 1) using (query) where coalesce(n, 0) < 5),
+alike as (select qg.term, vg.token from qg join vg using (g) group by all having any_value(qg.size) + any_value(vg.size) <> sum(qg.n * vg.n) and sum(qg.n * vg.n) / (any_value(qg.size) + any_value(vg.size) - sum(qg.n * vg.n)) >= 0.4),
+near as (select query, k, i, term, token from term join alike using (term) where query in (select query from weak)),
+a as ({_many_scored('near', 0.6)}),
+h as (select * from e union all select * from a where (query, id) not in (select (query, id) from e)),
+d as (select doc_id as id, {NORM.format(_NAME)} as name from documents),
+found as (select h.query, h.id, round(score + case when name = text then 50 when starts_with(name, text) then 20 else 0 end + case when head then 10 else 0 end + case when only_substance then -5 else 0 end, 6) as score from h join d using (id) join q on q.query = h.query)"""
+
+
+def _queries(t: Tables) -> DataFrame:
+    words = tokens(F.col("text"))
+    text = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" "), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")))
+    return t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), text.alias("text"))
+
+
+@query(f"with {_MANY} select query, cast(r as int) as rank, id, score from (select *, row_number() over (partition by query order by score desc, id) as r from found) where r <= 10")
+def search_many(t: Tables) -> DataFrame:
+    """The ten best hits of each of a table of queries, by one plan."""
+    docs, index = _index(t)
+    return topk.find_many(docs, index, _queries(t)).best(10)
+
+
+@query(f"with {_MANY} select q.query, cast(len(q.t) as int) as tokens, coalesce(n, 0) as exact, len(q.t) > 0 and coalesce(n, 0) < 5 as fallback from q left join (select query, count(*) as n from e group by 1) using (query)")
+def search_many_stats(t: Tables) -> DataFrame:
+    """What the searches of a table of queries report: tokens, exact hits, whether each fell back."""
+    docs, index = _index(t)
+    return topk.find_many(docs, index, _queries(t)).facts
+
+
+@query(f"""with {_INDEX}, p as (select doc_id as query, coalesce(w[1][1:2], '') as term from (select doc_id, {_tok('text')} as w from documents where doc_id % 50 = 0)),
+s as (select term, token, df from (select term, token, df, row_number() over (partition by term order by token) as r from (select distinct term from p) join vocab on starts_with(token, term)) where r <= 200)
+select query, cast(r as int) as rank, token, df from (select query, token, df, row_number() over (partition by query order by df desc, token) as r from p join s using (term)) where r <= 5""")
+def suggest_many(t: Tables) -> DataFrame:
+    """The five most frequent of the first 200 tokens with a prefix, for a table of prefixes."""
+    words = tokens(F.col("text"))
+    asked = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.coalesce(F.left(F.get(words, F.lit(0)), F.lit(2)), F.lit("")).alias("text"))
+    return topk.suggest_many(_index(t)[1].words, asked, 5)
+
+
 _ASKED = ("thing ", "the anea", "thnterbleee", "!!!")
 
 
@@ -168,16 +246,14 @@ def search_stats(t: Tables) -> DataFrame:
 
 @query(f"with {_INDEX} select 'postings' as entity, count(*) as n from postings union all select 'words', count(*) from vocab")
 def search_index_build(t: Tables) -> DataFrame:
-    """What a load publishes for searches, built anew: its tables and their rows."""
+    """What a load publishes for searches, built anew: its tables and their rows. Only the counts stay."""
     docs, index = _parts(t)
     path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
     search.publish_index(index, docs, path)
     found = search.open_index(t.spark, path)
-    out = None
-    for name in ("postings", "words"):
-        one = getattr(found, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("entity"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    counts = [(name, getattr(found, name).count()) for name in ("postings", "words")]
+    removed(t.spark, path)
+    return literal(t.spark, counts, "entity string, n long")
 
 
 @query(f"with {_INDEX} select token, df from (select token, df from vocab where starts_with(token, 'th') order by token limit 200) order by df desc, token limit 10")

@@ -71,7 +71,7 @@ def test_list_order_and_pages(spark, c, tmp_path):
     assert first.meta["total"] == 3 and first.meta["has_more"] and first.meta["limit"] == 2
     assert codes({"limit": "2", "cursor": first.next_cursor}) == ["1"]
     names = c.specialites.select(F.col("cis").alias("id"), F.col("denomination").alias("text"))
-    search.publish_index(search.postings(names), names, f"file://{tmp_path}/i")
+    search.publish_index(search.postings(search.field_texts(names, ["text"])), names, f"file://{tmp_path}/i")
     index = search.open_index(spark, f"file://{tmp_path}/i")
     page = catalogue.drug_list(c, {"q": "elixan", "mitm": "false"}, index, "v")
     (hit,) = catalogue.page_of_views(c, page).collect()

@@ -41,7 +41,8 @@ def test_gates():
 def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Doliprane 500 mg"), (2, "Paracétamol Biogaran"), (3, "Efferalgan"), (4, "Dolirhume")], "id int, name string")
     holders = spark.createDataFrame([(3, "Paracétamol")], "id int, text string")
-    search.publish_index(search.postings(docs.withColumnRenamed("name", "text"), holders), docs, f"file://{tmp_path}/index")
+    texts = search.field_texts(docs, ["name"]).unionByName(holders.select("id", F.lit(1).alias("field"), "text"))
+    search.publish_index(search.postings(texts), docs, f"file://{tmp_path}/index")
     index = search.open_index(spark, f"file://{tmp_path}/index")
     ids = lambda q, **k: [r["id"] for r in search.search(docs, index, q, **k).collect()]
     assert ids("paracétamol") == [2, 3]
