@@ -62,16 +62,6 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
     return histogram_quantiles(buckets, keys, {"quantile": q})
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Element number int((n - 1) * q) of the sorted values, for each point."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    own = Window.partitionBy(*keys)
-    upto = counts.withColumn("__upto", F.sum("__n").over(own.orderBy(value))).withColumn("__all", F.sum("__n").over(own))
-    # The smallest value that as many values reach as the wanted place needs.
-    places = [F.min(F.when(F.col("__upto") > F.floor((F.col("__all") - 1) * F.lit(q)), F.col(value))).alias(name) for name, q in points.items()]
-    return upto.groupBy(*keys).agg(*places)
-
-
 def rate(df: DataFrame, keys: list[str], time: str, width: str, slide: str | None = None) -> DataFrame:
     """Events and events a second of each window."""
     seconds = F.unix_timestamp(F.col("w.end")) - F.unix_timestamp(F.col("w.start"))

@@ -16,19 +16,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import idf, normalize, tokens, trigrams
 from quarry.operators.search import NAMED, Index, Rank, query_terms, similar
-from quarry.sources.shared import removed, written
+from quarry.sources.shared import near, removed, written
 
 #: Blocks that are evaluated first, to find a threshold for the others.
 FIRST = 32
 #: Digits to which scores are compared: sums of doubles depend on their order.
 DIGITS = 6
-#: Rows of a table that may be sent to all executors.
-BROADCAST_ROWS = 100_000
-
-
-def _near(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows, which are counted up to the bound."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
 def _bonus(rank: Rank, name: Column, query: Column, marketed: Column | None, active: Column | None) -> Column:
@@ -102,19 +95,19 @@ class _Search:
                 rows = rows.where(F.col("block").isin(numbers))
                 self.top.read.append((self.terms[i], len(numbers)))
             else:
-                rows = rows.join(_near(blocks), "block", "left_semi")
+                rows = rows.join(near(blocks), "block", "left_semi")
                 self.top.read.append((self.terms[i], blocks.count()))
             found = rows.groupBy("block", "id").agg((F.sum(_points(self.rank)) * self.weights[i]).alias("s"), F.bool_or("first").alias("f"), F.every(F.col("field") == 1).alias("o"))
             if alive is None:
                 alive = found.select("block", "id", F.col("s").alias("score"), F.col("f").alias("head"), F.col("o").alias("only_substance"))
             else:
-                alive = found.join(_near(alive), ["block", "id"]).select("block", "id", (F.col("score") + F.col("s")).alias("score"), (F.col("head") | F.col("f")).alias("head"), (F.col("only_substance") & F.col("o")).alias("only_substance"))
+                alive = found.join(near(alive), ["block", "id"]).select("block", "id", (F.col("score") + F.col("s")).alias("score"), (F.col("head") | F.col("f")).alias("head"), (F.col("only_substance") & F.col("o")).alias("only_substance"))
             if at + 1 < len(order):
                 alive, path = written(alive, "alive")
                 blocks = alive.select("block").distinct()
         if without:
             alive = alive.where(~F.col("id").isin(without))
-        scored = self.docs.join(_near(alive.drop("block")), "id").select("id", F.round(F.col("score") + self.bonus, DIGITS).alias("score"))
+        scored = self.docs.join(near(alive.drop("block")), "id").select("id", F.round(F.col("score") + self.bonus, DIGITS).alias("score"))
         return scored.orderBy(F.desc("score"), "id").limit(k).collect()
 
     def best(self, k: int, without: list) -> list[Row]:
@@ -176,8 +169,8 @@ def find_top(docs: DataFrame, index: Index, query: str, k: int, rank: Rank | Non
     if len(found) < rank.fallback_below:
         top.fallback = True
         asked = spark.createDataFrame(list(enumerate(terms)), "i int, term string")
-        near = [(r["i"], r["token"]) for r in similar(asked, index.grams, rank.similarity).select("i", "token").collect()]
-        found = sorted([*found, *best(near, rank.approximate, k, [r["id"] for r in found])], key=lambda r: (-r["score"], r["id"]))
+        alike = [(r["i"], r["token"]) for r in similar(asked, index.grams, rank.similarity).select("i", "token").collect()]
+        found = sorted([*found, *best(alike, rank.approximate, k, [r["id"] for r in found])], key=lambda r: (-r["score"], r["id"]))
     top.rows = [Row(rank=n, id=r["id"], score=r["score"]) for n, r in enumerate(found[:k], 1)]
     return top
 
@@ -196,13 +189,13 @@ def expanded(words: DataFrame, prefixes: DataFrame, first: int) -> DataFrame:
     shorter = F.filter(F.array(*map(F.lit, lengths)), lambda n: n < F.length("token"))
     cut = words.select("token", F.explode(F.transform(shorter, lambda n: F.left("token", n))).alias("term"))
     order = Window.partitionBy("term").orderBy("token")
-    return cut.join(_near(prefixes), "term", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= first).select("term", "token")
+    return cut.join(near(prefixes), "term", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= first).select("term", "token")
 
 
 def similar_many(terms: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     """term, token: as :func:`quarry.operators.search.similar`, for a table of distinct terms."""
     q = terms.select("term", (F.octet_length("term") + 1).alias("qsize"), F.explode(trigrams(F.col("term"))).alias("gram")).groupBy("term", "qsize", "gram").agg(F.count(F.lit(1)).alias("qn"))
-    both = grams.join(_near(q), "gram").groupBy("term", "token", "size", "qsize").agg(F.sum(F.col("n") * F.col("qn")).alias("inter"))
+    both = grams.join(near(q), "gram").groupBy("term", "token", "size", "qsize").agg(F.sum(F.col("n") * F.col("qn")).alias("inter"))
     union = F.col("size") + F.col("qsize") - F.col("inter")
     return both.where((union != 0) & (F.col("inter") / union >= least)).select("term", "token")
 
@@ -214,7 +207,7 @@ def _scored_many(index: Index, matched: DataFrame, rank: Rank) -> DataFrame:
     and postings meet queries by token and block, so a frequent token is dealt
     to as many tasks as it has blocks.
     """
-    held = index.blocks.select("token", "block").join(_near(matched), "token")
+    held = index.blocks.select("token", "block").join(near(matched), "token")
     live = held.groupBy("query", "block").agg(F.countDistinct("i").alias("have"), F.first("k").alias("k")).where(F.col("have") == F.col("k")).select("query", "block")
     wanted = held.join(live, ["query", "block"], "left_semi")
     rows = index.postings.join(wanted, ["token", "block"])
@@ -258,20 +251,20 @@ def find_many(docs: DataFrame, index: Index, queries: DataFrame, rank: Rank | No
     each = asked.where("k > 0").select("query", "k", "closed", F.posexplode("t").alias("i", "term"))
     distinct = each.select("term").distinct()
     df = distinct.join(index.words, F.col("term") == F.col("token"), "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
-    terms = once(each.join(_near(df), "term").select("query", "k", "closed", "i", "term", idf(F.lit(index.rows), F.col("df")).alias("w"), (F.col("df") > 0).alias("known")), "terms")
+    terms = once(each.join(near(df), "term").select("query", "k", "closed", "i", "term", idf(F.lit(index.rows), F.col("df")).alias("w"), (F.col("df") > 0).alias("known")), "terms")
     open_ = terms.where((F.col("i") == F.col("k") - 1) & ~F.col("closed"))
     longer = expanded(index.words, open_.select("term").distinct(), rank.expansions)
     shape = ["query", "k", "i", "token", "w"]
     matched = terms.where("known").withColumn("token", F.col("term")).select(*shape).unionByName(open_.join(longer, "term").select(*shape))
     exact = once(_scored_many(index, once(matched, "matched"), rank), "exact")
     counts = exact.groupBy("query").agg(F.count(F.lit(1)).alias("exact"))
-    facts = asked.select("query", "norm", "k").join(_near(counts), "query", "left").select("query", "norm", F.col("k").alias("tokens"), F.coalesce("exact", F.lit(0)).alias("exact"))
+    facts = asked.select("query", "norm", "k").join(near(counts), "query", "left").select("query", "norm", F.col("k").alias("tokens"), F.coalesce("exact", F.lit(0)).alias("exact"))
     facts = once(facts.withColumn("fallback", (F.col("tokens") > 0) & (F.col("exact") < rank.fallback_below)), "facts")
-    weak = terms.join(_near(facts.where("fallback").select("query")), "query", "left_semi")
+    weak = terms.join(near(facts.where("fallback").select("query")), "query", "left_semi")
     alike = similar_many(weak.select("term").distinct(), index.grams, rank.similarity)
-    near = once(weak.join(alike, "term").select("query", "k", "i", "token", (F.col("w") * rank.approximate).alias("w")), "near")
-    hits = exact.unionByName(_scored_many(index, near, rank).join(exact.select("query", "id"), ["query", "id"], "left_anti"))
-    told = docs.join(hits.join(_near(facts.select("query", "norm")), "query"), "id")
+    matched = once(weak.join(alike, "term").select("query", "k", "i", "token", (F.col("w") * rank.approximate).alias("w")), "alike")
+    hits = exact.unionByName(_scored_many(index, matched, rank).join(exact.select("query", "id"), ["query", "id"], "left_anti"))
+    told = docs.join(hits.join(near(facts.select("query", "norm")), "query"), "id")
     score = F.round(F.col("score") + _bonus(rank, normalize(F.col("name")), F.col("norm"), marketed, active), DIGITS)
     scored = once(told.select("query", "id", score.alias("score")), "hits")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +22,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def file_facts(*tables: DataFrame) -> str:
+    """What tells one state of tables from another: names, sizes and times of their files."""
+    rows = set()
+    for df in tables:
+        rows |= set(map(tuple, df.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct().collect()))
+    return str(sorted(rows))
+
+
 def query(sql: str | None = None):
     """Registers a function of Tables under its own name."""
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import idf, tokens, trim_all
-from quarry.operators import metrics, search, topk
+from quarry.operators import metrics, search, selection, topk
 from quarry.plans.lists import NORM
-from quarry.plans.registry import Tables, literal, query
+from quarry.plans.registry import Tables, file_facts, literal, query
 from quarry.sources import scan
 from quarry.sources.shared import removed, shared_dir
 from quarry.streaming.limits import token_bucket as limited
@@ -42,15 +42,9 @@ def _parts(t: Tables) -> tuple[DataFrame, DataFrame]:
 _published: dict[tuple[str, str], str] = {}
 
 
-def _facts(t: Tables) -> str:
-    """What tells one state of the documents' files from another: their names, sizes and times."""
-    rows = t.documents.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct()
-    return str(sorted(map(tuple, rows.collect())))
-
-
 def _index(t: Tables) -> tuple[DataFrame, search.Index]:
     """The corpus and its published index; the first search of a session over these files builds it, as a load does."""
-    key = (t.spark.sparkContext.applicationId, _facts(t))
+    key = (t.spark.sparkContext.applicationId, file_facts(t.documents))
     docs, index = _parts(t)
     if key not in _published:
         path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
@@ -318,7 +312,7 @@ def latency_histogram(t: Tables) -> DataFrame:
 
 @query("select event_type, v[1 + cast(floor((len(v) - 1) * 0.5) as bigint)] as p50, v[1 + cast(floor((len(v) - 1) * 0.95) as bigint)] as p95, v[1 + cast(floor((len(v) - 1) * 0.99) as bigint)] as p99 from (select event_type, list_sort(list(value)) as v from events where value is not null group by 1)")
 def latency_percentiles(t: Tables) -> DataFrame:
-    return metrics.exact_percentiles(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return selection.exact_quantiles(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def _quantile_sql(q: float) -> str:

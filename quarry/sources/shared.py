@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,8 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes what :func:`written` has written."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def near(df: DataFrame, bound: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``bound`` rows, which are counted up to the bound."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
