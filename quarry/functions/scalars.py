@@ -166,9 +166,15 @@ def group_order(group: Column) -> list[Column]:
     return [number.isNull(), number, group]
 
 
+#: Parameters that an answer hangs on, and the limit that stands for none.
+SEED_PARAMS = ("q", "commercialise", "statut_amm", "procedure_amm", "forme", "voie", "titulaire", "substance", "surveillance", "mitm", "generique", "remboursable", "rupture", "sort", "cursor", "include", "statut", "actives", "cis", "depuis")
+DEFAULT_LIMIT = "20"
+
+
 def normalized_params(request: Column) -> Column:
-    """A map of request parameters as text: without blank values, by name."""
-    kept = F.map_filter(request, lambda k, v: trim_all(v) != "")
+    """A map of request parameters as text, by name: without blank values, parameters that don't change the answer, and the default limit."""
+    limit = lambda k, v: (k == "limit") & (v != DEFAULT_LIMIT)
+    kept = F.map_filter(request, lambda k, v: (k.isin(*SEED_PARAMS) | limit(k, v)) & (trim_all(v) != ""))
     pairs = F.array_sort(F.map_entries(kept))
     return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), trim_all(e["value"]))), "&")
 

@@ -16,21 +16,48 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, BLANK_ENDS, "")
 
 
+#: Hangul syllables, by the rule of the Unicode standard: first syllable, and the first of their leading, middle and trailing letters with their numbers.
+_SYLLABLES, _LEADING, _MIDDLE, _TRAILING = (0xAC00, 11172), (0x1100, 19), (0x1161, 21), (0x11A7, 28)
+
+
 @cache
-def _fold_pairs() -> tuple[str, str]:
-    """Characters whose decomposition without marks is one other character, and that character."""
-    source, target = [], []
-    for code in range(0x80, 0x3000):
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters of all planes whose decomposition without marks is one other character, and that character; and letters that become several."""
+    source, target, several = [], [], []
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000 or _SYLLABLES[0] <= code < sum(_SYLLABLES):
+            continue
         base = "".join(x for x in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(x) != "Mn")
         if len(base) == 1 and base != chr(code):
             source.append(chr(code))
             target.append(base)
-    return "".join(source), "".join(target)
+        elif len(base) > 1 and unicodedata.category(chr(code))[0] == "L":
+            several.append((chr(code), base))
+    return "".join(source), "".join(target), tuple(several)
+
+
+def _syllables(c: Column) -> Column:
+    """Text with every Hangul syllable as its letters."""
+    letters = lambda first, n: F.array(*[F.lit(chr(first + i)) for i in range(n)])
+    lead, middle, trail = letters(*_LEADING), letters(*_MIDDLE), letters(*_TRAILING)
+    first, last = chr(_SYLLABLES[0]), chr(_SYLLABLES[0] + _SYLLABLES[1] - 1)
+
+    def split(x: Column) -> Column:
+        at = F.ascii(x) - _SYLLABLES[0]
+        parts = F.concat(F.get(lead, F.floor(at / 588).cast("int")), F.get(middle, F.floor(at % 588 / 28).cast("int")), F.when(at % 28 > 0, F.get(trail, (at % 28).cast("int"))).otherwise(""))
+        return F.when(x.between(first, last), parts).otherwise(x)
+
+    # Only texts that hold one are taken apart.
+    return F.when(c.rlike(f"[{first}-{last}]"), F.array_join(F.transform(F.split(c, ""), split), "")).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
     """Accents dropped, lower case, runs of other than letters and decimal digits as one blank, trimmed."""
-    folded = F.regexp_replace(F.translate(c, *_fold_pairs()), r"\p{Mn}+", "")
+    source, target, several = _folds()
+    folded = _syllables(c)
+    for letter, letters in several:
+        folded = F.replace(folded, F.lit(letter), F.lit(letters))
+    folded = F.regexp_replace(F.translate(folded, source, target), r"\p{Mn}+", "")
     return F.trim(F.regexp_replace(F.lower(folded), r"[^\p{L}\p{Nd}]+", " "))
 
 

@@ -16,6 +16,7 @@ from quarry.functions import params
 from quarry.functions.scalars import GENERIC_VIEW, lookup, rates
 from quarry.functions.text import normalize
 from quarry.operators import filters, paging, relations, search
+from quarry.sources.shared import near
 
 #: Names of the optional sections of a full record.
 SECTIONS = ("presentations", "composition", "generiques", "avis", "conditions", "ruptures")
@@ -197,9 +198,15 @@ def _answered(asked: DataFrame, view: DataFrame, on: Column, name: str) -> DataF
     return asked.join(held, "key", "left").withColumn("found", F.col(name).isNotNull())
 
 
+def asked_only(c: Catalogue, keys: DataFrame) -> Catalogue:
+    """The tables' rows of the drugs in ``keys`` (cis); by broadcast where they are few. Groups stay whole."""
+    few = near(keys.select("cis").distinct())
+    return Catalogue(**{name: df.join(few, "cis", "left_semi") if "cis" in df.columns else df for name, df in vars(c).items()})
+
+
 def look_up_drugs(c: Catalogue, asked: DataFrame, include: str | None = None) -> DataFrame:
-    """``asked`` (key: an eight-digit code) with found and the full record."""
-    return _answered(asked, full_view(c, include), F.col("cis"), "medicament")
+    """``asked`` (key: an eight-digit code) with found and the full record; views are made of the asked drugs alone."""
+    return _answered(asked, full_view(asked_only(c, asked.select(F.col("key").alias("cis"))), include), F.col("cis"), "medicament")
 
 
 def look_up_packs(c: Catalogue, asked: DataFrame) -> DataFrame:
@@ -207,11 +214,13 @@ def look_up_packs(c: Catalogue, asked: DataFrame) -> DataFrame:
 
     Of packs with the same short code the last one counts.
     """
-    view = parent_ref(pack_view(c.presentations), c.specialites)
-    record = F.struct(*view.columns)
-    short = view.groupBy(F.col("cip7").alias("key")).agg(F.max_by(record, "row_no").alias("presentation"))
-    keyed = view.select(F.col("cip13").alias("key"), record.alias("presentation")).unionByName(short)
-    return asked.join(keyed, "key", "left").withColumn("found", F.col("presentation").isNotNull())
+    keys = near(asked.select("key").distinct())
+    # Every pack under both its codes; only asked ones meet their drug.
+    coded = pack_view(c.presentations).withColumn("key", F.explode(F.array("cip13", "cip7"))).join(keys, "key", "left_semi")
+    view = parent_ref(coded, c.specialites)
+    record = F.struct(*[n for n in view.columns if n != "key"])
+    last = view.groupBy("key").agg(F.max_by(record, "row_no").alias("presentation"))
+    return asked.join(last, "key", "left").withColumn("found", F.col("presentation").isNotNull())
 
 
 def look_up_substances(c: Catalogue, asked: DataFrame) -> DataFrame:
@@ -294,14 +303,14 @@ def drugs_where(c: Catalogue, wanted: DrugFilter) -> DataFrame:
 
 
 def drug_list(c: Catalogue, request: Mapping[str, str], index: search.Index | None = None, version: str = "") -> paging.Page:
-    """The drug list of a request: filters, ranked query text ``q``, sort order ``tri``, page.
+    """The drug list of a request: filters, ranked query text ``q``, order ``sort``, page.
 
     Without a query the order by relevance is that by name; equal keys keep
     the order of relevance, or of the file.
     """
     wanted = DrugFilter.parse(request)
     text = params.query_text(request.get("q"))
-    order = params.enum(request.get("tri"), {s: s for s in SORTS}) or "pertinence"
+    order = params.enum(request.get("sort"), {s: s for s in SORTS}) or "pertinence"
     limit = params.limit(request.get("limit"))
     rows = drugs_where(c, wanted)
     ties: list[Column] = [F.col("row_no")]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import decode_cursor, encode_cursor
+from quarry.operators import selection
 
 
 def page(df: DataFrame, order: list[Column | str], offset: int, limit: int) -> DataFrame:
@@ -15,21 +16,9 @@ def page(df: DataFrame, order: list[Column | str], offset: int, limit: int) -> D
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def positions(df: DataFrame, coarse: Column, order: list[Column | str], descending: bool = False) -> DataFrame:
-    """All rows with ``position`` in a total order, from 1; nulls come last.
-
-    ``coarse`` is a value that the order begins with, such as a day or the
-    start of a name. Rows are numbered within its values, and only their
-    counts meet in one task.
-    """
-    directed = lambda c: c.desc_nulls_last() if descending else c.asc_nulls_last()
-    rows = df.withColumn("__coarse", coarse)
-    counts = rows.groupBy("__coarse").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.orderBy(directed(F.col("__coarse"))).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col("__coarse").alias("__key"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    numbered = rows.withColumn("__own", F.row_number().over(Window.partitionBy("__coarse").orderBy(*order)))
-    joined = numbered.join(F.broadcast(before), F.col("__coarse").eqNullSafe(F.col("__key")))
-    return joined.withColumn("position", F.col("__before") + F.col("__own")).drop("__coarse", "__key", "__before", "__own")
+def positions(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """All rows with ``position`` in a total order, from 1: sorted by ranges side by side, see :func:`selection.ordered`."""
+    return selection.ordered(df, order).positions()
 
 
 def meta(df: DataFrame, offset: int, limit: int, version: str) -> DataFrame:

@@ -28,14 +28,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str
     ``sorted_rows`` rows is sorted. No task ever holds a key: passes combine
     counts before they shuffle. Nulls and values that aren't finite are left out.
     """
-    spark = df.sparkSession
     v = F.col(value).cast("double")
     values = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], v.alias("__v")).where("__v is not null and not isnan(__v) and abs(__v) < double('infinity')")
     own = [f"__k{i}" for i in range(len(keys))]
     facts = values.groupBy(*own).agg(F.count(F.lit(1)).alias("left"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     asked = F.explode(F.array(*[F.struct(F.lit(name).alias("point"), F.floor((F.col("left") - 1) * F.lit(q)).alias("place")) for name, q in points.items()]))
     targets, path = written(facts.where("left > 0").select("*", asked.alias("p")).select(*own, "p.point", "p.place", "left", "lo", "hi"), "targets")
-    same = lambda left, right: [left[k].eqNullSafe(right[k]) for k in own]
 
     def within(some: DataFrame) -> DataFrame:
         """Values inside the bounds of their key's targets."""

@@ -7,6 +7,8 @@ toxic ``labels`` memberships, ``customer`` conditions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,26 +18,29 @@ from quarry.operators import catalogue, paging, quality
 from quarry.operators.catalogue import Catalogue
 from quarry.plans import service
 from quarry.plans.lists import NORM
-from quarry.plans.registry import Tables, query
+from quarry.plans.registry import Tables, file_facts, query
+from quarry.sources import clustered
+from quarry.sources.shared import shared_dir
 
 _STATUS = ("Autorisation active", "Autorisation abrogée", "Autorisation active", "Autorisation suspendue", "Autorisation active")
 _PROCEDURE = ("Procédure nationale", "Procédure centralisée", "Enreg homéo (Proc. Nat.)")
 _KIND = (0, 1, 2, 4)
-#: Drugs that opinions, shortages, memberships and conditions are dealt to.
-_SPREAD = 200
+#: Keys of drugs whose members of a brand are one group, so that groups have a bounded size.
+_GROUP = 500
 
 
 def _of(values: tuple, at: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), at.cast("int"))
 
 
-def _drug(key: Column) -> Column:
-    return pad(1 + key % _SPREAD, 8)
+def _drug(key: Column, drugs: int) -> Column:
+    """Rows are dealt to all drugs, so that a drug has as many at any scale."""
+    return pad(key % max(drugs, 1), 8)
 
 
 def catalogue_of(t: Tables) -> Catalogue:
     """The driver's tables as a catalogue."""
-    key = F.col("p_partkey")
+    key, many = F.col("p_partkey"), t.part.count()
     drugs = t.part.select(
         pad(key, 8).alias("cis"), key.alias("row_no"), F.col("p_name").alias("denomination"), F.col("p_type").alias("forme_pharmaceutique"), F.split("p_name", " ").alias("voies_administration"),
         _of(_STATUS, F.col("p_size") % 5).alias("statut_amm"), _of(_PROCEDURE, key % 3).alias("procedure_amm"), F.when(F.col("p_size") % 2 == 0, "Commercialisée").otherwise("Non commercialisée").alias("etat_commercialisation"),
@@ -52,17 +57,17 @@ def catalogue_of(t: Tables) -> Catalogue:
     )
     parts = t.lineitem.select("l_partkey", "l_suppkey").distinct().join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     parts = parts.select(pad(F.col("l_partkey"), 8).alias("cis"), F.col("l_suppkey").alias("row_no"), F.lit("élément").alias("element"), pad(F.col("l_suppkey"), 5).alias("code_substance"), F.col("s_name").alias("denomination_substance"), F.lit(" 1 g").alias("dosage"), F.lit("un").alias("reference_dosage"), F.lit("SA").alias("nature"), (F.col("l_suppkey") % 9).cast("int").alias("numero_liaison"))
-    opinions = t.orders.select(_drug(F.col("o_orderkey")).alias("cis"), F.col("o_orderkey").alias("row_no"), F.concat(F.lit("CT-"), F.col("o_custkey").cast("string")).alias("code_dossier_has"), F.lit("Inscription").alias("motif_evaluation"), F.col("o_orderdate").cast("date").alias("date_avis"), _of(("I", "II", "V", "Commentaires"), F.col("o_orderkey") % 4).alias("valeur"), F.col("o_orderstatus").alias("libelle"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("https://ct")).alias("lien_avis_ct"))
+    opinions = t.orders.select(_drug(F.col("o_orderkey"), many).alias("cis"), F.col("o_orderkey").alias("row_no"), F.concat(F.lit("CT-"), F.col("o_custkey").cast("string")).alias("code_dossier_has"), F.lit("Inscription").alias("motif_evaluation"), F.col("o_orderdate").cast("date").alias("date_avis"), _of(("I", "II", "V", "Commentaires"), F.col("o_orderkey") % 4).alias("valeur"), F.col("o_orderstatus").alias("libelle"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("https://ct")).alias("lien_avis_ct"))
     code = (F.col("o_orderkey") % 4 + 1).cast("int")
     gone = t.orders.select(
-        _drug(F.col("o_orderkey")).alias("cis"), F.col("o_orderkey").alias("row_no"), F.when(F.col("o_orderkey") % 2 == 0, pad(F.col("o_orderkey") * 8 + 1, 13)).alias("cip13"), code.alias("code_statut"),
+        _drug(F.col("o_orderkey"), many).alias("cis"), F.col("o_orderkey").alias("row_no"), F.when(F.col("o_orderkey") % 2 == 0, pad(F.col("o_orderkey") * 8 + 1, 13)).alias("cip13"), code.alias("code_statut"),
         lookup(code, {k: v[0] for k, v in SHORTAGE.items()}).alias("statut"), lookup(code, {k: v[1] for k, v in SHORTAGE.items()}).alias("libelle"), F.lit("source").alias("libelle_source"),
         F.col("o_orderdate").cast("date").alias("date_debut"), F.lit(True).alias("date_debut_approximative"), F.col("o_orderdate").cast("date").alias("date_mise_a_jour"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate").cast("date")).alias("date_remise_disposition"), F.lit("https://a").alias("lien"),
     )
     member = F.struct(F.col("p_size").cast("int").alias("ordre"), pad(key, 8).alias("cis"), _of(_KIND, key % 4).alias("type"))
-    groups = t.part.groupBy(F.col("p_brand").alias("groupe_id")).agg(F.min_by("p_name", "p_partkey").alias("libelle"), F.array_sort(F.collect_list(member)).alias("members"))
-    major = t.labels.where("toxic = 1").select(_drug(F.col("doc_id")).alias("cis"), F.col("doc_id").alias("row_no"), F.concat(F.lit("N"), (F.col("doc_id") % 90).cast("string")).alias("code_atc"), F.lit("nom").alias("denomination"), F.lit("https://m").alias("lien"))
-    conditions = t.customer.select(_drug(F.col("c_custkey")).alias("cis"), F.col("c_custkey").alias("row_no"), F.col("c_mktsegment").alias("condition"))
+    groups = t.part.groupBy(F.concat("p_brand", F.lit("/"), F.floor(key / _GROUP).cast("string")).alias("groupe_id")).agg(F.min_by("p_name", "p_partkey").alias("libelle"), F.array_sort(F.collect_list(member)).alias("members"))
+    major = t.labels.where("toxic = 1").select(_drug(F.col("doc_id"), many).alias("cis"), F.col("doc_id").alias("row_no"), F.concat(F.lit("N"), (F.col("doc_id") % 90).cast("string")).alias("code_atc"), F.lit("nom").alias("denomination"), F.lit("https://m").alias("lien"))
+    conditions = t.customer.select(_drug(F.col("c_custkey"), many).alias("cis"), F.col("c_custkey").alias("row_no"), F.col("c_mktsegment").alias("condition"))
     substances = parts.groupBy("code_substance").agg(F.min("denomination_substance").alias("denomination_substance"), F.countDistinct("cis").alias("nombre_specialites"))
     return Catalogue(drugs, packs, parts, opinions, opinions.withColumn("niveau", roman_level(F.col("valeur"))), substances, groups, conditions, gone, major)
 
@@ -77,13 +82,26 @@ packs as (select lpad(cast(l_partkey as varchar), 8, '0') as cis, k as row_no, l
   cast(round(l_discount * 100) as int) as taux, cast(round(l_extendedprice * 100) as bigint) as prix from (select *, l_orderkey * 8 + l_linenumber as k from lineitem
   qualify row_number() over (partition by l_orderkey * 8 + l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag) = 1)),
 parts as (select lpad(cast(l_partkey as varchar), 8, '0') as cis, l_suppkey as row_no, case when l_suppkey = 0 then '' else cast(l_suppkey as varchar) end as bare, lpad(cast(l_suppkey as varchar), 5, '0') as code, s_name as nom, l_suppkey % 9 as liaison from (select distinct l_partkey, l_suppkey from lineitem) join supplier on s_suppkey = l_suppkey),
-opinions as (select lpad(cast(1 + o_orderkey % 200 as varchar), 8, '0') as cis, o_orderkey as row_no, 'CT-' || o_custkey as dossier, cast(o_orderdate as date) as jour, ['I', 'II', 'V', 'Commentaires'][1 + o_orderkey % 4] as valeur,
+opinions as (select lpad(cast(o_orderkey % (select count(*) from part) as varchar), 8, '0') as cis, o_orderkey as row_no, 'CT-' || o_custkey as dossier, cast(o_orderdate as date) as jour, ['I', 'II', 'V', 'Commentaires'][1 + o_orderkey % 4] as valeur,
   case o_orderkey % 4 when 0 then 1 when 1 then 2 when 2 then 5 end as niveau, o_orderstatus as libelle, case when o_orderkey % 2 = 0 then 'https://ct' end as lien from orders),
-gone as (select lpad(cast(1 + o_orderkey % 200 as varchar), 8, '0') as cis, o_orderkey as row_no, case when o_orderkey % 2 = 0 then lpad(cast(o_orderkey * 8 + 1 as varchar), 13, '0') end as cip13, 1 + o_orderkey % 4 as code,
+gone as (select lpad(cast(o_orderkey % (select count(*) from part) as varchar), 8, '0') as cis, o_orderkey as row_no, case when o_orderkey % 2 = 0 then lpad(cast(o_orderkey * 8 + 1 as varchar), 13, '0') end as cip13, 1 + o_orderkey % 4 as code,
   cast(o_orderdate as date) as maj, case when o_orderkey % 3 = 0 then cast(o_orderdate as date) end as remise from orders),
-members as (select p_brand as gid, p_size as ordre, lpad(cast(p_partkey as varchar), 8, '0') as cis, [0, 1, 2, 4][1 + p_partkey % 4] as kind, p_name as nom, min_by(p_name, p_partkey) over (partition by p_brand) as label from part),
-major as (select lpad(cast(1 + doc_id % 200 as varchar), 8, '0') as cis, doc_id as row_no, 'N' || doc_id % 90 as atc from labels where toxic = 1),
-conditions as (select lpad(cast(1 + c_custkey % 200 as varchar), 8, '0') as cis, c_custkey as row_no, c_mktsegment as condition from customer)"""
+members as (select p_brand || '/' || (p_partkey // 500) as gid, p_size as ordre, lpad(cast(p_partkey as varchar), 8, '0') as cis, [0, 1, 2, 4][1 + p_partkey % 4] as kind, p_name as nom, min_by(p_name, p_partkey) over (partition by p_brand, p_partkey // 500) as label from part),
+major as (select lpad(cast(doc_id % (select count(*) from part) as varchar), 8, '0') as cis, doc_id as row_no, 'N' || doc_id % 90 as atc from labels where toxic = 1),
+conditions as (select lpad(cast(c_custkey % (select count(*) from part) as varchar), 8, '0') as cis, c_custkey as row_no, c_mktsegment as condition from customer)"""
+
+
+_clustered: dict[tuple[str, str], clustered.Records] = {}
+
+
+def _records(t: Tables) -> clustered.Records:
+    """The catalogue's clustered relations; the first query of a session over these tables publishes them, as a load does."""
+    key = (t.spark.sparkContext.applicationId, file_facts(t.part, t.lineitem, t.orders, t.supplier, t.customer, t.labels))
+    if key not in _clustered:
+        path = f"{shared_dir(t.spark)}/clusters-{uuid.uuid4().hex}"
+        clustered.publish(catalogue_of(t), path)
+        _clustered[key] = clustered.Records(t.spark, path)
+    return _clustered[key]
 
 
 def _sql(text: str):
@@ -112,8 +130,8 @@ left join (select cis as c5, string_agg(dossier, '|' order by row_no) as s from
 left join (select cis as c6, min_by(atc, row_no) as atc from major group by 1) on c6 = cis
 left join (select cis as c7, gid, count(*) over (partition by gid) as gn from members) on c7 = cis""")
 def view_full(t: Tables) -> DataFrame:
-    """Every record with all its sections."""
-    v = catalogue.full_view(catalogue_of(t), "all")
+    """Every record with all its sections, from clustered relations."""
+    v = _records(t).full("all")
     each = lambda c, f: F.array_join(F.transform(c, f), "|")
     return v.select(
         "cis", "denomination", "procedure_amm", "statut_bdm", F.col("numero_autorisation_europeenne").alias("europe"), each("presentations", lambda x: x["cip13"]).alias("presentations"),
@@ -183,7 +201,7 @@ def _asked(t: Tables, key: Column) -> DataFrame:
 @_sql("select event_id, lpad(cast(1 + event_id % 400 as varchar), 8, '0') as key, cis is not null as found, denomination as nom from events left join drugs on cis = lpad(cast(1 + event_id % 400 as varchar), 8, '0')")
 def lookup_drug(t: Tables) -> DataFrame:
     """Every event asks for a drug, half of them for one that small tables don't have."""
-    v = catalogue.look_up_drugs(catalogue_of(t), _asked(t, pad(1 + F.col("event_id") % 400, 8)))
+    v = _records(t).look_up(_asked(t, pad(1 + F.col("event_id") % 400, 8)))
     return v.select("event_id", "key", "found", F.col("medicament.denomination").alias("nom"))
 
 
@@ -202,9 +220,9 @@ def lookup_substance(t: Tables) -> DataFrame:
     return v.select("event_id", "key", "found", F.col("substance.denomination").alias("nom"))
 
 
-@_sql("select event_id, 'Brand#' || event_id % 60 as key, n is not null as found, n as membres from events left join (select gid, count(*) as n from members group by 1) on gid = 'Brand#' || event_id % 60")
+@_sql("select event_id, 'Brand#' || event_id % 60 || '/' || event_id % 3 as key, n is not null as found, n as membres from events left join (select gid, count(*) as n from members group by 1) on gid = 'Brand#' || event_id % 60 || '/' || event_id % 3")
 def lookup_group(t: Tables) -> DataFrame:
-    v = catalogue.look_up_groups(catalogue_of(t), _asked(t, F.concat(F.lit("Brand#"), (F.col("event_id") % 60).cast("string"))))
+    v = catalogue.look_up_groups(catalogue_of(t), _asked(t, F.concat(F.lit("Brand#"), (F.col("event_id") % 60).cast("string"), F.lit("/"), (F.col("event_id") % 3).cast("string"))))
     return v.select("event_id", "key", "found", F.when(F.col("found"), F.size("groupe.membres").cast("bigint")).alias("membres"))
 
 
@@ -253,7 +271,7 @@ def drug_list(t: Tables) -> DataFrame:
 def shortage_sort(t: Tables) -> DataFrame:
     """All shortages of a state that go on, newest first."""
     rows = catalogue.shortage_list(catalogue_of(t), {"statut": "tension"})
-    placed = paging.positions(rows, F.col("date_mise_a_jour"), [F.col("date_mise_a_jour").desc_nulls_last(), "drug_row", "row_no"], descending=True)
+    placed = paging.positions(rows, [F.col("date_mise_a_jour").desc_nulls_last(), "drug_row", "row_no"])
     return placed.select("row_no", "cis", F.col("code_statut").alias("code"), F.col("date_mise_a_jour").cast("string").alias("maj"), "position")
 
 
@@ -303,11 +321,11 @@ def flags_and_numbers(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", yes_no(_of(("Oui", "Non ", "?"), key % 3)).alias("flag"), tri_bool(_of(("oui", "non", "inconnu"), key % 3)).alias("three"), nature(_of(("SA", "FT", " ST", "ST"), key % 4)).alias("nature"), to_int32(key * 100000).cast("bigint").alias("capped"), to_uint8(key).alias("small"), day.alias("number"), day_of(day).alias("day"), truncate(F.col("o_orderpriority"), 5).alias("short"))
 
 
-@query("select page_id, 'limit=' || page_id % 50 || case when page_id % 2 = 0 then '&q=été' else '' end as params from pages")
+@query("select page_id, concat_ws('&', case when page_id % 50 <> 20 then 'limit=' || page_id % 50 end, case when page_id % 2 = 0 then 'q=été' end) as params from pages")
 def params_seed(t: Tables) -> DataFrame:
-    """Parameters in one order, without blank ones."""
+    """Parameters in one order, without blank and foreign ones and the default limit."""
     q = F.when(F.col("page_id") % 2 == 0, " été ").otherwise("  ")
-    return t.pages.select("page_id", normalized_params(F.create_map(F.lit("q"), q, F.lit("limit"), (F.col("page_id") % 50).cast("string"))).alias("params"))
+    return t.pages.select("page_id", normalized_params(F.create_map(F.lit("q"), q, F.lit("limit"), (F.col("page_id") % 50).cast("string"), F.lit("utm_source"), F.lit("x"))).alias("params"))
 
 
 @query("select cast(doc_id as varchar) as file, l.quality as line_no, row_number() over (order by cast(doc_id as varchar), l.quality) as position from labels l order by 1, 2 limit 1000")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import params
 from quarry.functions import scalars as S
 from quarry.functions.text import normalize
-from quarry.operators import cron, filters, paging, quality, relations
+from quarry.operators import cron, filters, paging, quality, relations, selection
 from quarry.plans.registry import Tables, literal, query, values
 from quarry.sources import catalog, scan, snapshot
 
@@ -349,14 +349,21 @@ def cardinalities(t: Tables) -> DataFrame:
 @query("select o_orderkey, cast(o_orderdate as date) as day, row_number() over (order by o_orderdate desc nulls last, o_orderkey) as position from orders")
 def sort_stable(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_orderdate")
-    sorted_rows = paging.positions(rows, F.col("o_orderdate").cast("date"), [F.col("o_orderdate").desc_nulls_last(), "o_orderkey"], descending=True)
+    sorted_rows = paging.positions(rows, [F.col("o_orderdate").desc_nulls_last(), "o_orderkey"])
     return sorted_rows.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "position")
 
 
 @query(f"select p_partkey, norm, row_number() over (order by norm nulls last, p_partkey) as position from (select p_partkey, {NORM.format('p_name')} as norm from part)")
 def sort_names(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", normalize(F.col("p_name")).alias("norm"))
-    return paging.positions(rows, F.left("norm", F.lit(8)), [F.col("norm").asc_nulls_last(), "p_partkey"])
+    return paging.positions(rows, [F.col("norm").asc_nulls_last(), "p_partkey"])
+
+
+@query("select o_orderkey, position from (select o_orderkey, row_number() over (order by o_totalprice desc nulls last, o_orderkey) as position from orders) where position > (select count(*) from orders) * 9 // 10 and position <= (select count(*) from orders) * 9 // 10 + 50")
+def deep_page(t: Tables) -> DataFrame:
+    """Fifty rows far behind in a total order, from the ranges that hold them."""
+    held = selection.ordered(t.orders.select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc_nulls_last(), "o_orderkey"])
+    return held.page(held.total * 9 // 10, 50).select("o_orderkey", "position")
 
 
 @query("select p_partkey, p_size from part order by p_size desc, p_partkey limit 25")

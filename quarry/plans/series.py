@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import counters, nested, selection
 from quarry.plans.registry import Tables, query
+from quarry.sources.shared import shared_dir
+from quarry.streaming import buckets
 
 _HOUR = 3600
 #: A counter for each type of event, reset every 400 events, on a grid of hours with ranges of six.
@@ -41,14 +45,15 @@ def alert_states(t: Tables) -> DataFrame:
     return counters.alert_states(_rates(t), ["event_type"], "at", F.col("n") > bound, 2 * _HOUR, _HOUR, bin_steps=64).select("event_type", "at", "state")
 
 
-_DAY = F.date_trunc("day", F.col("ts"))
+def _daily(t: Tables) -> DataFrame:
+    return t.events.withColumn("day", F.date_trunc("day", F.col("ts")))
 
 
 @query("select event_type, true as p50, true as p95, true as p99 from events group by 1")
 def quantile_sketch_merge(t: Tables) -> DataFrame:
     """Quantiles from the merged sketches of every day: whether each lies within a hundredth of its rank."""
     points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    daily = selection.quantile_sketches(t.events.withColumn("day", _DAY), ["event_type", "day"], "value")
+    daily = selection.quantile_sketches(_daily(t), ["event_type", "day"], "value")
     found = selection.merged_quantiles(daily, ["event_type"], points)
     values = t.events.where("value is not null").select("event_type", "value").join(F.broadcast(found), "event_type")
     # Rows below and up to the estimate: a rank within them is exact where values repeat.
@@ -59,7 +64,7 @@ def quantile_sketch_merge(t: Tables) -> DataFrame:
 @query("select event_type, count(distinct user_id) as users, true as near from events group by 1")
 def distinct_sketch(t: Tables) -> DataFrame:
     """Users of every type from the merged sketches of every day: whether the estimate lies within a fiftieth."""
-    daily = selection.distinct_sketches(t.events.withColumn("day", _DAY), ["event_type", "day"], "user_id")
+    daily = selection.distinct_sketches(_daily(t), ["event_type", "day"], "user_id")
     exact = t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
     found = exact.join(selection.merged_distinct(daily, ["event_type"]), "event_type")
     return found.select("event_type", "users", (F.abs(F.col("distinct") - F.col("users")) <= F.col("users") / 50).alias("near"))
@@ -89,3 +94,19 @@ def json_keys_deep(t: Tables) -> DataFrame:
     turn = F.struct("turn", F.struct("role", (F.col("text") == "").alias("empty")).alias("from"))
     docs = t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.col("conv_id").alias("id"), F.array_sort(F.collect_list(turn)).alias("turns")), {"ignoreNullFields": "false"}).alias("doc"))
     return nested.key_walk(docs, F.col("doc"))
+
+
+@query("""with recursive e as (select user_id, event_id, ts, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null),
+r as (select user_id, event_id, ts, us, k, true as allowed, 0.0::double as wait, 2.0::double as level from e where k = 1
+  union all select user_id, event_id, ts, us, k, level >= 1, case when level >= 1 then 0.0 else greatest(1.0, (1 - level) / 0.0005::double) end, case when level >= 1 then level - 1 else level end
+  from (select e.*, least(3.0::double, r.level + (e.us - r.us) / 1e6::double * 0.0005::double) as level from r join e on e.user_id = r.user_id and e.k = r.k + 1))
+select user_id, us, event_id, allowed, round(wait, 3) as wait from r""")
+def token_bucket_swept(t: Tables) -> DataFrame:
+    """All events once through the stream whose idle buckets are swept, in one micro-batch: equal to the fold."""
+    buckets.use_rocksdb(t.spark)
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
+    base = f"{shared_dir(t.spark)}/swept-{uuid.uuid4().hex}"
+    stream = buckets.swept_token_bucket(events, "user_id", "ts", "event_id", 0.0005, 3.0)
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = t.spark.read.schema("k bigint, us bigint, o bigint, allowed boolean, wait double").parquet(f"{base}/out")
+    return found.select(F.col("k").alias("user_id"), "us", F.col("o").alias("event_id"), "allowed", F.round("wait", 3).alias("wait"))

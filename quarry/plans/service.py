@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,20 +27,32 @@ def single_flight(spark: SparkSession, root: str, stale: timedelta = timedelta(h
     """Only one load of a snapshot root at a time; raises Conflict where another runs.
 
     The lock is a file that is created only if it isn't there, so it holds
-    between sessions too; one older than ``stale`` was left by a load that
-    died and is taken over.
+    between sessions too, and that names its owner. One older than ``stale``
+    was left by a load that died: it is taken away by a rename, which only one
+    of several sessions can do, and then made anew. A session deletes only a
+    lock that names it.
     """
     store = snapshot._Store(spark, root)
-    path = store.path(LOCK)
+    path, owner = store.path(LOCK), uuid.uuid4().hex
     if store.fs.exists(path) and time.time() - store.fs.getFileStatus(path).getModificationTime() / 1000 > stale.total_seconds():
-        store.fs.delete(path, False)
+        aside = store.path(f"{LOCK}-{owner}")
+        if not store.fs.rename(path, aside):
+            raise Conflict("another session is taking over a lock")
+        store.fs.delete(aside, False)
     store.fs.mkdirs(store.path())
-    if not store.fs.createNewFile(path):
-        raise Conflict("a load is already running")
+    try:
+        stream = store.fs.create(path, False)
+    except Py4JJavaError as e:
+        if not store.fs.exists(path):
+            raise
+        raise Conflict("a load is already running") from e
+    stream.write(bytearray(owner.encode()))
+    stream.close()
     try:
         yield
     finally:
-        store.fs.delete(path, False)
+        if store.exists(LOCK) and store.read(LOCK) == owner:
+            store.fs.delete(path, False)
 
 
 def run_schedule(schedule: cron.Schedule | None, job: Callable[[], object], jitter: timedelta = timedelta(), stop: threading.Event | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None), wait: Callable[[float], bool] | None = None, report: Callable[[str, object], None] = lambda what, about: None) -> None:

@@ -271,17 +271,17 @@ def scan_lines(t: Tables) -> DataFrame:
     return scan.lines(files).select("name", F.col("line_no").cast("bigint").alias("line_no"), F.size("fields").alias("fields"))
 
 
-_FILE = "case when doc_id % 2 = 0 then replace(coalesce(text, ''), chr(10), chr(13) || chr(10)) else '€' || regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g') end"
+_FILE = "case when doc_id % 2 = 0 then replace(coalesce(text, ''), chr(10), chr(13) || chr(10)) else '€' || regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F\\x{A0}-\\x{FF}]', '', 'g') end"
 
 
 @query(f"""select doc_id, case when doc_id % 2 = 0 then 'utf-8' else 'windows-1252' end as encoding, case when lf = 0 then 'none' when crlf = 0 then 'lf' when crlf = lf then 'crlf' else 'mixed' end as line_ending,
 case when body = '' then 0 else length(body) - length(replace(body, chr(10), '')) + 1 end as lines, md5(t) as md5
 from (select *, length(t) - length(replace(t, chr(10), '')) as lf, (length(t) - length(replace(t, chr(13) || chr(10), ''))) // 2 as crlf, regexp_replace(t, '[ \t\r\n]+$', '') as body from (select doc_id, {_FILE} as t from documents))""")
 def scan_files(t: Tables) -> DataFrame:
-    """Every document as a file: even ones in UTF-8 with a mark and carriage returns, odd ones in Windows-1252."""
+    """Every document as a file: even ones in UTF-8 with a mark and carriage returns, odd ones in Windows-1252, with the characters it has."""
     text = F.coalesce("text", F.lit(""))
     marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode(F.replace(text, F.lit("\n"), F.lit("\r\n")), "UTF-8"))
-    western = F.concat(F.unhex(F.lit("80")), F.encode(F.regexp_replace(text, r"[^\x00-\x7F]", ""), "UTF-8"))
+    western = F.concat(F.unhex(F.lit("80")), F.encode(F.regexp_replace(text, r"[^\x00-\x7F\xA0-\xFF]", ""), "ISO-8859-1"))
     files = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, marked).otherwise(western).alias("content"))
     decoded = files.select("doc_id", scan.encoding(F.col("content")).alias("encoding"), scan.decode(F.col("content")).alias("t"))
     return decoded.select("doc_id", "encoding", scan.line_ending(F.col("t")).alias("line_ending"), scan.line_count(F.col("t")).alias("lines"), F.md5("t").alias("md5"))

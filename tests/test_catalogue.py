@@ -66,7 +66,7 @@ def test_list_totals(c):
 def test_list_order_and_pages(spark, c, tmp_path):
     codes = lambda request, **k: [r["cis"][-1] for r in catalogue.drug_list(c, request, version="v", **k).rows.collect()]
     assert codes({}) == ["3", "2", "1"]
-    assert codes({"tri": "date_amm"}) == ["2", "1", "3"]
+    assert codes({"sort": "date_amm"}) == ["2", "1", "3"]
     first = catalogue.drug_list(c, {"limit": "2"}, version="v")
     assert first.meta["total"] == 3 and first.meta["has_more"] and first.meta["limit"] == 2
     assert codes({"limit": "2", "cursor": first.next_cursor}) == ["1"]

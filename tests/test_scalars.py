@@ -81,3 +81,31 @@ def test_parameters():
         params.sections("c", ("a", "b"))
     with pytest.raises(params.ParameterError):
         params.query_text("é" * 101)
+
+
+def test_every_character_is_folded(spark):
+    """Characters that Unicode 3.2 already had, as Java's and Python's tables differ in newer ones."""
+    import unicodedata
+
+    from quarry.functions.text import normalize
+
+    known = [c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.ucd_3_2_0.category(c) not in ("Cn", "Co") and unicodedata.category(c) == unicodedata.ucd_3_2_0.category(c)]
+
+    def plain(text):
+        kept = "".join(x for x in unicodedata.normalize("NFD", text) if unicodedata.category(x) != "Mn")
+        words = "".join(x.lower() if unicodedata.category(x)[0] == "L" or unicodedata.category(x) == "Nd" else " " for x in kept)
+        return " ".join(words.split(" ")).strip() if words.strip() else ""
+
+    rows = spark.createDataFrame([(c, f"x{c}x") for c in known], "c string, t string").select("c", normalize(F.col("t")).alias("n")).collect()
+    import re
+
+    wrong = [hex(ord(r["c"])) for r in rows if r["n"] != re.sub(" +", " ", plain(f"x{r['c']}x"))]
+    assert len(rows) > 90_000 and wrong == []
+
+
+def test_etag_parameters(spark):
+    from quarry.functions.scalars import normalized_params
+
+    of = lambda **k: spark.range(1).select(normalized_params(F.create_map(*[F.lit(x) for p in k.items() for x in p])).alias("p")).first()["p"]
+    assert of(q="x", limit="20", utm="1") == of(q=" x ", page="2") == "q=x"
+    assert of(sort="date_amm", limit="5", q="  ") == "limit=5&sort=date_amm"
