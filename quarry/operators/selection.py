@@ -56,7 +56,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str
         narrower = found.select(*own, "point", (F.col("place") - F.col("upto") + F.col("n")).alias("place"), F.col("n").alias("left"), "lo", "hi")
         kept = targets.where(~wide).unionByName(narrower)
         targets, new = written(kept, "targets")
-        removed(spark, path)
+        removed(df.sparkSession, path)
         path = new
     single = targets.where("lo = hi").select(*own, "point", F.col("lo").alias("__v"))
     order = Window.partitionBy(*own, "point").orderBy("__v")
