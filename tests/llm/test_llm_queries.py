@@ -26,7 +26,7 @@ def test_query(spark, name):
     assert got[1]
     if name in ORACLES:
         connection = duckdb.connect()
-        for t in ("documents", "pages", "benchmark"):
+        for t in ("documents", "pages", "benchmark", "labels"):
             connection.sql(f"create view {t} as select * from read_parquet('{FOLDER}/{t}.parquet')")
         expected = connection.sql(ORACLES[name])
         assert got == sorted_rows(expected.columns, expected.fetchall())
