@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.shared import shared_dir
+from quarry.sources.shared import removed, shared_dir
 
-__all__ = ["cut", "few", "fold", "fresh", "held_out", "learnable", "release", "shared_dir", "small_batches", "table"]
+__all__ = ["cut", "few", "fold", "fresh", "held_out", "learnable", "release", "removed", "shared_dir", "small_batches", "table"]
 
 
 #: Rows and bytes of an Arrow batch: what a Python worker holds at once.
@@ -45,8 +45,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`cut` that nothing reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, df._cut_path)
 
 
 def fold(doc_id: Column) -> Column:

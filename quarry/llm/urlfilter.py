@@ -18,6 +18,8 @@ from quarry.llm.common import cut, few, fresh
 
 #: Hosts whose timelines may be sent to all executors; beyond that only those of hot hosts are, which have at least one of so many captures.
 BROADCAST_HOSTS, HOT_SHARE = 50_000, 1000
+#: Dated entries that may be sent to all executors; of a longer list, domains above more than so many hosts are dealt to several tasks.
+BROADCAST_ENTRIES, DOMAIN_SHARE = 100_000, 10_000
 #: End of an interval that is still open.
 OPEN = 2**62
 
@@ -48,32 +50,56 @@ def _above(host: Column) -> Column:
     return F.when(address, F.array(host)).otherwise(domains)
 
 
-def timelines(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+def _meet(pairs: DataFrame, listed: DataFrame, share: int) -> DataFrame:
+    """Join of (host, pattern) with a long list.
+
+    Domains above more than ``share`` hosts are counted first: those not
+    listed (as ``com``) go, and the hosts of listed ones are dealt to several
+    copies of their entries. There is at most one such domain in ``share`` pairs.
+    """
+    counts = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
+    names = listed.select("pattern", F.lit(True).alias("known")).distinct()
+    hot = cut(counts.join(names, "pattern", "left").select("pattern", F.when(F.col("known"), F.ceil(F.col("n") / share).cast("int")).otherwise(0).alias("shares")), "domains")
+    hot = F.broadcast(hot) if few(hot, BROADCAST_ENTRIES) else hot
+    dealt = pairs.join(hot, "pattern", "left").where("shares is null or shares > 0")
+    dealt = dealt.select("host", "pattern", F.coalesce(F.pmod(F.xxhash64("host"), F.col("shares")), F.lit(0)).cast("int").alias("share"))
+    copies = listed.join(hot, "pattern", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return dealt.join(copies, ["pattern", "share"]).drop("share")
+
+
+def timelines(hosts: DataFrame, listed: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES, domain_share: int = DOMAIN_SHARE) -> DataFrame:
     """host, line: states of each listed host in time order, each from ``since`` on.
 
     A state has the deciding pattern, its action, and since when and until when that entry is valid; nulls: no entry.
     """
     pairs = hosts.select("host", F.explode(_above(F.col("host"))).alias("pattern"))
-    own = pairs.join(listed, "pattern").groupBy("host").agg(F.collect_list(F.struct(F.length("pattern").alias("rank"), "pattern", "action", "since", "until")).alias("all"))
+    met = pairs.join(F.broadcast(listed), "pattern") if few(listed, broadcast_entries) else _meet(pairs, listed, domain_share)
+    own = met.groupBy("host").agg(F.collect_list(F.struct(F.length("pattern").alias("rank"), "pattern", "action", "since", "until")).alias("all"))
     times = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda e: F.array(e["since"], e["until"])))))
     state = lambda t: F.array_max(F.filter(F.col("all"), lambda e: (e["since"] <= t) & (t < e["until"])))
     return own.select("host", F.transform(times, lambda t: F.struct(t.alias("at"), state(t).alias("state"))).alias("line"))
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS, broadcast_entries: int = BROADCAST_ENTRIES, domain_share: int = DOMAIN_SHARE) -> DataFrame:
     """``captures`` (url, fetched_at and any others) with host, blocked, rule, valid_from and valid_to.
 
     ``rule`` is the deciding pattern, whether it blocks or allows; ``valid_to``
     is null for entries still valid. Captures without a host or a fetch time
-    have no rule and are not blocked. An empty list blocks nothing.
+    have no rule and are not blocked. An empty list blocks nothing. Equal
+    captures give equal rows, one each. A capture's own column of one of these
+    names is kept as ``captured_<name>``.
     """
-    for name in ("host", "blocked", "rule", "valid_from", "valid_to"):
-        if name in captures.columns:
-            raise ValueError(f"captures have a column {name} already")
+    taken = {c.lower() for c in captures.columns}
+    for name in [c for c in captures.columns if c.lower() in ("host", "blocked", "rule", "valid_from", "valid_to")]:
+        kept = f"captured_{name}"
+        while kept.lower() in taken:
+            kept += "_"
+        taken.add(kept.lower())
+        captures = captures.withColumnRenamed(name, kept)
     host, line, state = (fresh(captures, n) for n in ("host", "line", "state"))
     rows = captures.withColumn(host, host_of(F.col("url")))
     hosts = rows.select(F.col(host).alias("host")).where("host is not null").distinct()
-    lines = timelines(hosts, intervals(entries)).select(F.col("host").alias(host), F.col("line").alias(line))
+    lines = timelines(hosts, cut(intervals(entries), "intervals"), broadcast_entries, domain_share).select(F.col("host").alias(host), F.col("line").alias(line))
     if few(lines, broadcast_hosts):
         joined = rows.join(F.broadcast(lines), host, "left")
     else:

@@ -6,8 +6,9 @@ at any file size; every piece is only a candidate record, as payloads may
 contain the magic too. Tasks emit each candidate's offset and its successor's
 (offset + header + Content-Length + 4); per archive, pointer jumping from the
 file's start marks the reachable candidates, and only those are records.
-Pieces inside a record are put together again. Pieces are known by their
-bytes' place in the archive, so it doesn't matter how a read is split.
+Pieces inside a record are put together again: their values come from a second
+read, which finds them by their digests, so it doesn't matter how a read is
+split, and only the pieces that are wanted leave their tasks.
 """
 
 from __future__ import annotations
@@ -16,16 +17,20 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, few, shared_dir, small_batches
+from quarry.llm.common import cut, few, release, removed, shared_dir, small_batches
 
 MAGIC = "WARC/1.1\r\n"
 #: Records of one archive file, which bounds what a boundary chain's task holds.
 RECORDS = 200_000
 #: Groups of equal payloads that may be sent to all executors.
 BROADCAST_GROUPS = 200_000
+#: Pieces with one value that meet one copy of it; more frequent values get more copies.
+SHARE = 1000
+#: Archives that a second read names one by one; of more it reads all.
+FILES = 1000
 #: Payloads of at least so many bytes become revisits when repeated.
 REVISIT_BYTES = 0
 _DATE = "2024-01-01T00:00:00Z"
@@ -151,31 +156,60 @@ def _chain(group: pa.Table) -> pa.Table:
     return own.append_column("record", pa.array(firsts[record[some]], pa.int64())).append_column("pieces", pa.array(count[record[some]], pa.int64()))
 
 
+def _digest(value: Column) -> Column:
+    return F.unhex(F.sha1(value.cast("binary")))
+
+
+def _together(spark: SparkSession, path: str, parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """value: texts of the records of ``parts`` (file, record, begin, digest), their pieces joined by magics.
+
+    ``counts`` has every digest of ``parts`` and the copies of its value. A value is read once per digest. One that very many records share gets a
+    copy for every ``SHARE`` of them, and its pieces are dealt to the copies.
+    """
+    files = [r[0] for r in parts.select("file").distinct().limit(FILES + 1).collect()]
+    again = _pieces(spark, path)
+    again = (again.where(F.col("file").isin(files)) if len(files) <= FILES else again).select(_digest(F.col("value")).alias("digest"), "value")
+    if few(counts, BROADCAST_GROUPS):
+        values = again.join(F.broadcast(counts), "digest").groupBy("digest", "shares").agg(F.first("value").alias("value"))
+    else:
+        values = again.groupBy("digest").agg(F.first("value").alias("value")).join(counts, "digest")
+    copies = values.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    # At most one digest in SHARE parts is frequent.
+    hot = counts.where("shares > 1")
+    dealt = parts.join(F.broadcast(hot) if few(hot, BROADCAST_GROUPS) else hot, "digest", "left")
+    dealt = dealt.withColumn("share", F.coalesce(F.pmod(F.xxhash64("file", "record", "begin"), F.col("shares")), F.lit(0)).cast("int"))
+    joined = dealt.join(copies, ["digest", "share"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("begin", "value"))).alias("p"))
+    return joined.select(F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``: kind, id, refers, told_digest, payload_bytes, payload_sha1.
 
     Text before the first record, cut-off records and candidates that the
-    chain from the file's start doesn't reach are no records.
+    chain from the file's start doesn't reach are no records. The result is a
+    table of the shared folder; nothing else of the reading stays there.
     """
     small_batches(spark)
     key = ["file", "block", "number"]
-    found = _pieces(spark, path).select(*key, F.octet_length("value").cast("bigint").alias("length"), *[c.alias(k) for k, c in _parsed(F.col("value")).items()])
+    value = F.col("value")
+    found = _pieces(spark, path).select(*key, F.octet_length("value").cast("bigint").alias("length"), _digest(value).alias("digest"), *[c.alias(k) for k, c in _parsed(value).items()])
     found = cut(found, "candidates")
     chain = cut(found.select(*key, "length", "head_bytes", "content_bytes").groupBy("file").applyInArrow(_chain, "file string, block bigint, number bigint, begin bigint, record bigint, pieces bigint"), "chain")
     fields = ["kind", "id", "refers", "told_digest", "payload_bytes", "payload_sha1"]
-    whole = found.join(chain.where("pieces = 1").select(*key), key, "left_semi").select(*fields)
-    parts = chain.where("pieces > 1").select("file", "begin", "record")
-    if few(parts, 0):
-        return whole
-    # Archives with records whose payload holds the magic are read again, their pieces found by where they begin.
-    files = parts.select("file").distinct()
-    again = _pieces(spark, path).join(F.broadcast(files) if few(files, BROADCAST_GROUPS) else files, "file", "left_semi")
-    before = Window.partitionBy("file").orderBy("block", "number").rowsBetween(Window.unboundedPreceding, -1)
-    placed = again.withColumn("begin", F.coalesce(F.sum(F.octet_length("value").cast("bigint") + len(MAGIC)).over(before), F.lit(0)))
-    parts = F.broadcast(parts) if few(parts, BROADCAST_GROUPS) else parts
-    joined = placed.join(parts, ["file", "begin"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("begin", "value"))).alias("p"))
-    values = joined.select(F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
-    return whole.unionByName(values.select(*[c.alias(k) for k, c in _parsed(F.col("value")).items()]).select(*fields))
+    records = found.join(chain.where("pieces = 1").select(*key), key, "left_semi").select(*fields)
+    several = chain.where("pieces > 1").drop("pieces")
+    if few(several, 0):
+        out = cut(records, "records")
+    else:
+        # Archives with records whose payload holds the magic are read again.
+        several = F.broadcast(several) if few(several, BROADCAST_GROUPS) else several
+        parts = cut(found.select(*key, "digest").join(several, key).select("file", "record", "begin", "digest"), "parts")
+        counts = cut(parts.groupBy("digest").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")), "digests")
+        values = _together(spark, path, parts, counts)
+        out = cut(records.unionByName(values.select(*[c.alias(k) for k, c in _parsed(value).items()]).select(*fields)), "records")
+        release(parts, counts)
+    release(found, chain)
+    return out
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -188,7 +222,8 @@ def page_records(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/quarry/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    records = cut(read_archives(spark, path), "records")
+    records = read_archives(spark, path)
+    removed(spark, path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("bigint")
     response = F.col("kind") == "response"
     digest = base32(F.col("payload_sha1"))

@@ -1,5 +1,6 @@
 """Operators on small tables, against brute force, and their edge cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -284,8 +285,29 @@ def test_url_filter(spark):
         assert [r["blocked"] for r in rows] == [False, True, True, False, True, False, False, False, False, False]
         assert (rows[5]["rule"], rows[5]["valid_from"], rows[5]["valid_to"]) == ("good.example.com", 35, None) and rows[1]["valid_to"] == 20
     assert urlfilter.filter_captures(captures, entries.limit(0)).where("blocked").count() == 0
-    with pytest.raises(ValueError):
-        urlfilter.filter_captures(captures.withColumn("rule", F.lit(1)), entries)
+    named = captures.withColumn("Rule", F.lit(7)).withColumn("captured_rule", F.lit(8)).withColumn("host", F.lit("h"))
+    row = urlfilter.filter_captures(named, entries).where("page_id = 5").first()
+    assert (row["captured_Rule_"], row["captured_rule"], row["captured_host"], row["rule"], row["host"]) == (7, 8, "h", "good.example.com", "a.good.example.com")
+
+
+def test_url_filter_of_long_lists(spark):
+    """Frequent domains, listed or not, give what a small list's broadcast gives, and what a scan of the list gives."""
+    hosts = [f"h{i}.s{i % 5}.example.com" for i in range(60)] + [f"h{i}.com" for i in range(20)]
+    entries = [(f"s{i}.example.com", ("block", "remove")[k % 2], 10 * k + i) for i in range(3) for k in range(4)] + [("example.com", "allow", 25), ("h3.com", "block", 1), ("h7.s2.example.com", "allow", 5)]
+    captures = spark.createDataFrame([(i, f"http://{h}/", i * 7 % 50) for i, h in enumerate(hosts)], "page_id long, url string, fetched_at long")
+    listed = spark.createDataFrame(entries, "pattern string, action string, since long")
+    brute = {}
+    for i, h in enumerate(hosts):
+        held = {}
+        for p, a, t in sorted(entries, key=lambda e: e[2]):
+            if t <= i * 7 % 50 and (h == p or h.endswith("." + p)):
+                held[p] = a
+        held = {p: a for p, a in held.items() if a != "remove"}
+        rule = max(held, key=len, default=None)
+        brute[i] = (held.get(rule) == "block", rule)
+    for entries_bound, share in ((100, 10), (0, 1), (0, 7), (0, 1000)):
+        rows = urlfilter.filter_captures(captures, listed, broadcast_entries=entries_bound, domain_share=share).collect()
+        assert len(rows) == len(hosts) and {r["page_id"]: (r["blocked"], r["rule"]) for r in rows} == brute
 
 
 def test_reachable():
@@ -304,8 +326,6 @@ def test_warc(spark):
     smallest = {}
     for i, h in enumerate(html):
         smallest.setdefault(h or "", i)
-    import base64
-
     for i, h in enumerate(html):
         data = (h or "").encode()
         again = smallest[h or ""] != i
@@ -316,6 +336,18 @@ def test_warc(spark):
     assert kinds == sorted([(1, "response", None, 4), (1, "response", None, 4), (1, "response", None, 5), (2, "revisit", 1, 5), (2, "revisit", 1, 4), (None, "revisit", 1, 4), (None, "response", None, 5), (None, "response", None, 4)], key=str)
 
 
+def test_warc_of_frequent_pieces(spark, monkeypatch):
+    """Records that share their pieces, each of which meets one copy of a value, over archives read whole or by name."""
+    magic = "WARC/1.1\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    pages = spark.createDataFrame([(i, "u", f"{i}{magic * 3}{'tail' * (i % 2)}" if i % 4 else "plain") for i in range(40)], "page_id long, url string, html string").repartition(3)
+    expected = sorted((r["page_id"], base64.b32encode(hashlib.sha1(r["html"].encode()).digest()).decode()) for r in pages.collect())
+    for share, groups, files in ((1, 0, 0), (7, 0, 1000), (7, 200_000, 1)):
+        monkeypatch.setattr(warc, "SHARE", share)
+        monkeypatch.setattr(warc, "BROADCAST_GROUPS", groups)
+        monkeypatch.setattr(warc, "FILES", files)
+        assert sorted((r["page_id"], r["payload_digest"]) for r in warc.page_records(pages).collect()) == expected
+
+
 def test_warc_reads_may_be_split_differently(spark, tmp_path):
     magic = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
     pages = spark.createDataFrame([(i, "u", f"{i} {magic * (i % 3)} {'z' * (i * 37 % 200)}") for i in range(60)], "page_id long, url string, html string").coalesce(2)
