@@ -15,7 +15,7 @@ from quarry.operators import cron
 KEY_LENGTH = 32
 LEVELS = {"debug": "DEBUG", "info": "INFO", "warn": "WARN", "warning": "WARN", "error": "ERROR"}
 UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001}
-#: Defaults of all settings but the keys, which have none.
+#: Fixed values too: defaults of all settings but the keys, which have none.
 DEFAULTS = {"ADDR": ":8080", "DATA_DIR": "/data", "SYNC_CRON": "0 4 * * *", "SYNC_JITTER": "30m", "SYNC_ON_START": "true", "RATE_LIMIT": "100", "RATE_BURST": "200", "MAX_REJECT_RATIO": "0.01", "SNAPSHOT_KEEP": "3", "LOG_LEVEL": "info"}
 
 
@@ -115,8 +115,11 @@ def _number(kind: type, low: float, high: float = float("inf")) -> Callable[[str
     return read
 
 
-def load(env: Mapping[str, str], prefix: str = "QUARRY_") -> Config:
-    """Settings of variables with this prefix; blank ones count as absent, but for the schedule, where blank means never."""
+def load(env: Mapping[str, str], prefix: str = "QUARRY_", serving: bool = True) -> Config:
+    """Settings of variables with this prefix; blank ones count as absent, but for the schedule, where blank means never.
+
+    Without ``serving``, as for loads alone, no key is needed.
+    """
     wrong: list[str] = []
 
     def read(name: str, parse: Callable[[str], Any]) -> Any:
@@ -130,7 +133,8 @@ def load(env: Mapping[str, str], prefix: str = "QUARRY_") -> Config:
             return None
 
     flags = _one_of({"true": True, "1": True, "t": True, "false": False, "0": False, "f": False})
-    keys, admin = read("API_KEYS", _keys), env.get(prefix + "ADMIN_KEY", "").strip()
+    keys = read("API_KEYS", _keys) if serving or env.get(prefix + "API_KEYS", "").strip() else ()
+    admin = env.get(prefix + "ADMIN_KEY", "").strip()
     if admin and len(admin) < KEY_LENGTH:
         wrong.append(f"{prefix}ADMIN_KEY: fewer than {KEY_LENGTH} characters")
     if admin and admin in (keys or ()):

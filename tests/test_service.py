@@ -5,6 +5,7 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 
+import quarry.__main__ as command
 from quarry.__main__ import arguments, main
 from quarry.functions import ids, problems
 from quarry.functions.params import ParameterError
@@ -86,6 +87,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"result": "failed"' in capsys.readouterr().out
 
 
+def test_command_line_obeys_settings(spark, tmp_path, capsys, monkeypatch):
+    assert main(["s"], spark, {"QUARRY_SNAPSHOT_KEEP": "0", "QUARRY_MAX_REJECT_RATIO": "2"}) == 2
+    assert capsys.readouterr().err.count("QUARRY_") == 2
+    env = {"QUARRY_DATA_DIR": f"file://{tmp_path}/root", "QUARRY_SNAPSHOT_KEEP": "7", "QUARRY_MAX_REJECT_RATIO": "0", "QUARRY_SYNC_JITTER": "0"}
+    seen = []
+
+    def sync(session, source, root, gates, **other):
+        seen.append((source, root, gates.reject_ratio, other["keep"]))
+        if len(seen) == 2:
+            raise RuntimeError("lost\nexecutor")
+        return "published"
+
+    monkeypatch.setattr(command.ingest, "sync", sync)
+    assert main(["s"], spark, env) == 0 and main(["s", "--keep", "2", "--max-reject-ratio", "0.5"], spark, env) == 1
+    assert seen == [("s", f"file://{tmp_path}/root", 0, 7), ("s", f"file://{tmp_path}/root", 0.5, 2)]
+    # On a schedule: a load at the start, as nothing is published, then one at each time until stopped.
+    seen[:] = [None] * 2
+    times = iter([False, False, True])
+    settings = config.load(env, serving=False)
+    command.scheduled(spark, arguments(["s", "--json"], settings), settings, now=lambda: datetime(2024, 1, 1), wait=lambda seconds: next(times))
+    assert len(seen) == 5 and capsys.readouterr().out.count('"done"') == 3
+    command.scheduled(spark, arguments(["s"], settings), config.load(env | {"QUARRY_SYNC_ON_START": "false", "QUARRY_SYNC_CRON": ""}, serving=False))
+    assert len(seen) == 5
+
+
 def test_gates_of_the_build():
     quality.check_dictionaries({"forme": 65_535, "statut": 255}, {"statut": 255})
     with pytest.raises(quality.GateError) as e:
