@@ -134,6 +134,16 @@ def merged_distinct(sketches: DataFrame, keys: list[str], bits: int = BITS) -> D
     return sketches.groupBy(*keys).agg(F.theta_sketch_estimate(F.theta_union_agg("sketch", bits)).alias("distinct"))
 
 
+def exact_overlap(df: DataFrame, keys: list[str], value: str, old: Column) -> DataFrame:
+    """What :func:`overlap` estimates, counted: ``old`` is true for rows of the first version, false for those of the second.
+
+    Any number of values; those of a key are dealt to all tasks. Keys need rows of both versions.
+    """
+    each = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.bool_or(old).alias("__old"), F.bool_or(~old).alias("__new"))
+    counts = {"both": F.count_if(F.col("__old") & F.col("__new")), "either": F.count(F.lit(1)), "gone": F.count_if(F.col("__old") & ~F.col("__new"))}
+    return each.groupBy(*keys).agg(*[c.alias(name) for name, c in counts.items()], F.bool_or("__old").alias("__a"), F.bool_or("__new").alias("__b")).where("__a and __b").drop("__a", "__b")
+
+
 def overlap(left: DataFrame, right: DataFrame, keys: list[str], bits: int = BITS) -> DataFrame:
     """keys, and how many distinct values two versions' sketches have in both, in either, and only in the first."""
     both = left.select(*keys, F.col("sketch").alias("__a")).join(right.select(*keys, F.col("sketch").alias("__b")), keys)

@@ -73,10 +73,8 @@ def distinct_sketch(t: Tables) -> DataFrame:
 @query("""with h as (select event_type, user_id, bool_or(ts < timestamp '2024-01-16') as old, bool_or(ts >= timestamp '2024-01-16') as new from events where user_id is not null group by all)
 select event_type, count_if(old and new) as both, count(*) as either, count_if(old and not new) as gone from h group by 1 having bool_or(old) and bool_or(new)""")
 def distinct_overlap(t: Tables) -> DataFrame:
-    """Users of two versions of the events: in both, in either, and no longer there; exact up to 16,384 of them."""
-    first = F.col("ts") < "2024-01-16"
-    old, new = (selection.distinct_sketches(t.events.where(c), ["event_type"], "user_id") for c in (first, ~first))
-    return selection.overlap(old, new, ["event_type"])
+    """Users of two versions of the events: in both, in either, and no longer there."""
+    return selection.exact_overlap(t.events, ["event_type"], "user_id", F.col("ts") < "2024-01-16")
 
 
 @query("select path, kind, count(*) as n from (select regexp_replace(fullkey, '\\[[0-9]+\\]', '[*]', 'g') as path, case type when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind from events, json_tree(cast(props as json))) group by all")

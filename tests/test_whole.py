@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import paging, quality
+from quarry.operators import paging, quality, selection
 from quarry.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,3 +49,11 @@ def test_every_table_is_counted(spark):
 def test_every_file_gets_the_reason(spark):
     rows = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "x"), ("b", "y"), ("c", "z")], "file string, reason string")
     assert sorted(map(tuple, quality.keyed_reasons(rows).collect())) == [("a", "x", 2), ("b", "x", 2), ("c", "x", 1)]
+
+
+def test_overlap_counts_more_values_than_a_sketch_holds(spark):
+    n = 40_000
+    rows = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("v"), (F.col("id") % 2 == 0).alias("old"))
+    rows = rows.unionByName(spark.range(0, n, 4).select(F.lit("a").alias("k"), F.col("id").alias("v"), F.lit(False).alias("old")))
+    rows = rows.unionByName(spark.createDataFrame([("b", 1, True), ("a", None, True)], "k string, v long, old boolean"))
+    assert list(map(tuple, selection.exact_overlap(rows, ["k"], "v", F.col("old")).collect())) == [("a", n // 4, n, n // 4)]
