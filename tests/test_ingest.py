@@ -115,3 +115,11 @@ def test_surplus():
     found = [("a", 1), ("b", 3), ("c", 3), ("d", 2)]
     assert snapshot.surplus(found, 2, "a") == ["d"]
     assert snapshot.surplus(found, 0, None) == []
+
+
+def test_lines_are_parsed_once(spark, folder):
+    loaded = ingest.parse(spark, folder)
+    # What is read later are parsed rows: no plan takes a line apart again.
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (*loaded.tables.values(), loaded.rejects, loaded.scope)]
+    assert not [p for p in plans if "split(" in p]
+    loaded.release()
