@@ -109,3 +109,14 @@ def test_blocks_below_the_threshold_are_not_read(spark, tmp_path):
     found = topk.find_top(docs, index, "word ", 3, search.Rank(weights=(1.0, 1e9, 1.0), exact=1, prefix=1, fallback_below=0))
     assert [r["id"] for r in found.rows] == [5, 6, 7]
     assert found.candidates > 200 and found.evaluated <= topk.FIRST
+
+
+def test_texts_in_blocks_are_counted_where_they_lie(spark, tmp_path):
+    docs = search.dealt(spark.range(300).select("id", F.concat(F.lit("word w"), F.col("id").cast("string")).alias("name")), 300, 16)
+    postings = search.postings(search.field_texts(docs, ["name"]))
+    text = search.posting_lists(postings)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1
+    search.publish_index(postings, docs.drop("block"), f"file://{tmp_path}/i", block_docs=16)
+    index = search.open_index(spark, f"file://{tmp_path}/i")
+    assert index.postings.where("token = 'word'").count() == 300 and index.lists.where("token = 'word'").count() <= 19
+    assert [tuple(r) for r in index.words.where("token in ('word', 'w7')").orderBy("token").collect()] == [("w7", 1), ("word", 300)]
