@@ -57,3 +57,9 @@ def test_look_ups(spark, held):
     found = records.look_up(asked, "presentations")
     anew = catalogue.look_up_drugs(c, asked, "presentations")
     assert rows(found.select("n", "key", "found", F.col("medicament.cis"), F.size("medicament.presentations"))) == rows(anew.select("n", "key", "found", F.col("medicament.cis"), F.size("medicament.presentations")))
+
+
+def test_only_named_sections_are_written(spark, held, tmp_path):
+    clustered.publish(held[0], f"file://{tmp_path}/c", buckets=2, sections=())
+    records = clustered.Records(spark, f"file://{tmp_path}/c")
+    assert list(records.tables) == ["record"] and rows(records.full()) == rows(held[1].full())
