@@ -57,3 +57,9 @@ def test_overlap_counts_more_values_than_a_sketch_holds(spark):
     rows = rows.unionByName(spark.range(0, n, 4).select(F.lit("a").alias("k"), F.col("id").alias("v"), F.lit(False).alias("old")))
     rows = rows.unionByName(spark.createDataFrame([("b", 1, True), ("a", None, True)], "k string, v long, old boolean"))
     assert list(map(tuple, selection.exact_overlap(rows, ["k"], "v", F.col("old")).collect())) == [("a", n // 4, n, n // 4)]
+
+
+def test_groups_of_records_are_whole_brands(spark):
+    brands = {r["p_brand"]: r["count"] for r in rows_of(spark, "part").groupBy("p_brand").count().collect()}
+    found = QUERIES["view_full"](spark, FOLDER).select("groupe", "membres").distinct().collect()
+    assert {r["groupe"]: r["membres"] for r in found} == brands
