@@ -11,11 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import idf, normalize, tokens, trigrams
-from quarry.operators.search import NAMED, Index, Rank, query_terms, similar
+from quarry.functions.text import idf, normalize, tokens
+from quarry.operators.search import NAMED, POSTING, Index, Rank, block_of, query_terms, similar
 from quarry.sources.shared import near, removed, written
 
 #: Blocks that are evaluated first, to find a threshold for the others.
@@ -192,28 +195,156 @@ def expanded(words: DataFrame, prefixes: DataFrame, first: int) -> DataFrame:
     return cut.join(near(prefixes), "term", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= first).select("term", "token")
 
 
-def similar_many(terms: DataFrame, grams: DataFrame, least: float) -> DataFrame:
-    """term, token: as :func:`quarry.operators.search.similar`, for a table of distinct terms."""
-    q = terms.select("term", (F.octet_length("term") + 1).alias("qsize"), F.explode(trigrams(F.col("term"))).alias("gram")).groupBy("term", "qsize", "gram").agg(F.count(F.lit(1)).alias("qn"))
-    both = grams.join(near(q), "gram").groupBy("term", "token", "size", "qsize").agg(F.sum(F.col("n") * F.col("qn")).alias("inter"))
-    union = F.col("size") + F.col("qsize") - F.col("inter")
-    return both.where((union != 0) & (F.col("inter") / union >= least)).select("term", "token")
+#: Words of a shard that meets the asked terms, cells of a table of words and terms, and rows of a table that is sent to all tasks.
+SHARD_WORDS, CELLS, SENT = 20_000, 1 << 20, 1_000_000
+
+
+def _grams(words: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the word, trigram and count of each word's byte trigrams, as :func:`quarry.functions.text.trigrams`, and each word's number of them."""
+    texts = [w.encode() for w in words.to_pylist()]
+    size = np.array([len(w) + 1 for w in texts], np.int64)
+    held = np.frombuffer(b"".join(b"  " + w + b" " for w in texts), np.uint8).astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), size)
+    at = np.arange(len(of)) + 2 * of  # a word takes two places more than it has trigrams
+    both, n = np.unique(of << 24 | held[at] << 16 | held[at + 1] << 8 | held[at + 2], return_counts=True)
+    return both >> 24, both & 0xFFFFFF, n, size
+
+
+def _alike(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def of_shard(words: pa.Table, terms: pa.Table) -> pa.Table:
+        terms_, tokens_ = terms["term"], words["token"]
+        if not len(terms_) or not len(tokens_):
+            return pa.table({"term": pa.array([], pa.string()), "token": pa.array([], pa.string())})
+        q, qgram, qn, qsize = _grams(terms_)
+        order = np.argsort(qgram, kind="stable")
+        q, qgram, qn = q[order], qgram[order], qn[order]
+        w, gram, n, size = _grams(tokens_)
+        low, high = np.searchsorted(qgram, gram), np.searchsorted(qgram, gram, "right")
+        found, step = [], max(1, CELLS // len(qsize))
+        for first in range(0, len(size), step):
+            a, b = np.searchsorted(w, (first, first + step))
+            each = (high - low)[a:b]
+            pair = np.repeat(low[a:b] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            cell = np.repeat(w[a:b] - first, each) * len(qsize) + q[pair]
+            inter = np.bincount(cell, np.repeat(n[a:b], each) * qn[pair])
+            cell = np.flatnonzero(inter)
+            token, term = cell // len(qsize) + first, cell % len(qsize)
+            union = size[token] + qsize[term] - inter[cell]
+            kept = (union != 0) & (inter[cell] >= least * union) & (union > 0)
+            kept[kept] = inter[cell][kept] / union[kept] >= least
+            found.append((term[kept], token[kept]))
+        term, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"term": terms_.take(pa.array(term)), "token": tokens_.take(pa.array(token))})
+
+    return of_shard
+
+
+def similar_many(terms: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """term, token: as :func:`quarry.operators.search.similar`, for a table of distinct terms and the vocabulary.
+
+    Shards of the vocabulary meet all terms; only pairs that are alike leave a
+    task, as those that share a trigram are too many to be moved.
+    """
+    shards = max(1, -(-words.count() // SHARD_WORDS))
+    held = words.select("token", F.pmod(F.xxhash64("token"), F.lit(shards)).alias("shard"))
+    asked = terms.select("term", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    return held.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_alike(least), "term string, token string")
 
 
-def _scored_many(index: Index, matched: DataFrame, rank: Rank) -> DataFrame:
-    """query, id, score, head, only_substance of documents that hold all terms of a query; ``matched`` is query, k, i, token, w.
+def _hits_of_block(rank: Rank, most: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Hits of all texts in one block: text, n, and ids and scores of the ``most`` best.
 
-    Blocks in which a query misses a term drop out before postings are read,
-    and postings meet queries by token and block, so a frequent token is dealt
-    to as many tasks as it has blocks.
+    ``lists`` has block, key, w and postings; those of a key "=text" are
+    names that begin with the text, those of the empty key get points whatever is asked.
+    """
+    points = np.array([*rank.weights, 1.0])
+
+    def of_block(lists: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, scores, sizes, which, counts = [np.zeros(0, np.int64)], [np.zeros(0)], [0], [], []
+        if len(lists) and len(asked):
+            flat = lambda c: pc.list_flatten(lists[c]).to_numpy()
+            coded = lists["key"].combine_chunks().dictionary_encode()
+            keys = {k: n for n, k in enumerate(coded.dictionary.to_pylist())}
+            length = pc.list_value_length(lists["id"]).to_numpy()
+            code, i, field = np.repeat(coded.indices.to_numpy(), length), flat("id"), flat("field")
+            order = np.lexsort((i, code))
+            s = (np.repeat(lists["w"].to_numpy(), length) * points[field] * flat("n"))[order]
+            code, i, field, head = code[order], i[order], field[order], flat("first")[order]
+            new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (i[1:] != i[:-1])])
+            code, i, s, head, only = code[new], i[new], np.add.reduceat(s, new), np.logical_or.reduceat(head, new), np.logical_and.reduceat(field == 1, new)
+            start = np.searchsorted(code, np.arange(len(keys) + 1))
+
+            def places(key: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Which of the sorted ids ``x`` the key's list holds, and where."""
+                a, b = start[keys[key]], start[keys[key] + 1]
+                at = np.searchsorted(i[a:b], x) + a
+                held = (at < b) & (i[np.minimum(at, b - 1)] == x)
+                return held, at[held]
+
+            for number, (text, wanted) in enumerate(zip(asked["text"].to_pylist(), asked["keys"].to_pylist(), strict=True)):
+                if not all(k in keys for k in wanted):
+                    continue
+                wanted.sort(key=lambda k: (start[keys[k] + 1] - start[keys[k]], k))
+                own = slice(start[keys[wanted[0]]], start[keys[wanted[0]] + 1])
+                x, score, h, o = i[own], s[own], head[own], only[own]
+                for k in wanted[1:]:
+                    held, at = places(k, x)
+                    x, score, h, o = x[held], score[held] + s[at], h[held] | head[at], o[held] & only[at]
+                if not len(x):
+                    continue
+                which.append(number)
+                counts.append(len(x))
+                score = score + np.where(h, rank.head, 0.0) + np.where(o, rank.substance_only, 0.0)
+                for k in ("=" + text, ""):
+                    if k in keys:
+                        held, at = places(k, x)
+                        score[held] += s[at]
+                score = np.floor(score * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+                if most is not None and len(x) > most:
+                    near_top = score >= (np.partition(score, len(x) - most)[len(x) - most] if most else np.inf)
+                    x, score = x[near_top], score[near_top]
+                    best = np.lexsort((x, -score))[:most]
+                    x, score = x[best], score[best]
+                ids.append(x)
+                scores.append(score)
+                sizes.append(len(x))
+        offsets = pa.array(np.cumsum(sizes), pa.int32())
+        listed = lambda parts: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts)))
+        return pa.table({"text": asked["text"].take(pa.array(which, pa.int64())), "n": pa.array(counts, pa.int64()), "id": listed(ids), "score": listed(scores)})
+
+    return of_block
+
+
+def _scored_many(index: Index, matched: DataFrame, points: list[DataFrame], asked: DataFrame, rank: Rank, most: int | None) -> DataFrame:
+    """text, n, id, score: a row for each block and text of ``asked`` (text, keys) with hits, their number and the best ones.
+
+    ``matched`` is key, token, w; ``points`` are lists that are no postings. A
+    block's lists and all texts meet in one task, and what they share, which
+    grows with both, doesn't leave it.
     """
-    held = index.blocks.select("token", "block").join(near(matched), "token")
-    live = held.groupBy("query", "block").agg(F.countDistinct("i").alias("have"), F.first("k").alias("k")).where(F.col("have") == F.col("k")).select("query", "block")
-    wanted = held.join(live, ["query", "block"], "left_semi")
-    rows = index.postings.join(wanted, ["token", "block"])
-    each = rows.groupBy("query", "id", "i").agg((F.sum(_points(rank)) * F.first("w")).alias("s"), F.bool_or("first").alias("f"), F.every(F.col("field") == 1).alias("o"), F.first("k").alias("k"))
-    whole = each.groupBy("query", "id").agg(F.sum("s").alias("score"), F.bool_or("f").alias("head"), F.every("o").alias("only_substance"), F.count(F.lit(1)).alias("have"), F.first("k").alias("k"))
-    return whole.where(F.col("have") == F.col("k")).drop("have", "k")
+    shape = ["block", "key", "w", *POSTING]
+    lists = index.lists.select("token", "block", *POSTING).join(near(matched, SENT), "token").select(*shape)
+    for more in points:
+        lists = lists.unionByName(more.select(*shape))
+    each = asked.select("text", "keys", F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1))).alias("block"))
+    return lists.groupBy("block").cogroup(each.groupBy("block")).applyInArrow(_hits_of_block(rank, most), "text string, n long, id array<long>, score array<double>")
+
+
+def _awarded(index: Index, rows: DataFrame) -> DataFrame:
+    """Lists of documents that get points: ``rows`` is key, w, id."""
+    held = rows.groupBy(block_of(F.col("id"), index.parts).alias("block"), "key", "w").agg(F.sort_array(F.collect_list("id")).alias("id"))
+    same = lambda value: F.transform("id", lambda _: F.lit(value))
+    return held.select("*", same(-1).alias("field"), same(1).cast("array<bigint>").alias("n"), same(False).alias("first"))
+
+
+def _named_like(docs: DataFrame, texts: DataFrame, rank: Rank) -> DataFrame:
+    """key, w, id of documents whose normalised name is or begins with a text's (text, norm)."""
+    lengths = [r["n"] for r in texts.select(F.length("norm").alias("n")).distinct().orderBy("n").collect()]
+    names = docs.select("id", normalize(F.col("name")).alias("name"))
+    cut = names.select("id", F.length("name").alias("whole"), F.explode(F.array(*[F.struct(F.left("name", F.lit(n)).alias("norm"), F.lit(n).alias("n")) for n in lengths or [0]])).alias("c"))
+    cut = cut.select("id", "whole", "c.*").where("n <= whole")
+    points = F.when(F.col("n") == F.col("whole"), F.lit(float(rank.exact))).otherwise(F.lit(float(rank.prefix)))
+    return cut.join(near(texts, SENT), "norm").select(F.concat(F.lit("="), "text").alias("key"), points.alias("w"), "id")
 
 
 @dataclass
@@ -230,13 +361,14 @@ class Many:
         return self.hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
-def find_many(docs: DataFrame, index: Index, queries: DataFrame, rank: Rank | None = None, marketed: Column | None = None, active: Column | None = None) -> Many:
+def find_many(docs: DataFrame, index: Index, queries: DataFrame, rank: Rank | None = None, marketed: Column | None = None, active: Column | None = None, most: int | None = None) -> Many:
     """:func:`quarry.operators.search.find` for every row of ``queries`` (query: a key, text).
 
-    One plan answers all queries: caps on expansions are limits of a window by
-    prefix, and each query falls back by its own number of exact hits. Exact
-    hits and matched terms are written once, as several parts need them; the
-    number of jobs doesn't depend on the number of queries.
+    Texts are searched once, however many queries have them. Caps on
+    expansions are limits of a window by prefix, and each text falls back by
+    its own number of exact hits. With ``most`` only so many best hits of a
+    query are kept, 0 for the facts alone; all are counted. The number of jobs
+    doesn't depend on the number of queries.
     """
     rank = rank or Rank()
     paths: list[str] = []
@@ -246,33 +378,48 @@ def find_many(docs: DataFrame, index: Index, queries: DataFrame, rank: Rank | No
         paths.append(path)
         return out
 
-    asked = queries.select("query", normalize(F.col("text")).alias("norm"), tokens(F.col("text")).alias("t"), F.endswith("text", F.lit(" ")).alias("closed"))
-    asked = once(asked.withColumn("k", F.coalesce(F.size("t"), F.lit(0))), "asked")
-    each = asked.where("k > 0").select("query", "k", "closed", F.posexplode("t").alias("i", "term"))
-    distinct = each.select("term").distinct()
-    df = distinct.join(index.words, F.col("term") == F.col("token"), "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
-    terms = once(each.join(near(df), "term").select("query", "k", "closed", "i", "term", idf(F.lit(index.rows), F.col("df")).alias("w"), (F.col("df") > 0).alias("known")), "terms")
-    open_ = terms.where((F.col("i") == F.col("k") - 1) & ~F.col("closed"))
-    longer = expanded(index.words, open_.select("term").distinct(), rank.expansions)
-    shape = ["query", "k", "i", "token", "w"]
-    matched = terms.where("known").withColumn("token", F.col("term")).select(*shape).unionByName(open_.join(longer, "term").select(*shape))
-    exact = once(_scored_many(index, once(matched, "matched"), rank), "exact")
-    counts = exact.groupBy("query").agg(F.count(F.lit(1)).alias("exact"))
-    facts = asked.select("query", "norm", "k").join(near(counts), "query", "left").select("query", "norm", F.col("k").alias("tokens"), F.coalesce("exact", F.lit(0)).alias("exact"))
+    queries = once(queries.select("query", "text"), "queries")
+    texts = queries.select("text").distinct().select("text", normalize(F.col("text")).alias("norm"), tokens(F.col("text")).alias("t"), F.endswith("text", F.lit(" ")).alias("closed"))
+    texts = once(texts.withColumn("k", F.coalesce(F.size("t"), F.lit(0))), "texts")
+    # A term's key is itself, with a star where longer tokens match too.
+    each = texts.where("k > 0").select("text", "k", "closed", F.posexplode("t").alias("i", "term")).withColumn("open", (F.col("i") == F.col("k") - 1) & ~F.col("closed"))
+    each = each.withColumn("key", F.when(F.col("open"), F.concat("term", F.lit("*"))).otherwise(F.col("term")))
+    terms = each.select("key", "term", "open").distinct().join(index.words, F.col("term") == F.col("token"), "left")
+    terms = once(terms.select("key", "term", "open", F.col("token").isNotNull().alias("known"), idf(F.lit(index.rows), F.coalesce("df", F.lit(0))).alias("w")), "terms")
+    longer = expanded(index.words, terms.where("open").select("term").distinct(), rank.expansions)
+    matched = terms.where("known").select("key", F.col("term").alias("token"), "w").unionByName(terms.where("open").join(longer, "term").select("key", "token", "w"))
+    # Of a text that may fall back all exact hits are needed.
+    kept = None if most is None else max(most, rank.fallback_below) if most else 0
+    points = []
+    if most != 0:
+        points = [once(_awarded(index, _named_like(docs, texts.where("k > 0").select("text", "norm"), rank)), "named")]
+        for condition, value in ((marketed, rank.marketed), (active, rank.active)):
+            if condition is not None:
+                points.append(_awarded(index, docs.where(condition).select(F.lit("").alias("key"), F.lit(float(value)).alias("w"), "id")))
+    asked = lambda column: F.array_sort(F.collect_list(column)).alias("keys")
+    exact = once(_scored_many(index, once(matched, "matched"), points, each.groupBy("text").agg(asked("key")), rank, kept), "exact")
+    counts = exact.groupBy("text").agg(F.sum("n").alias("exact"))
+    facts = texts.select("text", F.col("k").alias("tokens")).join(counts, "text", "left").withColumn("exact", F.coalesce("exact", F.lit(0)))
     facts = once(facts.withColumn("fallback", (F.col("tokens") > 0) & (F.col("exact") < rank.fallback_below)), "facts")
-    weak = terms.join(near(facts.where("fallback").select("query")), "query", "left_semi")
-    alike = similar_many(weak.select("term").distinct(), index.grams, rank.similarity)
-    matched = once(weak.join(alike, "term").select("query", "k", "i", "token", (F.col("w") * rank.approximate).alias("w")), "alike")
-    hits = exact.unionByName(_scored_many(index, matched, rank).join(exact.select("query", "id"), ["query", "id"], "left_anti"))
-    told = docs.join(hits.join(near(facts.select("query", "norm")), "query"), "id")
-    score = F.round(F.col("score") + _bonus(rank, normalize(F.col("name")), F.col("norm"), marketed, active), DIGITS)
-    scored = once(told.select("query", "id", score.alias("score")), "hits")
+    alone = lambda df: df.select("text", F.inline(F.arrays_zip("id", "score")))
+    hits = alone(exact)
+    if most != 0:
+        weak = each.join(near(facts.where("fallback").select("text")), "text", "left_semi")
+        alike = similar_many(weak.select("term").distinct(), index.words, rank.similarity)
+        matched = once(alike.join(near(terms.select("term", (F.col("w") * rank.approximate).alias("w")).distinct()), "term").select(F.col("term").alias("key"), "token", "w"), "alike")
+        # Exact hits of a text, fewer than the bound, may be among its best ones here.
+        others = _scored_many(index, matched, points, weak.groupBy("text").agg(asked("term")), rank, None if most is None else kept + rank.fallback_below)
+        hits = hits.unionByName(alone(others).join(hits.join(near(facts.where("fallback").select("text")), "text", "left_semi").select("text", "id"), ["text", "id"], "left_anti"))
+        if most is not None:
+            order = Window.partitionBy("text").orderBy(F.desc("score"), "id")
+            hits = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+        hits = once(hits, "hits")
 
     def release() -> None:
         for path in paths:
             removed(docs.sparkSession, path)
 
-    return Many(scored, facts.drop("norm"), release)
+    return Many(queries.join(hits, "text").select("query", "id", "score"), queries.join(facts, "text").select("query", "tokens", "exact", "fallback"), release)
 
 
 def suggest_many(words: DataFrame, prefixes: DataFrame, limit: int, first: int = 200) -> DataFrame:

@@ -120,3 +120,27 @@ def test_texts_in_blocks_are_counted_where_they_lie(spark, tmp_path):
     index = search.open_index(spark, f"file://{tmp_path}/i")
     assert index.postings.where("token = 'word'").count() == 300 and index.lists.where("token = 'word'").count() <= 19
     assert [tuple(r) for r in index.words.where("token in ('word', 'w7')").orderBy("token").collect()] == [("w7", 1), ("word", 300)]
+
+
+def test_many_keeps_only_the_best_and_counts_all(spark, corpus):
+    docs, index = corpus
+    texts = [q for q in QUERIES if q in ("doli", "dolo forte", "natriun", "zzz forte", "rhume rhume", "500 mg")]
+    asked = spark.createDataFrame([(n, texts[n % len(texts)]) for n in range(2 * len(texts))], "query int, text string")
+    options = {"marketed": F.col("id") % 2 == 0, "active": F.col("id") % 3 == 0}
+    many = topk.find_many(docs, index, asked, **options, most=3)
+    hits: dict[int, list] = {}
+    for r in many.hits.collect():
+        hits.setdefault(r["query"], []).append((r["id"], r["score"]))
+    exact = {r["query"]: r["exact"] for r in many.facts.collect()}
+    for n in range(2 * len(texts)):
+        assert sorted(hits.get(n, []), key=lambda h: (-h[1], h[0])) == one_by_one(docs, index, texts[n % len(texts)], 3, **options), texts[n % len(texts)]
+    whole = search.find(docs, index, "doli", search.Rank(fallback_below=0)).hits.count()
+    assert whole > 3 and exact[texts.index("doli")] == exact[texts.index("doli") + len(texts)] == whole
+
+
+def test_similar_tokens_of_many_terms(spark):
+    terms = ["banana", "aaaaaa", "été", "natrium", "no"]
+    words = spark.createDataFrame([(w,) for w in (*WORDS, "bananana", "aaaaaaaa", "aaab", "anaban", "nona", "etes", "étés", "natr")], "token string")
+    asked = spark.createDataFrame(list(enumerate(terms)), "i int, term string")
+    want = {(r["term"], r["token"]) for r in search.similar(asked, search.grams(words), 0.4).collect()}
+    assert {tuple(r) for r in topk.similar_many(asked.select("term"), words, 0.4).collect()} == want and len(want) > 4
