@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import idf, normalize, tokens
-from quarry.operators.search import NAMED, POSTING, Index, Rank, block_of, query_terms, similar
+from quarry.operators.search import NAMED, POSTING, Index, Rank, block_of, gram_counts, query_terms, similar
 from quarry.sources.shared import near, removed, written
 
 #: Blocks that are evaluated first, to find a threshold for the others.
@@ -199,26 +199,15 @@ def expanded(words: DataFrame, prefixes: DataFrame, first: int) -> DataFrame:
 SHARD_WORDS, CELLS, SENT = 20_000, 1 << 20, 1_000_000
 
 
-def _grams(words: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the word, trigram and count of each word's byte trigrams, as :func:`quarry.functions.text.trigrams`, and each word's number of them."""
-    texts = [w.encode() for w in words.to_pylist()]
-    size = np.array([len(w) + 1 for w in texts], np.int64)
-    held = np.frombuffer(b"".join(b"  " + w + b" " for w in texts), np.uint8).astype(np.int64)
-    of = np.repeat(np.arange(len(texts)), size)
-    at = np.arange(len(of)) + 2 * of  # a word takes two places more than it has trigrams
-    both, n = np.unique(of << 24 | held[at] << 16 | held[at + 1] << 8 | held[at + 2], return_counts=True)
-    return both >> 24, both & 0xFFFFFF, n, size
-
-
 def _alike(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def of_shard(words: pa.Table, terms: pa.Table) -> pa.Table:
         terms_, tokens_ = terms["term"], words["token"]
         if not len(terms_) or not len(tokens_):
             return pa.table({"term": pa.array([], pa.string()), "token": pa.array([], pa.string())})
-        q, qgram, qn, qsize = _grams(terms_)
+        q, qgram, qn, qsize = gram_counts(terms_)
         order = np.argsort(qgram, kind="stable")
         q, qgram, qn = q[order], qgram[order], qn[order]
-        w, gram, n, size = _grams(tokens_)
+        w, gram, n, size = gram_counts(tokens_)
         low, high = np.searchsorted(qgram, gram), np.searchsorted(qgram, gram, "right")
         found, step = [], max(1, CELLS // len(qsize))
         for first in range(0, len(size), step):
@@ -260,13 +249,17 @@ def _hits_of_block(rank: Rank, most: int | None) -> Callable[[pa.Table, pa.Table
     points = np.array([*rank.weights, 1.0])
 
     def of_block(lists: pa.Table, asked: pa.Table) -> pa.Table:
+        held_ids = pc.list_flatten(lists["id"]).combine_chunks()
+        known = held_ids.unique()
+        known = known.take(pc.sort_indices(known))
+        # Ids by their place in order, whatever their type.
         ids, scores, sizes, which, counts = [np.zeros(0, np.int64)], [np.zeros(0)], [0], [], []
-        if len(lists) and len(asked):
+        if len(known) and len(asked):
             flat = lambda c: pc.list_flatten(lists[c]).to_numpy()
             coded = lists["key"].combine_chunks().dictionary_encode()
             keys = {k: n for n, k in enumerate(coded.dictionary.to_pylist())}
             length = pc.list_value_length(lists["id"]).to_numpy()
-            code, i, field = np.repeat(coded.indices.to_numpy(), length), flat("id"), flat("field")
+            code, i, field = np.repeat(coded.indices.to_numpy(), length), pc.index_in(held_ids, value_set=known).to_numpy(), flat("field")
             order = np.lexsort((i, code))
             s = (np.repeat(lists["w"].to_numpy(), length) * points[field] * flat("n"))[order]
             code, i, field, head = code[order], i[order], field[order], flat("first")[order]
@@ -309,8 +302,8 @@ def _hits_of_block(rank: Rank, most: int | None) -> Callable[[pa.Table, pa.Table
                 scores.append(score)
                 sizes.append(len(x))
         offsets = pa.array(np.cumsum(sizes), pa.int32())
-        listed = lambda parts: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts)))
-        return pa.table({"text": asked["text"].take(pa.array(which, pa.int64())), "n": pa.array(counts, pa.int64()), "id": listed(ids), "score": listed(scores)})
+        listed = lambda x: pa.ListArray.from_arrays(offsets, x)
+        return pa.table({"text": asked["text"].take(pa.array(which, pa.int64())), "n": pa.array(counts, pa.int64()), "id": listed(known.take(pa.array(np.concatenate(ids), pa.int64()))), "score": listed(pa.array(np.concatenate(scores)))})
 
     return of_block
 
@@ -327,7 +320,7 @@ def _scored_many(index: Index, matched: DataFrame, points: list[DataFrame], aske
     for more in points:
         lists = lists.unionByName(more.select(*shape))
     each = asked.select("text", "keys", F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1))).alias("block"))
-    return lists.groupBy("block").cogroup(each.groupBy("block")).applyInArrow(_hits_of_block(rank, most), "text string, n long, id array<long>, score array<double>")
+    return lists.groupBy("block").cogroup(each.groupBy("block")).applyInArrow(_hits_of_block(rank, most), f"text string, n long, id {index.lists.schema['id'].dataType.simpleString()}, score array<double>")
 
 
 def _awarded(index: Index, rows: DataFrame) -> DataFrame:

@@ -144,3 +144,19 @@ def test_similar_tokens_of_many_terms(spark):
     asked = spark.createDataFrame(list(enumerate(terms)), "i int, term string")
     want = {(r["term"], r["token"]) for r in search.similar(asked, search.grams(words), 0.4).collect()}
     assert {tuple(r) for r in topk.similar_many(asked.select("term"), words, 0.4).collect()} == want and len(want) > 4
+
+
+def test_an_index_of_texts_is_that_of_postings(spark, tmp_path):
+    rows = [("b", 0, "Été forte, dolo-forte a 500"), ("b", 0, "forte"), ("b", 1, None), ("a", 0, " x banana BANANA"), ("a", 2, "forte é forte"), ("c", 0, ""), ("c", 1, "onononon 가각"), ("d", 0, "!")]
+    texts = spark.createDataFrame(rows, "id string, field int, text string")
+    docs = texts.select("id").distinct()
+    dealt = search.dealt(texts, 4, 2)
+    assert search.text_lists(dealt)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for name, source in (("t", dealt), ("p", search.postings(texts)), ("u", texts)):
+        search.publish_index(source, docs, f"file://{tmp_path}/{name}", block_docs=2)
+    one, other, undealt = (search.open_index(spark, f"file://{tmp_path}/{name}") for name in "tpu")
+    facts = lambda i: [sorted(map(tuple, df.collect())) for df in (i.postings, i.blocks, i.words, i.grams)]
+    assert facts(one) == facts(other) == facts(undealt) and (one.rows, one.parts) == (other.rows, other.parts) == (4, 2)
+    assert {tuple(r) for r in one.words.where("token in ('forte', 'ete')").collect()} == {("forte", 2), ("ete", 1)}
+    many = topk.find_many(texts.where("field = 0").groupBy("id").agg(F.max("text").alias("name")), one, spark.createDataFrame([(0, "forte ")], "query int, text string"))
+    assert {r["id"] for r in many.hits.collect()} == {"a", "b"}
